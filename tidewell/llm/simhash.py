@@ -278,4 +278,90 @@ def group(marked: DataFrame, radius: int, most: int | None = None) -> DataFrame:
     roots = components(links(points, radius, most))
     named = points.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(named.join(least, "root").select("node", "component_id"), "node")
+    of_node = named.join(least, "root").groupBy("node").agg(F.min("component_id").alias("component_id"))
+    return marked.join(of_node, "node")
+
+
+# --- near duplicates by the similarity of their shingles ---
+
+#: The search: fingerprints of distinct words, of which so many bits may differ.
+WORDS_RADIUS = 7
+#: The decision: so many further fingerprints of five-word shingles, 64 bits each.
+CHECKS, CHECK_WIDTH, SIMILARITY = 4, 5, 0.8
+
+
+def bits_for(similarity: float, bits: int) -> int:
+    """How many of bits differ on average between fingerprints of sets with that Jaccard similarity."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(bits * np.arccos(cosine) / np.pi)
+
+
+def majority(hashes: np.ndarray, block: int = 65_536) -> np.uint64:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), block):
+        counts += np.unpackbits(hashes[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent hash for each hash: the finalizer of SplitMix64."""
+    z = hashes + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def sketch(text: bytes) -> tuple[int, list[int]]:
+    """The fingerprint of a text's distinct words, and CHECKS fingerprints of its distinct five-word shingles."""
+    words = text.lower().split()
+    if not words:
+        return 0, [0] * CHECKS
+    hashed, n = xxhash.xxh64_intdigest, len(words)
+    joined = b" ".join(words)
+    if n <= CHECK_WIDTH:
+        shingles = np.array([hashed(joined, SEED)], np.uint64)
+    else:
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        ends = np.cumsum(lengths + 1) - 1
+        first, last = (ends - lengths)[: n - CHECK_WIDTH + 1].tolist(), ends[CHECK_WIDTH - 1 :].tolist()
+        shingles = np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64))
+    own = np.array([hashed(w, SEED) for w in set(words)], np.uint64)
+    return int(majority(own)), [int(majority(remixed(shingles, k))) for k in range(1, CHECKS + 1)]
+
+
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, node (a number of the sketch) and component_id, as in near_groups, for near duplicates by similarity.
+
+    Two texts are linked if the fingerprints of their distinct words differ in WORDS_RADIUS bits at most, and
+    those of their five-word shingles in no more bits than SIMILARITY gives on average. Near
+    copies share nearly all words, so the first test is the search and the second decides.
+    """
+
+    def make() -> Callable[[list[bytes]], dict]:
+        def work(texts: list[bytes]) -> dict:
+            found = [sketch(x) for x in texts]
+            return {"fingerprint": np.array([f for f, _ in found], np.uint64).view(np.int64), "check": [np.array(c, np.uint64).view(np.int64) for _, c in found]}
+
+        return work
+
+    added = T.StructType([T.StructField("fingerprint", T.LongType()), T.StructField("check", T.ArrayType(T.LongType()))])
+    own = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    marked = cut(per_text(own, ["id"], "text", make, added).withColumn("node", F.xxhash64("fingerprint", "check")))
+    return group(marked, WORDS_RADIUS, bits_for(SIMILARITY, 64 * CHECKS))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without all but one document of each group: the one with the smallest id stays.
+
+    Where ids are missing or repeat, rows are numbered first and the first of each group stays. All columns
+    stay, whatever their names.
+    """
+    if docs.groupBy(id_column).count().where(F.col(id_column).isNull() | (F.col("count") > 1)).limit(1).count():
+        rows = cut(docs.withColumn("_tw_row", F.monotonically_increasing_id()))
+        return _without_later(rows, "_tw_row", text).drop("_tw_row")
+    return _without_later(docs, id_column, text)
+
+
+def _without_later(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    gone = similar_groups(docs, id_column, text).where("id <> component_id").select(F.col("id").alias("_tw_gone"))
+    return docs.join(gone, docs[id_column] == gone["_tw_gone"], "left_anti")
