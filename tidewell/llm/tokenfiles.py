@@ -11,6 +11,7 @@ A file is a Parquet table of segments. Its rows hold runs of consecutive documen
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from hashlib import md5
@@ -26,6 +27,7 @@ from tidewell.llm.base import raw, shared_path
 SEGMENT_IDS = 1 << 20
 #: Every so many-th one bit of ``high`` has its place stored.
 EVERY = 64
+#: Words that the memo holds before it starts anew; the older half stays beside it.
 MEMO = 400_000
 ENDS = b".,;:!?"
 
@@ -76,28 +78,68 @@ class EliasFano:
         return (h << self.low_bits) | (low << np.arange(self.low_bits)).sum(1)
 
 
+def all_letters(s: str) -> bool:
+    """Whether s is letters and stays so when it is normalised and lower-cased."""
+    return s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha())
+
+
 class Memo(dict):
     """Ids of words as bytes. Texts are normalised and split at white space before any merge, so the ids of
-    a text are those of its words; a final mark after a letter is split off as well, words being shared."""
+    a text are those of its words; a final mark behind letters is a piece of its own, so such words share
+    their letters' ids. A full memo becomes the older half, which is kept until the newer one is full.
+    """
 
     def __init__(self, tokenizer_json: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.kind = Tokenizer.from_str(tokenizer_json), kind
-
-    def encode(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, self.kind).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
+        self.tokenizer, self.kind, self.older = Tokenizer.from_str(tokenizer_json), np.dtype(kind), {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in texts], add_special_tokens=False)
+        return [np.array(x.ids, self.kind).tobytes() for x in found]
+
+    def encode_letters(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words of letters, all in one text; None unless each is one piece up to a word's end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        to = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(to) != len(words) or to[-1] != len(ids):
+            return None
+        data, width = ids.tobytes(), self.kind.itemsize
+        to = (to * width).tolist()
+        return [data[a:b] for a, b in zip([0, *to], to, strict=False)]
+
+    def learn(self, texts: list[list[bytes]], chunk: int = 2_000) -> None:
+        """Make sure that all these words are known."""
+        if len(self) > MEMO:
+            self.older = dict(self)
             self.clear()
-        if len(word) > 1 and word[-1] in ENDS and 97 <= word[-2] <= 122:
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = self.encode(word)
-        self[word] = ids
-        return ids
+        marked, letters, others = [], {}, []
+        for w in set().union(*texts) - self.keys():
+            if (known := self.older.get(w)) is not None:
+                self[w] = known
+            elif all_letters(s := w.decode("utf-8")):
+                letters[w] = s
+            elif len(w) > 1 and w[-1] in ENDS and all_letters(s[:-1]):
+                marked.append(w)
+                if w[:-1] not in self:
+                    letters[w[:-1]] = s[:-1]
+            else:
+                others.append(w)
+        if marked:
+            others += {w[-1:] for w in marked} - self.keys()
+        words = list(letters)
+        for at in range(0, len(words), chunk):
+            own = words[at : at + chunk]
+            found = self.encode_letters([letters[w] for w in own])
+            self.update(zip(own, found or self.encode(own), strict=True))
+        for at in range(0, len(others), chunk):
+            self.update(zip(others[at : at + chunk], self.encode(others[at : at + chunk]), strict=True))
+        for w in marked:
+            self[w] = self[w[:-1]] + self[w[-1:]]
 
 
 #: One tokenizer and memo a worker process; tasks that follow in it use them again.
@@ -110,11 +152,11 @@ def loaded(key: str, tokenizer_json: str, kind: str) -> Memo:
     return _LOADED[key, kind]
 
 
-def ids_of(text: bytes, memo: Memo) -> bytes:
-    """All ids of a text. Special tokens are found before lower-casing, so texts that may hold them are encoded whole."""
-    if b"<|" in text:
-        return memo.encode(text)
-    return b"".join(map(memo.__getitem__, text.lower().split()))
+def ids_of(texts: list[bytes], memo: Memo) -> list[bytes]:
+    """All ids of each text. Special tokens are found before lower-casing, so texts that may hold them are encoded whole."""
+    words = [None if b"<|" in x else x.lower().split() for x in texts]
+    memo.learn([w for w in words if w])
+    return [memo.encode([x])[0] if w is None else b"".join(map(memo.__getitem__, w)) for x, w in zip(texts, words, strict=True)]
 
 
 SEGMENTS = "part int, segment long, before long, n_docs long, n_ids long, width int, doc_ids array<long>, ids binary, low_bits int, low binary, high binary, select binary"
@@ -146,9 +188,9 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id_colum
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
         for batch in batches:
-            for p, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True):
+            for p, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids_of(raw(batch.column(2)), memo), strict=True):
                 part = p
-                ids += [ids_of(x, memo), end]
+                ids += [x, end]
                 n += len(ids[-2]) // width + 1
                 doc_ids.append(i)
                 ends.append(n)
