@@ -168,10 +168,10 @@ def post_process(answers: DataFrame, ranked: DataFrame) -> DataFrame:
     """
     own = answers.select("query", X.strip_citations(F.col("response")).alias("answer"), X.citations(F.col("response")).alias("cites"))
     cited = own.select("query", F.posexplode("cites").alias("at", "rank")).join(ranked, ["query", "rank"])
-    titled = F.filter("images", lambda i: ~X.is_blank(i["title"]))
+    titled = F.coalesce(F.transform(F.filter("images", lambda i: ~X.is_blank(i["title"])), lambda i: i["path"]), F.array().cast("array<string>"))
     found = cited.groupBy("query").agg(
         F.array_sort(F.collect_set("page")).alias("cite_pages"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", titled.alias("own")))), lambda x: F.transform(x["own"], lambda i: i["path"]))).alias("related_images"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", titled.alias("own")))), lambda x: x["own"])).alias("related_images"),
     )
     none = F.array()
     return own.join(found, "query", "left").select("query", "answer", F.coalesce("cite_pages", none.cast("array<bigint>")).alias("cite_pages"), F.coalesce("related_images", none.cast("array<string>")).alias("related_images"))
