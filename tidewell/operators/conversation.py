@@ -32,14 +32,21 @@ def compact(turns: DataFrame, budget: int = BUDGET, rounds: int = ROUNDS, summar
     summary is an aggregate over the older turns; by default it counts them and their characters. The
     summary stands at turn -1 as the user's.
     """
-    w = Window.partitionBy(conv)
-    marked = turns.select(conv, turn, role, text).withColumn("_cost", F.sum(X.token_estimate(F.coalesce(F.col(text), F.lit("")))).over(w)).withColumn("_from_end", F.row_number().over(w.orderBy(F.desc(turn), F.desc(role), F.desc(text))))
-    over = F.col("_cost") > budget
-    kept = marked.where(~over | (F.col("_from_end") <= 2 * rounds)).select(conv, turn, role, text)
+    turns = turns.select(conv, turn, role, text)
+    cost = F.sum(X.token_estimate(F.coalesce(F.col(text), F.lit(""))))
+    over = turns.groupBy(F.col(conv).alias("_of")).agg(cost.alias("_cost")).where(F.col("_cost") > budget).select("_of")
+    same = F.col(conv).eqNullSafe(F.col("_of"))
+    whole, long = turns.join(over, same, "left_anti"), turns.join(over, same, "left_semi")
+    from_end = Window.partitionBy(conv).orderBy(F.desc(turn), F.desc(role), F.desc(text))
+    last = long.withColumn("_n", F.row_number().over(from_end)).where(F.col("_n") <= 2 * rounds).drop("_n")  # cut before the shuffle
     if summary is None:
-        summary = F.concat(F.lit("Earlier turns: "), F.count("*").cast("string"), F.lit(", characters: "), F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("string"))
-    old = marked.where(over & (F.col("_from_end") > 2 * rounds)).groupBy(conv).agg(summary.alias(text)).select(conv, F.lit(-1).cast("long").alias(turn), F.lit("user").alias(role), text)
-    return kept.unionByName(old)
+        every = lambda df: df.groupBy(F.col(conv).alias("_of")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("c"))
+        a, b = every(long), every(last).withColumnsRenamed({"_of": "_of2", "n": "n2", "c": "c2"})
+        left = a.join(b, F.col("_of").eqNullSafe(F.col("_of2"))).where("n > n2")
+        old = left.select(F.col("_of").alias(conv), F.concat(F.lit("Earlier turns: "), F.expr("n - n2").cast("string"), F.lit(", characters: "), F.expr("c - c2").cast("string")).alias(text))
+    else:
+        old = long.withColumn("_n", F.row_number().over(from_end)).where(F.col("_n") > 2 * rounds).groupBy(conv).agg(summary.alias(text))
+    return whole.unionByName(last).unionByName(old.select(conv, F.lit(-1).cast("long").alias(turn), F.lit("user").alias(role), text))
 
 
 def chat_prompt(query: Column, context: Column, thinking: bool = False) -> Column:

@@ -96,17 +96,17 @@ def tail_split(rows: DataFrame, order: list[Column], dev: int) -> DataFrame:
     return _numbered(rows, order, "_i").withColumn("split", F.when(F.col("_i") > n - dev, "dev").otherwise("train")).drop("_i")
 
 
-def exact_sample(rows: DataFrame, key: Column, share: float, seed: str = "42") -> DataFrame:
-    """Exactly max(1, floor(n * share)) rows, those whose seeded hash of key is smallest."""
-    n = max(1, int(rows.count() * share))
-    return rows.withColumn("_h", F.md5(F.concat(F.lit(seed), key.cast("string")))).orderBy("_h").limit(n).drop("_h")
-
-
 def seeded_order(rows: DataFrame, key: Column, seed: str = "42") -> DataFrame:
     """rows with their place in a shuffle that depends on key and seed alone."""
     return _numbered(rows.withColumn("_h", F.md5(F.concat(F.lit(seed), key.cast("string")))), [F.col("_h")], "place").drop("_h")
 
 
+def exact_sample(rows: DataFrame, key: Column, share: float, seed: str = "42") -> DataFrame:
+    """Exactly max(1, floor(n * share)) rows, those whose seeded hash of key is smallest; they are numbered side by side, not sorted into one place."""
+    n = max(1, int(rows.count() * share))
+    return seeded_order(rows, key, seed).where(F.col("place") <= n).drop("place")
+
+
 def sft_rows(traces: DataFrame, instruction: str, key: str = "query_id") -> DataFrame:
     """(key, query, context, instruction, input, output, split) for fine-tuning from query, context and response."""
     context = X.training_context(F.col("context"))
@@ -151,3 +151,18 @@ def sft_stats(rows: DataFrame, context: str, output: str, group: str) -> DataFra
         F.count_if(cites).alias("n_cited"), F.round(F.avg(cites.cast("double")), 6).alias("cited_rate"),
         F.count_if(none).alias("n_no_answer"), F.round(F.avg(none.cast("double")), 6).alias("no_answer_rate"),
     )
+
+
+def label_distribution(rows: DataFrame, label: str, text: str, group: str) -> DataFrame:
+    """Counts by group of labels 2, 1, 0 and of others or none (-1), and mean text lengths."""
+    known = F.when(F.col(label).isin(0, 1, 2), F.col(label)).otherwise(-1)
+    return rows.groupBy(group).agg(F.count("*").alias("n"), *(F.count_if(known == k).alias(f"n_{'other' if k < 0 else k}") for k in (2, 1, 0, -1)), F.round(F.avg(F.length(text)), 4).alias("avg_length"))
+
+
+def dataset_stats(rows: DataFrame) -> DataFrame:
+    """One row over (unique_id, question, answer, keywords): documents, pairs, pairs a document, no answers, pairs with keywords."""
+    return rows.agg(
+        F.count_distinct("unique_id").alias("n_docs"), F.count("*").alias("n_pairs"), F.round(F.count("*") / F.greatest(F.count_distinct("unique_id"), F.lit(1)), 4).alias("pairs_a_doc"),
+        F.count_if(F.col("answer") == X.NO_ANSWER).alias("n_no_answer"), F.count_if(F.size(F.coalesce("keywords", F.array().cast("array<string>"))) > 0).alias("n_with_keywords"),
+        F.round(F.avg(F.length("question")), 4).alias("avg_question"), F.round(F.avg(F.length("answer")), 4).alias("avg_answer"),
+    )

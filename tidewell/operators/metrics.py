@@ -208,3 +208,14 @@ def moving_average(rows: DataFrame, group: str, order: str, value: str, window:
     return rows.withColumn("smoothed", F.when(F.count("*").over(w) < window, F.col(value)).otherwise(F.avg(value).over(near)))
 
 
+
+
+def step_durations(rows: DataFrame, group: str, time: str) -> DataFrame:
+    """rows with the seconds from each to the next one of its group; the last has none."""
+    seconds = F.unix_micros(F.col(time).cast("timestamp"))
+    return rows.withColumn("seconds", (F.lead(seconds).over(Window.partitionBy(group).orderBy(time)) - seconds) / 1e6)
+
+
+def mean_over_queries(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One row: how many queries there are and each metric's mean over them, 0 without any."""
+    return rows.agg(F.count("*").alias("n_queries"), *(F.round(F.coalesce(F.avg(n), F.lit(0.0)), 6).alias(n) for n in names))

@@ -152,3 +152,19 @@ def validate_rows(spark: SparkSession, folder: str) -> DataFrame:
 def sft_stats(spark: SparkSession, folder: str) -> DataFrame:
     rows = responses(spark, folder).join(docs(spark, folder).select("doc_id", "source", "text"), "doc_id")
     return curation.sft_stats(rows, "text", "response", "source")
+
+
+@query("""SELECT source, count(*) AS n, count_if(quality + toxic = 2) AS n_2, count_if(quality + toxic = 1) AS n_1, count_if(quality + toxic = 0) AS n_0, count_if(quality IS NULL) AS n_other, round(avg(len(text)), 4) AS avg_length
+    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
+def label_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    rows = docs(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left").withColumn("label", F.col("quality") + F.col("toxic"))
+    return curation.label_distribution(rows, "label", "text", "source")
+
+
+@query("""WITH r AS (SELECT conv_id AS unique_id, text AS question, CASE WHEN turn % 5 = 4 THEN '无答案' ELSE role END AS answer, CASE WHEN turn % 2 = 0 THEN [role] ELSE [] END AS keywords FROM conversations)
+    SELECT count(DISTINCT unique_id) AS n_docs, count(*) AS n_pairs, round(count(*) / count(DISTINCT unique_id), 4) AS pairs_a_doc, count_if(answer = '无答案') AS n_no_answer, count_if(len(keywords) > 0) AS n_with_keywords,
+    round(avg(len(question)), 4) AS avg_question, round(avg(len(answer)), 4) AS avg_answer FROM r""")
+def dataset_stats(spark: SparkSession, folder: str) -> DataFrame:
+    turn = F.col("turn")
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("unique_id"), F.col("text").alias("question"), F.when(turn % 5 == 4, X.NO_ANSWER).otherwise(F.col("role")).alias("answer"), F.when(turn % 2 == 0, F.array("role")).otherwise(F.array().cast("array<string>")).alias("keywords"))
+    return curation.dataset_stats(rows)

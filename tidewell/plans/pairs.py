@@ -181,3 +181,22 @@ def resource_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Samples by day and kind; a field that a sample lacks counts as 0."""
     k = F.coalesce(F.get_json_object("props", "$.k").try_cast("double"), F.lit(0.0))
     return table(spark, folder, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"), F.round(F.sum(k), 6).alias("k"))
+
+
+@query("""SELECT user_id, event_id, round((epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts)) / 1e6, 6) AS seconds FROM events""")
+def step_durations(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.step_durations(table(spark, folder, "events").select("user_id", "event_id", "ts"), "user_id", "ts").select("user_id", "event_id", F.round("seconds", 6).alias("seconds"))
+
+
+@query("""WITH s AS (SELECT event_type, sum(value) AS v FROM events GROUP BY 1)
+    SELECT event_type, CASE WHEN v < 60 THEN printf('%.2fs', v) WHEN v < 3600 THEN printf('%.2fm', v / 60) ELSE printf('%.2fh', v / 3600) END AS took FROM s""")
+def duration_format(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "events").groupBy("event_type").agg(F.sum("value").alias("v"))
+    return s.select("event_type", X.duration(F.col("v")).alias("took"))
+
+
+@query("""SELECT doc_id, coalesce(n_chars, 0)::DOUBLE + 0.0 + (doc_id % 9)::DOUBLE AS total_time FROM documents""")
+def response_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Lengths as retrieval times, nothing for reranking, and a remainder of the id for generation."""
+    rows = table(spark, folder, "documents").select("doc_id", F.col("n_chars").cast("double").alias("retrieval"), F.lit(None).cast("double").alias("rerank"), (F.col("doc_id") % 9).cast("double").alias("generation"))
+    return metrics.response_times(rows).select("doc_id", "total_time")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
-from tidewell.operators import metrics, search
+from tidewell.operators import conversation, metrics, search
 from tidewell.plans.base import BM25, CONTEXTS, DOC_TOKENS, MERGED, RERANKED, SPARSE, TERMS, TRUTH, query
 from tidewell.sources.files import table
 
@@ -194,3 +194,18 @@ def top1_top3_recall(spark: SparkSession, folder: str) -> DataFrame:
     true = truth(spark, folder).withColumn("is_truth", F.lit(True))
     ranked = reranked(spark, folder).select("query", "doc", "rank").join(true, ["query", "doc"], "left").withColumn("is_truth", F.coalesce("is_truth", F.lit(False)))
     return metrics.first_item_recall(ranked)
+
+
+@query(f"""{_GRADED}, b AS (SELECT *, CASE WHEN label > 0 THEN 2.0 ** label - 1 ELSE 0 END AS gain, row_number() OVER (PARTITION BY query ORDER BY label DESC, rank) AS best FROM g),
+    s AS (SELECT query, sum(CASE WHEN rank <= 5 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN best <= 5 THEN gain / log2(best + 1) ELSE 0 END) AS ideal FROM b GROUP BY query)
+    SELECT count(*) AS n_queries, round(coalesce(avg(round(coalesce(dcg / nullif(ideal, 0), 0), 6)), 0), 6) AS ndcg FROM s""")
+def reranker_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Two levels: a metric for each query, then its mean."""
+    return metrics.mean_over_queries(ndcg_graded(spark, folder), ["ndcg"])
+
+
+@query(f"""WITH {BM25}, {SPARSE}, {MERGED}, {RERANKED}, {CONTEXTS}
+    SELECT query, 'Answer from the numbered context only and cite it like 【1】.' || chr(10) || chr(10) || context || chr(10) || chr(10) || text || ' /no_think' AS prompt FROM contexts JOIN benchmark ON item_id = query""")
+def chat_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return hybrid_rag_context(spark, folder).join(asked, "query").select("query", conversation.chat_prompt(F.col("text"), F.col("context")).alias("prompt"))
