@@ -71,3 +71,12 @@ def stream_windowed_rollup(spark: SparkSession, folder: str) -> DataFrame:
 def model_map(spark: SparkSession, folder: str) -> DataFrame:
     """Every document through the stand-in client."""
     return generate.ask(table(spark, folder, "documents").select("doc_id", "text"), "text", generate.Extract()).drop("text")
+
+
+@query(f"SELECT conv_id, sum({_COST})::BIGINT AS used, sum({_COST}) > 200 AS over FROM conversations GROUP BY conv_id")
+def stream_history_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation's last state after the stream has read all turns."""
+    schema = table(spark, folder, "conversations").schema
+    stream = jobs.history_budget(jobs.read_stream(spark, f"{folder}/conversations.parquet", schema), "conv_id", "text", 200)
+    rows = jobs.run_updates(stream, scratch(spark, "updates"), scratch(spark, "state"))
+    return rows.groupBy("conv_id").agg(F.max_by(F.struct("used", "over"), "batch").alias("s")).select("conv_id", "s.used", "s.over")

@@ -73,3 +73,13 @@ def history_budget(stream: DataFrame, conv: str, text: str, budget: int = 4096)
         yield pd.DataFrame({conv: [key[0]], "used": [used], "over": [used > budget]})
 
     return costs.groupBy(conv).applyInPandasWithState(add, f"{conv} long, used long, over boolean", "used long", "update", "NoTimeout")
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All updates that the stream makes now, as rows with the number of their batch."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/number={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(path).drop("number")
