@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,7 +67,27 @@ def per_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def ascii_lower(column: F.Column) -> F.Column:
+#: Tables of up to so many rows and bytes of keys are broadcast, after counting them.
+SMALL_ROWS, SMALL_BYTES, SALTS = 200_000, 16 << 20, 64
+
+
+def with_small(rows: DataFrame, few: DataFrame, key: str, few_key: str, spread: Column, how: str = "inner", also: Column | None = None) -> DataFrame:
+    """rows joined with few (one narrow row a key) where the keys are equal, null with null; and also holds, if given.
+
+    A key may have a third of all rows, so rows are never dealt by it: few is counted and then broadcast,
+    or beyond the bound repeated under SALTS salts, between which spread deals each key's rows.
+    """
+    n, size = few.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(few_key).cast("string"))), F.lit(0))).first()
+    same = F.col(key).eqNullSafe(F.col(few_key))
+    if n <= SMALL_ROWS and size <= SMALL_BYTES:
+        return rows.join(F.broadcast(few), same if also is None else same & also, how)
+    salted = rows.withColumn("_tw_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    every = few.withColumn("_tw_of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    same = same & (F.col("_tw_salt") == F.col("_tw_of_salt"))
+    return salted.join(every, same if also is None else same & also, how).drop("_tw_salt", "_tw_of_salt")
+
+
+def ascii_lower(column: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

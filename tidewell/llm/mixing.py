@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewell.llm.base import WORD, cut
+from tidewell.llm.base import WORD, cut, with_small
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
 
@@ -60,10 +60,10 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     """
     own = docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), key_of(id_column, text).alias("key"), words_in(F.col(text)).alias("size"))
     own = cut(own)
-    aims = _aims(own)
-    joined = own.join(aims, own["source"].eqNullSafe(aims["of"]))
+    aims = cut(_aims(own))
+    joined = with_small(own, aims, "source", "of", F.col("key"))
     n = copies(F.col("rate"), F.col("key"), seed)
-    return joined.select(F.col("id").alias(id_column), own["source"].alias(source), "size", "source_size", "target", "rate", n.alias("copies"), (F.col("size") * n).alias("taken"))
+    return joined.select(F.col("id").alias(id_column), F.col("source").alias(source), "size", "source_size", "target", "rate", n.alias("copies"), (F.col("size") * n).alias("taken"))
 
 
 def _aims(own: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def emit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     A source without words gives none of its documents.
     """
     aims = cut(_aims(docs.select(F.col(source).alias("source"), words_in(F.col(text)).alias("size")))).select(F.col("of").alias("_tw_of"), F.col("rate").alias("_tw_rate"))
-    joined = docs.join(aims, docs[source].eqNullSafe(aims["_tw_of"]))
+    joined = with_small(docs, aims, source, "_tw_of", key_of(id_column, text))
     n = copies(F.col("_tw_rate"), key_of(id_column, text), seed)
     times = joined.withColumn("_tw_copy", F.explode(F.array_repeat(F.lit(1), n.cast(T.IntegerType()))))
     return times.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.base import cut, per_text
+from tidewell.llm.base import cut, per_text, with_small
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]+")
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -110,7 +110,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text", host:
     marked = cut(measures(own, ["id", "host"], "text"))
     base, ordinary, strict = conditions(rules)
     hosts = host_verdicts(marked, ordinary, rules).select(F.col("host").alias("of"), "rate", "bad")
-    joined = marked.join(hosts, marked["host"].eqNullSafe(hosts["of"])).drop("of")
+    joined = with_small(marked, hosts, "host", "of", F.struct("id", "word_chars", "n_words")).drop("of")
     return joined.select(F.col("id").alias(id_column), F.col("host").alias(host), *NAMES, base.alias("base_failed"), F.col("rate").alias("host_rate"), F.col("bad").alias("host_bad"), (~ordinary & ~(F.col("bad") & strict)).alias("kept"))
 
 
@@ -125,5 +125,4 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules:
     hosts = host_verdicts(marked, ordinary, rules).where("bad").select(F.col("host").alias("_tw_of"))
     _, ordinary, strict = conditions(rules, "_tw_")
     again = measures(docs, docs.columns, text, "_tw_").where(~ordinary)
-    bad = again[host].eqNullSafe(hosts["_tw_of"]) & strict
-    return again.join(hosts, bad, "left_anti").select(*docs.columns)
+    return with_small(again, hosts, host, "_tw_of", F.col(text), "left_anti", strict).select(*docs.columns)
