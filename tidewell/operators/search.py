@@ -40,8 +40,9 @@ def bm25_index(docs: DataFrame, id_column: str, text: str) -> Index:
     n, mean_length = split.agg(F.count("*"), F.avg(F.size("tokens"))).first()
     if not n:
         raise ValueError("there are no documents to index")
-    postings = split.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    df = split.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # explode_outer, as explode() would make Spark tokenise each text once more for a filter on its size
+    postings = split.select("doc", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    df = split.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("raw")).alias("idf"))
@@ -54,23 +55,26 @@ def query_terms(queries: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def bm25(index: Index, queries: DataFrame, k: int = 10, id_column: str = "item_id", text: str = "text") -> DataFrame:
     """(query, doc, score, rank): Okapi BM25, a query's repeated tokens counting again; ties by doc."""
-    asked = query_terms(queries, id_column, text).join(index.terms.select("term", "idf"), "term")
+    terms = query_terms(queries, id_column, text)
+    asked = terms.join(index.terms.select("term", "idf"), "term")
     length = 1 - B + B * F.col("dl") / F.lit(index.mean_length)
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scored = index.postings.join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(weight), 6).alias("score"))
+    wanted = index.postings.join(terms.select("term"), "term", "left_semi")  # goes below the postings' own aggregate and its shuffle
+    scored = wanted.join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(weight), 6).alias("score"))
     return top(scored, "query", k, F.desc("score"), F.asc("doc"))
 
 
 def sparse_vectors(rows: DataFrame, id_column: str, text: str, as_name: str) -> DataFrame:
     """(as_name, term, weight): each token's share of its text."""
     split = rows.select(F.col(id_column).alias(as_name), X.tokens(F.col(text)).alias("tokens"))
-    return split.select(as_name, F.size("tokens").alias("n"), F.explode("tokens").alias("term")).groupBy(as_name, "n", "term").agg(F.count("*").alias("c")).select(as_name, "term", (F.col("c") / F.col("n")).alias("weight"))
+    return split.select(as_name, F.size("tokens").alias("n"), F.explode_outer("tokens").alias("term")).where("term is not null").groupBy(as_name, "n", "term").agg(F.count("*").alias("c")).select(as_name, "term", (F.col("c") / F.col("n")).alias("weight"))
 
 
 def sparse_ip(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, doc, score, rank) by the inner product of sparse vectors (doc or query, term, weight)."""
     asked = queries.withColumnRenamed("weight", "query_weight")
-    scored = docs.join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 9).alias("score"))
+    wanted = docs.join(asked.select("term"), "term", "left_semi")
+    scored = wanted.join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 9).alias("score"))
     return top(scored, "query", k, F.desc("score"), F.asc("doc"))
 
 
