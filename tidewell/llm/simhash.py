@@ -6,8 +6,8 @@ a vantage-point tree prunes little: the distances from any vantage point lie clo
 pair differed by more than its radius, more than ``radius`` bits would differ in all. Each block has
 a tree with its own small radius (0 or 1), and there the triangle bound cuts most branches.
 
-* A tree's top is grown from a bounded sample of fingerprints (SAMPLE, on the driver); its leaves
-  are the shards. Every fingerprint is sent to its own shard, and to each earlier shard which its
+* A tree's top is grown from a small, bounded sample of fingerprints (SHARE, SAMPLE; on the driver); its
+  leaves are the shards. Every fingerprint is sent to its own shard, and to each earlier shard which its
   ball reaches over the boundary.
 * A shard splits further inside its task, by the same rule, down to LEAF fingerprints, and compares
   there. It returns a spanning forest of what it links, never all pairs of a group.
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from tidewell.llm.base import cut, per_text
 
 SEED = 42
-#: Fingerprints that the trees' tops are grown from at most, and as many of them a shard at least.
-SAMPLE, SHARD_SAMPLE = 65_536, 16
+#: The trees' tops are grown from one fingerprint in SHARE, SAMPLE of them at most, and as many of them a shard at least.
+SHARE, SAMPLE, SHARD_SAMPLE = 16, 1 << 19, 16
 #: Fingerprints of a shard aimed at, and those that are compared without splitting.
 SHARD, LEAF = 4_000, 1_024
 
@@ -204,25 +204,27 @@ def links(points: DataFrame, radius: int, most: int | None = None) -> DataFrame:
     so many different bits in all, those of ``fingerprint`` included, besides radius.
     """
     forest, n = blocks(radius), points.count()
-    share = min(1.0, SAMPLE / max(1, n))
+    share = min(1 / SHARE, SAMPLE / max(1, n))
     drawn = points.select("fingerprint").where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE)
     sample = np.sort(np.array([r[0] for r in drawn.collect()], np.int64)).view(np.uint64)
     sample = np.random.default_rng(SEED).permutation(sample)
     leaf = max(SHARD_SAMPLE, round(SHARD * share))
-    trees = [(mask, r, grow(sample, mask, r, leaf)) for mask, r in forest]
+    trees = points.sparkSession.sparkContext.broadcast([grow(sample, mask, r, leaf) for mask, r in forest])
     cols = ["node", "fingerprint"] + ["check"] * (most is not None)
     fields = [T.StructField("tree", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("home", T.BooleanType())] + [points.schema[c] for c in cols]
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if batch.empty:
+                continue
             p, values = batch["fingerprint"].to_numpy(np.int64).view(np.uint64), {c: batch[c].to_numpy() for c in cols}
-            for k, (mask, r, nodes) in enumerate(trees):
-                parts = list(route(nodes, p, mask, r))
+            for k, (mask, r) in enumerate(forest):
+                parts = list(route(trees.value[k], p, mask, r))
                 own = np.concatenate([x for _, x, _ in parts])
                 yield pd.DataFrame({"tree": np.int32(k), "shard": np.repeat(np.array([x for x, _, _ in parts], np.int32), [len(x) for _, x, _ in parts]), "home": np.concatenate([x for _, _, x in parts])} | {c: v[own] for c, v in values.items()})
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        mask, r, _ = trees[key[0]]
+        mask, r = forest[key[0]]
         p, node = rows["fingerprint"].to_numpy(np.int64).view(np.uint64), rows["node"].to_numpy(np.int64)
         more = None if most is None else np.array(rows["check"].tolist(), np.int64).view(np.uint64).reshape(len(p), -1)
 
@@ -273,13 +275,12 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 def group(marked: DataFrame, radius: int, most: int | None = None) -> DataFrame:
     """marked (id, node, fingerprint and, with most, check) with component_id. Equal nodes have equal fingerprints."""
-    cols = ["node", "fingerprint"] + ["check"] * (most is not None)
-    points = cut(marked.groupBy(*cols).agg(F.min("id").alias("first_id")))
+    more = [F.any_value(c).alias(c) for c in ["fingerprint"] + ["check"] * (most is not None)]
+    points = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), *more))
     roots = components(links(points, radius, most))
     named = points.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = named.join(least, "root").groupBy("node").agg(F.min("component_id").alias("component_id"))
-    return marked.join(of_node, "node")
+    return marked.join(named.join(least, "root").select("node", "component_id"), "node")
 
 
 # --- near duplicates by the similarity of their shingles ---
