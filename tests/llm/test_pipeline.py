@@ -98,11 +98,11 @@ def test_stages_keep_the_columns(spark, folder):
 
 
 def test_stages_stand_nulls_and_clashing_names(spark, folder):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, host string, shard string, slot string, rate double, n_words long"
-    rows = [(None, None, None, None, None, "x", "x", "x", 0.5, 1), (1, None, "en", "a", 0, None, None, None, None, None), (1, "", "en", "a", 0, None, None, None, None, None)]
-    rows += [(k, "the same words " + " ".join(f"w{i}" for i in range(80)), "en", None, 1, "x", "x", "x", 0.1, 2) for k in (5, 5, 6, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, host string, shard string, slot string, rate double, n_words long, `a.b` string"
+    rows = [(None, None, None, None, None, "x", "x", "x", 0.5, 1, "y"), (1, None, "en", "a", 0, None, None, None, None, None, None), (1, "", "en", "a", 0, None, None, None, None, None, "y")]
+    rows += [(k, "the same words " + " ".join(f"w{i}" for i in range(80)), "en", None, 1, "x", "x", "x", 0.1, 2, "y") for k in (5, 5, 6, None)]
     docs = spark.createDataFrame(rows, schema)
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder[0])
         docs = spark.createDataFrame(docs.collect(), docs.schema)
-    assert docs.count() >= 0 and {"host", "rate", "n_words", "shard", "slot"} <= set(docs.columns)
+    assert docs.count() >= 0 and {"host", "rate", "n_words", "shard", "slot", "a.b"} <= set(docs.columns)

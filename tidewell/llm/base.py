@@ -62,9 +62,24 @@ def per_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
         work = make()
         for batch in batches:
             out = work(raw(batch.column(source)))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + [pa.array(out[n], k, from_pandas=False) for n, k in kinds], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + [pa.array(out[n], k, from_pandas=False) for n, k in kinds], names=plain(schema).names)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return map_batches(df.select(*named(columns)), run, schema)
+
+
+def plain(schema: T.StructType) -> T.StructType:
+    """schema with names that every interface takes: mapInArrow stumbles over dots."""
+    return T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+
+
+def map_batches(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """df through run by Arrow batches, whose columns have plain() names on both sides."""
+    return df.toDF(*plain(df.schema).names).mapInArrow(run, plain(schema)).toDF(*schema.names)
+
+
+def named(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{n}`") for n in names]
 
 
 #: Tables of up to so many rows and bytes of keys are broadcast, after counting them.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.base import raw
+from tidewell.llm.base import map_batches, raw
 
 HALF, BLOCK = 64, 8
 K1, B, THRESHOLD, OVERLAP, GRAM = 1.2, 0.75, 0.6, 0.6, 3
@@ -185,5 +185,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
             for batch in batches:
                 yield batch.filter(pa.array([not matches(x, sent.value) for x in raw(batch.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewell.llm.base import WORD, cut, with_small
+from tidewell.llm.base import WORD, cut, named, with_small
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
 
@@ -80,4 +80,4 @@ def emit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     joined = with_small(docs, aims, source, "_tw_of", key_of(id_column, text))
     n = copies(F.col("_tw_rate"), key_of(id_column, text), seed)
     times = joined.withColumn("_tw_copy", F.explode(F.array_repeat(F.lit(1), n.cast(T.IntegerType()))))
-    return times.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return times.select(*named(docs.columns))

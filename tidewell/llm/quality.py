@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.base import cut, per_text, with_small
+from tidewell.llm.base import cut, named, per_text, with_small
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]+")
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -125,4 +125,4 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules:
     hosts = host_verdicts(marked, ordinary, rules).where("bad").select(F.col("host").alias("_tw_of"))
     _, ordinary, strict = conditions(rules, "_tw_")
     again = measures(docs, docs.columns, text, "_tw_").where(~ordinary)
-    return with_small(again, hosts, host, "_tw_of", F.col(text), "left_anti", strict).select(*docs.columns)
+    return with_small(again, hosts, host, "_tw_of", F.col(text), "left_anti", strict).select(*named(docs.columns))
