@@ -138,6 +138,45 @@ def test_keep_one_keeps_the_smallest_of_each_group(spark, unique):
     assert simhash.keep_one(unique).columns == unique.columns
 
 
+def similar_texts(seed):
+    """Texts with edits, blocks put at either end and words dropped, most of them about as far off as 0.8."""
+    rng, texts = random.Random(seed), []
+    for n in [*range(0, 40), 60, 90, 150, 260, 400]:
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        texts.append(base)
+        for part in (0.05, 0.15, 0.2, 0.24, 0.25, 0.3):
+            extra = [f"x{rng.randint(0, 10**6)}" for _ in range(round(n * part))]
+            edited = list(base)
+            for at in rng.sample(range(n), round(n * part / 10)):
+                edited[at] = "edited"
+            texts += [base + extra, extra + base, edited, base[round(n * part * 0.8) :]]
+    return [" ".join(x) for x in texts]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_signatures_miss_no_similar_pair():
+    sets = [simhash.shingles_of(t.encode()) for t in dict.fromkeys(similar_texts(1) + similar_texts(2))]
+    plain, marks = [set(s.tolist()) for s in sets], [set(simhash.signatures(s).tolist()) for s in sets]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(plain[i], plain[j]) >= 0.8]
+    assert sum(jaccard(plain[i], plain[j]) < 0.85 for i, j in near) > 100
+    assert all(marks[i] & marks[j] for i, j in near)
+
+
+@pytest.mark.parametrize("together", [1, 512])
+def test_keep_one_is_that_of_all_jaccard_pairs(spark, monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    texts = similar_texts(3)
+    words = [t.split() for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    roots = plain_components(sets, lambda a, b: jaccard(a, b) >= 0.8)
+    rows = list(enumerate(texts))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(least_ids(rows, roots))
+
+
 def test_keep_one_without_usable_ids(spark, docs):
     kept = simhash.keep_one(docs).collect()
     texts = [(r.text or "").lower().split() for r in kept]

@@ -19,12 +19,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.base import cut, per_text
+from tidewell.llm.base import cut, per_text, raw, with_small
 
 SEED = 42
 #: The trees' tops are grown from one fingerprint in SHARE, SAMPLE of them at most, and as many of them a shard at least.
@@ -285,10 +286,12 @@ def group(marked: DataFrame, radius: int, most: int | None = None) -> DataFrame:
 
 # --- near duplicates by the similarity of their shingles ---
 
-#: The search: fingerprints of distinct words, of which so many bits may differ.
+#: The sketch of a text, from which similarity can be estimated: CHECKS fingerprints of 64 bits of its shingles of CHECK_WIDTH
+#: words, and one of its distinct words, of which near copies differ in about WORDS_RADIUS. It decides nothing here.
 WORDS_RADIUS = 7
-#: The decision: so many further fingerprints of five-word shingles, 64 bits each.
-CHECKS, CHECK_WIDTH, SIMILARITY = 4, 5, 0.8
+CHECKS, CHECK_WIDTH = 4, 5
+#: Components of candidates up to so many texts are compared in one task, larger ones in joins.
+TOGETHER = 512
 
 
 def bits_for(similarity: float, bits: int) -> int:
@@ -312,43 +315,184 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def shingles_of(text: bytes) -> np.ndarray:
+    """The hashes of a text's distinct five-word shingles, sorted; a shorter text is one shingle, one without words none."""
+    words = text.lower().split()
+    hashed, n = xxhash.xxh64_intdigest, len(words)
+    joined = b" ".join(words)
+    if n <= CHECK_WIDTH:
+        return np.array([hashed(joined, SEED)] if n else [], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    first, last = (ends - lengths)[: n - CHECK_WIDTH + 1].tolist(), ends[CHECK_WIDTH - 1 :].tolist()
+    return np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64))
+
+
 def sketch(text: bytes) -> tuple[int, list[int]]:
     """The fingerprint of a text's distinct words, and CHECKS fingerprints of its distinct five-word shingles."""
     words = text.lower().split()
     if not words:
         return 0, [0] * CHECKS
-    hashed, n = xxhash.xxh64_intdigest, len(words)
-    joined = b" ".join(words)
-    if n <= CHECK_WIDTH:
-        shingles = np.array([hashed(joined, SEED)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(lengths + 1) - 1
-        first, last = (ends - lengths)[: n - CHECK_WIDTH + 1].tolist(), ends[CHECK_WIDTH - 1 :].tolist()
-        shingles = np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64))
-    own = np.array([hashed(w, SEED) for w in set(words)], np.uint64)
+    shingles = shingles_of(text)
+    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
     return int(majority(own)), [int(majority(remixed(shingles, k))) for k in range(1, CHECKS + 1)]
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, node (a number of the sketch) and component_id, as in near_groups, for near duplicates by similarity.
+def size_range(n: int) -> tuple[int, int]:
+    """(first, last) of the range of set sizes that n is in. Sets that reach SIMILARITY lie in one range or in two neighbours."""
+    first = 1
+    while (after := first * 5 // 4 + 1) <= n:
+        first = after
+    return first, after - 1
 
-    Two texts are linked if the fingerprints of their distinct words differ in WORDS_RADIUS bits at most, and
-    those of their five-word shingles in no more bits than SIMILARITY gives on average. Near
-    copies share nearly all words, so the first test is the search and the second decides.
+
+def signatures(shingles: np.ndarray) -> np.ndarray:
+    """Hashes of which any two sets of Jaccard similarity 0.8 or more have one in common at least.
+
+    Sets of a and b shingles differ in (a + b) / 9 of them at most. In each range of sizes (the set's own, and
+    the next if it has partners there) shingles are dealt by hash to more parts than may differ, and a part's
+    content is a signature; so some part is equal in both. Where a set has so many empty parts that the equal
+    ones might all be empty, its smallest hashes (the prefix of which two such sets must share one) are added.
     """
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.uint64)
+    ranges = [size_range(n)]
+    if n * 5 // 4 > ranges[0][1]:
+        ranges.append(size_range(ranges[0][1] + 1))
+    dealt, mixed, out, prefix = remixed(shingles, 1), remixed(shingles, 2), [], False
+    for first, last in ranges:
+        differ = 2 * last // 9
+        parts = differ + 1 + (1 + differ // 16 if differ else 0)
+        part = (dealt % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        own = np.uint64(first << 32) + part[at].astype(np.uint64)
+        out.append(remixed(np.add.reduceat(mixed[order], at) ^ remixed(own, 3), 4))
+        prefix |= parts - differ <= parts - len(at)
+    if prefix:
+        out.append(remixed(shingles[: n // 5 + 1], 5))
+    return np.concatenate(out)
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(signature, node, centre) of docs (node, text) for the signatures of several nodes; centre: the smallest of these."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signatures(shingles_of(x)) for x in raw(batch.column(1))]
+            if found:
+                node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["signature", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not seen:
+            return
+        s, node = (np.concatenate(x) for x in zip(*seen, strict=True))
+        order = np.lexsort((node, s))
+        s, node = s[order], node[order]
+        new = np.diff(s, prepend=s[:1]) != 0
+        new[:1] = True
+        once = new | (np.diff(node, prepend=node[:1]) != 0)
+        s, node, new = s[once], node[once], new[once]
+        at = np.flatnonzero(new)
+        n = np.diff(at, append=len(s))
+        several = np.repeat(n > 1, n)
+        out = [s[several], node[several], np.repeat(node[at], n)[several]]
+        for k in range(0, len(out[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in out], names=["signature", "node", "centre"])
+
+    return docs.select("node", "text").mapInArrow(send, "signature long, node long").repartition("signature").mapInArrow(meet, "signature long, node long, centre long")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets (node, shingles) have a Jaccard similarity of 0.8 or more, by all their shingles."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    n_a, n_b = F.size("of_a"), F.size("of_b")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    near = (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * both >= 4 * (n_a + n_b))
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b")
+
+
+def joined(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs that connect the sets as all pairs of Jaccard similarity 0.8 or more do; pairs that others connect aren't compared."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    of, begin = np.repeat(np.arange(n), size), np.cumsum(size) - size
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    posting, at = of[order], np.searchsorted(number[order], np.arange(int(number.max(initial=-1)) + 2))
+    label, todo, edges = np.arange(n), np.ones(n, bool), []
+    while True:
+        left = np.flatnonzero(todo)
+        if not len(left) or (label[left] == label[left[0]]).all():
+            return edges
+        i = left[np.argmin(np.bincount(label[left], minlength=n)[label[left]])]
+        todo[i] = False
+        others = left[label[left] != label[i]]
+        own = number[begin[i] : begin[i] + size[i]]
+        times = at[own + 1] - at[own]
+        place = np.arange(times.sum()) + np.repeat(at[own] - np.cumsum(times) + times, times)
+        both = np.bincount(posting[place], minlength=n)[others]
+        for j in others[9 * both >= 4 * (size[i] + size[others])]:
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                edges.append((i, j))
+
+
+def joined_within(sets: DataFrame) -> DataFrame:
+    """(a, b): links between the nodes of each root in sets (node, root, shingles), as many as connect what all links do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: dict[int, list] = {}
+        for batch in batches:
+            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            for k, (node, root) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                members.setdefault(root, []).append((node, values[ends[k] : ends[k + 1]]))
+        found = [(own[i][0], own[j][0]) for own in members.values() for i, j in joined([x for _, x in own])]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def make() -> Callable[[list[bytes]], dict]:
-        def work(texts: list[bytes]) -> dict:
-            found = [sketch(x) for x in texts]
-            return {"fingerprint": np.array([f for f, _ in found], np.uint64).view(np.int64), "check": [np.array(c, np.uint64).view(np.int64) for _, c in found]}
+    return sets.select("node", "root", "shingles").repartition("root").mapInArrow(run, "a long, b long")
+
+
+def joined_by_pairs(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """As joined_within, for components too large for a task: pairs of nodes under a common signature meet their sets in joins.
 
-        return work
+    The nodes of a signature are first compared with one of them, then each with each where they aren't yet in one component.
+    """
+    stars = groups.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    edges = cut(similar(stars, sets))
+    apart = cut(groups.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    apart = apart.join(apart.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high"), "signature")
+    one, other = (apart.select("signature", F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("centre").alias(f"centre_{c}")) for c in "ab")
+    rest = one.join(other, "signature").where("a < b and root_a <> root_b and a <> centre_a").select("a", "b").distinct()
+    return edges.union(similar(rest, sets))
+
+
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, node (a hash of the text) and component_id, as in near_groups, for near duplicates by similarity; ids are unique.
 
-    added = T.StructType([T.StructField("fingerprint", T.LongType()), T.StructField("check", T.ArrayType(T.LongType()))])
-    own = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    marked = cut(per_text(own, ["id"], "text", make, added).withColumn("node", F.xxhash64("fingerprint", "check")))
-    return group(marked, WORDS_RADIUS, bits_for(SIMILARITY, 64 * CHECKS))
+    Two texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. Signatures that no
+    such pair can miss give components of candidates, one node for equal texts; inside them all shingles decide.
+    Components of up to TOGETHER nodes are compared in one task each, larger ones pair by pair in joins.
+    """
+    own = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    maybe = components(signed(own).where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    points = cut(own.groupBy("node").agg(F.min("id").alias("first_id")))
+    large = maybe.groupBy("root").count().where(F.col("count") > TOGETHER).select("root", F.lit(True).alias("large"))
+    asked = cut(points.join(maybe, "node").join(large, "root", "left").select("node", "root", "first_id", F.coalesce("large", F.lit(False)).alias("large")))
+    texts = with_small(own.select("id", "text"), asked, "id", "first_id", F.col("id"))
+    added = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
+    sets = lambda rows: per_text(rows, ["node", "root"], "text", lambda: lambda xs: {"shingles": [shingles_of(x).view(np.int64) for x in xs]}, added)
+    edges = joined_within(sets(texts.where("not large")))
+    if asked.where("large").limit(1).count():
+        far = texts.where("large")
+        edges = edges.union(joined_by_pairs(cut(signed(far)), cut(sets(far))))
+    roots = components(edges)
+    named = points.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return own.select("id", "node").join(named.join(least, "root").select("node", "component_id"), "node")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
