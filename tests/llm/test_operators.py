@@ -439,6 +439,18 @@ def test_decontamination_finds_items_and_only_them(spark):
     assert Counter(kept) == Counter(r[0] for r in rows if (r[0], None) not in got and not any(k[0] == r[0] for k in got))
 
 
+@pytest.mark.parametrize("n", range(1, 10))
+def test_short_items_are_found_in_longer_texts(n):
+    rng = random.Random(n)
+    item = [f"q{i}" for i in range(n)]
+    index = decontaminate.build([(0, " ".join(item).encode())] + [(i, prose(rng, 30).encode()) for i in range(1, 20)])
+    for length, at in ((0, 0), (100, 0), (100, 50), (100, 100), (300, 62), (300, 127)):
+        around = prose(rng, length).split()
+        assert decontaminate.matches(" ".join(around[:at] + item + around[at:]).encode(), index)[0] == (pytest.approx(1), 1, 1)
+        if n > 1:
+            assert 0 not in decontaminate.matches(" ".join(around[:at] + item[::-1] + around[at:]).encode(), index)
+
+
 def test_retrieval_is_that_of_all_scores():
     rng = random.Random(4)
     index = decontaminate.build([(i, prose(rng, 40).encode()) for i in range(50)])

@@ -36,8 +36,8 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    return {tuple(words[i : i + GRAM]) for i in range(max(1, len(words) - GRAM + 1))} if words else set()
+def grams(words: list[bytes], size: int = GRAM) -> set[tuple[bytes, ...]]:
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
 @dataclass
@@ -59,7 +59,10 @@ class Index:
 
 
 def build(items: list[tuple[int, bytes]]) -> Index:
-    """The index of (item id, text). A question is an entry's first two thirds of words, its answer the rest."""
+    """The index of (item id, text). A question is an entry's first two thirds of words, its answer the rest.
+
+    An entry too short for GRAM words in both is all question, and one gram of all its words.
+    """
     parts, entries = [], []
     for item, text in items:
         words = words_of(text)
@@ -68,7 +71,7 @@ def build(items: list[tuple[int, bytes]]) -> Index:
             own = words[k * len(words) // n : (k + 1) * len(words) // n]
             middle = -(-2 * len(own) // 3)
             parts.append(Counter(own))
-            entries.append((item, grams(own[:middle]), grams(own[middle:])))
+            entries.append((item, grams(own[:middle]), grams(own[middle:])) if len(own) - middle >= GRAM else (item, {tuple(own)}, set()))
     number = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
     df = np.bincount([number[w] for p in parts for w in p], minlength=len(number)) if parts else np.zeros(0)
     idf = np.log(1 + (len(parts) - df + 0.5) / (df + 0.5))
@@ -131,7 +134,7 @@ def matches(text: bytes, index: Index, threshold: float = THRESHOLD, overlap: fl
         return found
     for w, e, score in zip(*(x.tolist() for x in retrieve(np.array([get(x, -1) for x in words], np.int64), index, threshold)), strict=True):
         item, question, answer = index.entries[e]
-        there = grams(words[w * HALF : (w + 2) * HALF])
+        there = grams(words[w * HALF : (w + 2) * HALF], len(next(iter(question))))
         row = (score, share(question, there), share(answer, there))
         if min(row[1:]) >= overlap and row > found.get(item, (0.0, 0.0, 0.0)):
             found[item] = row
@@ -156,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     """(id, item_id, score, question_overlap, answer_overlap): each test item that each whole text holds.
 
     An item counts if one of its entries is retrieved and both its parts' word trigrams are found to at least
-    OVERLAP in the passage. Null and empty texts and items match nothing. Repeated documents each have their
+    OVERLAP in the passage; items of fewer than 9 words, if all their words stand there in a row. Null and empty texts and items match nothing. Repeated documents each have their
     rows; an item id that stands twice counts once. Empty tables give no rows.
     """
     out = None
