@@ -290,7 +290,7 @@ def group(marked: DataFrame, radius: int, most: int | None = None) -> DataFrame:
 #: words, and one of its distinct words, of which near copies differ in about WORDS_RADIUS. It decides nothing here.
 WORDS_RADIUS = 7
 CHECKS, CHECK_WIDTH = 4, 5
-#: Components of candidates up to so many texts are compared in one task, larger ones in joins.
+#: Components of more candidates than that are first parted by parities, which hold a sixteenth to a thirty-second of their shingles' bytes.
 TOGETHER = 512
 
 
@@ -407,15 +407,6 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(send, "signature long, node long").repartition("signature").mapInArrow(meet, "signature long, node long, centre long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets (node, shingles) have a Jaccard similarity of 0.8 or more, by all their shingles."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
-    n_a, n_b = F.size("of_a"), F.size("of_b")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    near = (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * both >= 4 * (n_a + n_b))
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b")
-
-
 def joined(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs that connect the sets as all pairs of Jaccard similarity 0.8 or more do; pairs that others connect aren't compared."""
     n, size = len(sets), np.array([len(x) for x in sets])
@@ -456,18 +447,39 @@ def joined_within(sets: DataFrame) -> DataFrame:
     return sets.select("node", "root", "shingles").repartition("root").mapInArrow(run, "a long, b long")
 
 
-def joined_by_pairs(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """As joined_within, for components too large for a task: pairs of nodes under a common signature meet their sets in joins.
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls under each of 2^k bits, two a shingle at least. Sets differ in no fewer shingles than bits."""
+    bits = 64
+    while bits < 2 * len(shingles):
+        bits *= 2
+    odd = np.bincount((remixed(shingles, 6) % np.uint64(bits)).astype(np.int64), minlength=bits) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
-    The nodes of a signature are first compared with one of them, then each with each where they aren't yet in one component.
-    """
-    stars = groups.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    edges = cut(similar(stars, sets))
-    apart = cut(groups.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    apart = apart.join(apart.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high"), "signature")
-    one, other = (apart.select("signature", F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("centre").alias(f"centre_{c}")) for c in "ab")
-    rest = one.join(other, "signature").where("a < b and root_a <> root_b and a <> centre_a").select("a", "b").distinct()
-    return edges.union(similar(rest, sets))
+
+def sifted(rows: DataFrame) -> DataFrame:
+    """(a, b): links between the nodes of each signature in rows (signature, node, n, parity), as many as connect all that may be similar by their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, list] = {}
+        for batch in batches:
+            ends, values = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy().view(np.uint64)
+            for k, (signature, node, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                groups.setdefault(signature, []).append((node, n, values[ends[k] : ends[k + 1]]))
+        found: set[tuple[int, int]] = set()
+        for own in groups.values():
+            own.sort(key=lambda x: x[0])
+            width = min(len(x[2]) for x in own)
+            odd = np.array([np.bitwise_xor.reduce(x[2].reshape(-1, width), axis=0) for x in own])
+            n, label = np.array([x[1] for x in own], np.int64), np.arange(len(own))
+            for i in range(len(own) - 1):
+                others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                for j in others[9 * np.bitwise_count(odd[others] ^ odd[i]).sum(1, dtype=np.int64) <= n[others] + n[i]]:
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        found.add((own[i][0], own[j][0]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select("signature", "node", "n", "parity").repartition("signature").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -475,21 +487,26 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     Two texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. Signatures that no
     such pair can miss give components of candidates, one node for equal texts; inside them all shingles decide.
-    Components of up to TOGETHER nodes are compared in one task each, larger ones pair by pair in joins.
+    Components of more than TOGETHER nodes are parted first, by parities that part no such pair. Each is compared in a task.
     """
     own = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     maybe = components(signed(own).where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     points = cut(own.groupBy("node").agg(F.min("id").alias("first_id")))
     large = maybe.groupBy("root").count().where(F.col("count") > TOGETHER).select("root", F.lit(True).alias("large"))
     asked = cut(points.join(maybe, "node").join(large, "root", "left").select("node", "root", "first_id", F.coalesce("large", F.lit(False)).alias("large")))
-    texts = with_small(own.select("id", "text"), asked, "id", "first_id", F.col("id"))
-    added = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
-    sets = lambda rows: per_text(rows, ["node", "root"], "text", lambda: lambda xs: {"shingles": [shingles_of(x).view(np.int64) for x in xs]}, added)
-    edges = joined_within(sets(texts.where("not large")))
+    texts = lambda few: with_small(own.select("id", "text"), few, "id", "first_id", F.col("id"))
     if asked.where("large").limit(1).count():
-        far = texts.where("large")
-        edges = edges.union(joined_by_pairs(cut(signed(far)), cut(sets(far))))
-    roots = components(edges)
+        far, added = texts(asked.where("large")), T.StructType([T.StructField("n", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType()))])
+
+        def odd(found: list[bytes]) -> dict:
+            every = [shingles_of(x) for x in found]
+            return {"n": [len(x) for x in every], "parity": [parities(x).view(np.int64) for x in every]}
+
+        maybe = components(sifted(signed(far).select("signature", "node").join(per_text(far, ["node"], "text", lambda: odd, added), "node")))
+        asked = cut(asked.where("not large").unionByName(asked.where("large").drop("root").join(maybe, "node").select(asked.columns)))
+    added = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
+    sets = per_text(texts(asked), ["node", "root"], "text", lambda: lambda xs: {"shingles": [shingles_of(x).view(np.int64) for x in xs]}, added)
+    roots = components(joined_within(sets))
     named = points.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return own.select("id", "node").join(named.join(least, "root").select("node", "component_id"), "node")
