@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.base import cut, per_text, raw, with_small
+from tidewell.llm.base import HOT, SMALL_ROWS, cut, per_text, raw, with_keyed, with_small
 
 SEED = 42
 #: The trees' tops are grown from one fingerprint in SHARE, SAMPLE of them at most, and as many of them a shard at least.
@@ -161,11 +162,8 @@ class Links:
         self.edges += [np.column_stack((np.full(len(x), i), x)) for x in firsts if len(x)]
 
 
-def link(points: np.ndarray, home: np.ndarray, mask: int, block_radius: int, near: Callable[[int, np.ndarray], np.ndarray], radius: int) -> np.ndarray:
-    """Edges (rows of two indexes) that connect the points as all their links do which touch a home point.
-
-    near(i, others) keeps those of others, all within radius of i, that are linked to i.
-    """
+def link(points: np.ndarray, home: np.ndarray, mask: int, block_radius: int, radius: int) -> np.ndarray:
+    """Edges (rows of two indexes) that connect the points as all their links do which touch a home point."""
     links, m = Links(len(points)), np.uint64(mask)
 
     def compare(own: np.ndarray, at_home: np.ndarray) -> None:
@@ -180,7 +178,7 @@ def link(points: np.ndarray, home: np.ndarray, mask: int, block_radius: int, nea
                 i, others = order[a + r], order[a:][close[r]]
                 others = others[links.label[others] != links.label[i]]
                 if len(others):
-                    links.join(i, near(i, others))
+                    links.join(i, others)
 
     stack = [(np.arange(len(points)), home)]
     while stack:
@@ -198,12 +196,8 @@ def link(points: np.ndarray, home: np.ndarray, mask: int, block_radius: int, nea
     return np.concatenate(links.edges) if links.edges else np.empty((0, 2), np.int64)
 
 
-def links(points: DataFrame, radius: int, most: int | None = None) -> DataFrame:
-    """(a, b): links between the nodes of points (node, fingerprint), as many as connect what all links do.
-
-    most: points also have ``check``, further fingerprints (array of longs); then a link needs at most
-    so many different bits in all, those of ``fingerprint`` included, besides radius.
-    """
+def links(points: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links between the nodes of points (node, fingerprint), as many as connect what all links do."""
     forest, n = blocks(radius), points.count()
     share = min(1 / SHARE, SAMPLE / max(1, n))
     drawn = points.select("fingerprint").where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE)
@@ -211,7 +205,7 @@ def links(points: DataFrame, radius: int, most: int | None = None) -> DataFrame:
     sample = np.random.default_rng(SEED).permutation(sample)
     leaf = max(SHARD_SAMPLE, round(SHARD * share))
     trees = points.sparkSession.sparkContext.broadcast([grow(sample, mask, r, leaf) for mask, r in forest])
-    cols = ["node", "fingerprint"] + ["check"] * (most is not None)
+    cols = ["node", "fingerprint"]
     fields = [T.StructField("tree", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("home", T.BooleanType())] + [points.schema[c] for c in cols]
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,38 +221,36 @@ def links(points: DataFrame, radius: int, most: int | None = None) -> DataFrame:
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         mask, r = forest[key[0]]
         p, node = rows["fingerprint"].to_numpy(np.int64).view(np.uint64), rows["node"].to_numpy(np.int64)
-        more = None if most is None else np.array(rows["check"].tolist(), np.int64).view(np.uint64).reshape(len(p), -1)
-
-        def near(i: int, others: np.ndarray) -> np.ndarray:
-            if more is None:
-                return others
-            bits = np.bitwise_count(p[others] ^ p[i]).astype(np.int64) + np.bitwise_count(more[others] ^ more[i]).sum(1, dtype=np.int64)
-            return others[bits <= most]
-
-        edges = link(p, rows["home"].to_numpy(bool), mask, r, near, radius)
+        edges = link(p, rows["home"].to_numpy(bool), mask, r, radius)
         return pd.DataFrame({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
     sent = points.select(*cols).mapInPandas(send, T.StructType(fields))
     return sent.groupBy("tree", "shard").applyInPandas(compare, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node in edges (a, b) reaches.
+def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """(node, root): of all nodes that each node in edges (a, b) reaches, the least label.
 
-    Every round a node takes the smallest label of its neighbours, then that label's own label; so
-    labels travel twice as far each round. The end is when a round changes none.
+    A label is a struct: with first (node, first_id) the node's id (nulls last) and the node, else the node
+    alone. Every round a node takes the least label of its neighbours, then the label of the node that this
+    label names; so labels travel twice as far each round. The end is when a round changes none. Hubs
+    and widespread labels are never dealt by their own key.
     """
     both = cut(edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
+    nodes = both.select(F.col("a").alias("node")).distinct()
+    if first is None:
+        own = F.struct(F.lit(False).alias("no_id"), F.lit(None).cast("long").alias("first_id"), F.col("node"))
+    else:
+        nodes, own = nodes.join(first.select("node", "first_id"), "node"), F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "node")
+    labels = cut(nodes.select("node", own.alias("root")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        new = cut(low.join(jump, "low").select("node", F.col("root").alias("old"), F.least("low", "far").alias("root")))
-        changed = new.where("old <> root").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
-            return labels
+        near = with_keyed(both, labels.select(F.col("node").alias("b"), "root"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        low = cut(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("low"), F.least("root", "near")["node"].alias("at")))
+        if not low.where("old <> low").limit(1).count():
+            return low.select("node", F.col("low").alias("root"))
+        lows = low.select("at").distinct()
+        jump = low.where(F.col("at") != F.col("node")).join(lows.withColumnRenamed("at", "_tw_at"), F.col("node") == F.col("_tw_at"), "left_semi").select(F.col("node").alias("_tw_at"), F.col("low").alias("far"))
+        labels = cut(with_small(low.select("node", "low", "at"), jump, "at", "_tw_at", F.col("node"), "left").select("node", F.coalesce(F.least("low", "far"), "low").alias("root")))
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -269,35 +261,30 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     other. Equal fingerprints (copies, ties, repeated rows) become one point before any search. An
     empty table gives an empty result; further columns are not read.
     """
-    marked = cut(fingerprints(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")), ["id"], "text", width))
-    grouped = group(marked.withColumn("node", F.col("fingerprint")), radius)
-    return grouped.select(F.col("id").alias(id_column), "fingerprint", "component_id")
+    marked = cut(fingerprints(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")), ["id"], "text", width, "node"))
+    points = cut(marked.groupBy("node").agg(F.min("id").alias("first_id")))
+    roots = components(links(points.select("node", F.col("node").alias("fingerprint")), radius), points)
+    found = with_keyed(marked, grouped(points, roots), "node", "id")
+    return found.select(F.col("id").alias(id_column), F.col("node").alias("fingerprint"), "component_id")
 
 
-def group(marked: DataFrame, radius: int, most: int | None = None) -> DataFrame:
-    """marked (id, node, fingerprint and, with most, check) with component_id. Equal nodes have equal fingerprints."""
-    more = [F.any_value(c).alias(c) for c in ["fingerprint"] + ["check"] * (most is not None)]
-    points = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), *more))
-    roots = components(links(points, radius, most))
-    named = points.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(named.join(least, "root").select("node", "component_id"), "node")
+def grouped(points: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id) of all points (node, first_id): the least id of the nodes that links reach."""
+    of = F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("root.first_id"))
+    return cut(points.join(roots, "node", "left").select("node", of.alias("component_id")))
 
 
 # --- near duplicates by the similarity of their shingles ---
 
-#: The sketch of a text, from which similarity can be estimated: CHECKS fingerprints of 64 bits of its shingles of CHECK_WIDTH
-#: words, and one of its distinct words, of which near copies differ in about WORDS_RADIUS. It decides nothing here.
+#: Trees over fingerprints of distinct words find most near copies within so many bits: texts with a few edits.
 WORDS_RADIUS = 7
-CHECKS, CHECK_WIDTH = 4, 5
-#: Components of more candidates than that are first parted by parities, which hold a sixteenth to a thirty-second of their shingles' bytes.
-TOGETHER = 512
-
-
-def bits_for(similarity: float, bits: int) -> int:
-    """How many of bits differ on average between fingerprints of sets with that Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(bits * np.arccos(cosine) / np.pi)
+WIDTH = 5
+#: Texts that share a rare shingle are paired if they are so many at most; else they are compared block by block.
+FEW = 64
+#: Sets that one task compares at once come in two blocks of about so many.
+BLOCK = 256
+#: Counters for how often shingles occur, and how far above a task's mean a counter must be to be reported.
+COUNTERS, ABOVE = 1 << 20, 8
 
 
 def majority(hashes: np.ndarray, block: int = 65_536) -> np.uint64:
@@ -307,12 +294,10 @@ def majority(hashes: np.ndarray, block: int = 65_536) -> np.uint64:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
-def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th independent hash for each hash: the finalizer of SplitMix64."""
-    z = hashes + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def words_fingerprint(text: bytes) -> int:
+    """The fingerprint of a text's distinct words; no words: 0."""
+    words = set(text.lower().split())
+    return int(majority(np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64))) if words else 0
 
 
 def shingles_of(text: bytes) -> np.ndarray:
@@ -320,71 +305,93 @@ def shingles_of(text: bytes) -> np.ndarray:
     words = text.lower().split()
     hashed, n = xxhash.xxh64_intdigest, len(words)
     joined = b" ".join(words)
-    if n <= CHECK_WIDTH:
+    if n <= WIDTH:
         return np.array([hashed(joined, SEED)] if n else [], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
-    first, last = (ends - lengths)[: n - CHECK_WIDTH + 1].tolist(), ends[CHECK_WIDTH - 1 :].tolist()
+    first, last = (ends - lengths)[: n - WIDTH + 1].tolist(), ends[WIDTH - 1 :].tolist()
     return np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64))
 
 
-def sketch(text: bytes) -> tuple[int, list[int]]:
-    """The fingerprint of a text's distinct words, and CHECKS fingerprints of its distinct five-word shingles."""
-    words = text.lower().split()
-    if not words:
-        return 0, [0] * CHECKS
-    shingles = shingles_of(text)
-    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-    return int(majority(own)), [int(majority(remixed(shingles, k))) for k in range(1, CHECKS + 1)]
+def counter_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(44)).astype(np.int64)
 
 
-def size_range(n: int) -> tuple[int, int]:
-    """(first, last) of the range of set sizes that n is in. Sets that reach SIMILARITY lie in one range or in two neighbours."""
-    first = 1
-    while (after := first * 5 // 4 + 1) <= n:
-        first = after
-    return first, after - 1
+def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The rarest fifth of a set, and one more: any two sets of Jaccard similarity 0.8 or more share one of these.
 
+    That holds for any one order of all shingles. Here common (counts by counter_of) decides, then the hash, so
+    that widespread passages come last. A set without shingles has a mark of its own.
+    """
+    if not len(shingles):
+        return np.zeros(1, np.uint64)
+    rank = common[counter_of(shingles)]
+    return shingles[np.lexsort((shingles, rank))[: len(shingles) // 5 + 1]]
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
-    """Hashes of which any two sets of Jaccard similarity 0.8 or more have one in common at least.
 
-    Sets of a and b shingles differ in (a + b) / 9 of them at most. In each range of sizes (the set's own, and
-    the next if it has partners there) shingles are dealt by hash to more parts than may differ, and a part's
-    content is a signature; so some part is equal in both. Where a set has so many empty parts that the equal
-    ones might all be empty, its smallest hashes (the prefix of which two such sets must share one) are added.
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls under each of 2^k bits, one a shingle at least. Sets differ in no fewer shingles than bits."""
+    bits = 64
+    while bits < len(shingles):
+        bits *= 2
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def may_reach(n: int, odd: np.ndarray, m: int, other: np.ndarray) -> bool:
+    """Whether sets of n and m shingles with these parities can have a Jaccard similarity of 0.8."""
+    if len(odd) > len(other):
+        odd, other = other, odd
+    apart = odd ^ np.bitwise_xor.reduce(other.reshape(-1, len(odd)), axis=0)
+    return 9 * int(np.bitwise_count(apart).sum(dtype=np.int64)) <= n + m
+
+
+def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """docs (id, node, text) as (id, node, fingerprint of the words, n shingles, parity), and how common shingles are by COUNTERS.
+
+    Each task reports only the counters that stand out; so what reaches the driver is at most COUNTERS
+    numbers, and rare shingles count 0. These counts order shingles and decide nothing.
     """
-    n = len(shingles)
-    if not n:
-        return np.zeros(1, np.uint64)
-    ranges = [size_range(n)]
-    if n * 5 // 4 > ranges[0][1]:
-        ranges.append(size_range(ranges[0][1] + 1))
-    dealt, mixed, out, prefix = remixed(shingles, 1), remixed(shingles, 2), [], False
-    for first, last in ranges:
-        differ = 2 * last // 9
-        parts = differ + 1 + (1 + differ // 16 if differ else 0)
-        part = (dealt % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        at = np.flatnonzero(np.diff(part, prepend=-1))
-        own = np.uint64(first << 32) + part[at].astype(np.uint64)
-        out.append(remixed(np.add.reduceat(mixed[order], at) ^ remixed(own, 3), 4))
-        prefix |= parts - differ <= parts - len(at)
-    if prefix:
-        out.append(remixed(shingles[: n // 5 + 1], 5))
-    return np.concatenate(out)
-
-
-def signed(docs: DataFrame) -> DataFrame:
-    """(signature, node, centre) of docs (node, text) for the signatures of several nodes; centre: the smallest of these."""
+
+    kind, longs = to_arrow_type(docs.schema["id"].dataType), pa.list_(pa.int64())
+    names = ["id", "node", "fingerprint", "n", "parity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            texts = raw(batch.column(2))
+            sets = [shingles_of(x) for x in texts]
+            if sets:
+                counts += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
+            marks = np.array([words_fingerprint(x) for x in texts], np.uint64).view(np.int64)
+            own = [pa.array(marks), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x).view(np.int64) for x in sets], longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=names)
+        slots = np.flatnonzero(counts > ABOVE + 2 * counts.mean())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(slots), kind), pa.array(slots), pa.nulls(len(slots), pa.int64()), pa.array(counts[slots]), pa.nulls(len(slots), longs)], names=names)
+
+    schema = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in names[1:4]), T.StructField("parity", T.ArrayType(T.LongType()))])
+    rows = cut(docs.select("id", "node", "text").mapInArrow(run, schema))
+    common = np.zeros(COUNTERS, np.int64)
+    for slot, n in rows.where("parity is null").groupBy("node").agg(F.sum("n")).collect():
+        common[slot] = n
+    return rows.where("parity is not null"), common
+
+
+def sharing(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(a, b, many): nodes of docs (node, text) that share a shingle of their prefixes.
+
+    Where up to FEW nodes share one, all their pairs; where many do, each of them with the least.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text are sent once a task
         for batch in batches:
-            found = [signatures(shingles_of(x)) for x in raw(batch.column(1))]
+            new = [(node, x) for node, x in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True) if node not in seen and not seen.add(node)]
+            found = [prefix(shingles_of(x), sent.value) for _, x in new]
             if found:
-                node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["signature", "node"])
+                node = np.repeat(np.array([n for n, _ in new], np.int64), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["shingle", "node"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -393,28 +400,54 @@ def signed(docs: DataFrame) -> DataFrame:
         s, node = (np.concatenate(x) for x in zip(*seen, strict=True))
         order = np.lexsort((node, s))
         s, node = s[order], node[order]
-        new = np.diff(s, prepend=s[:1]) != 0
-        new[:1] = True
-        once = new | (np.diff(node, prepend=node[:1]) != 0)
-        s, node, new = s[once], node[once], new[once]
-        at = np.flatnonzero(new)
-        n = np.diff(at, append=len(s))
-        several = np.repeat(n > 1, n)
-        out = [s[several], node[several], np.repeat(node[at], n)[several]]
-        for k in range(0, len(out[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in out], names=["signature", "node", "centre"])
-
-    return docs.select("node", "text").mapInArrow(send, "signature long, node long").repartition("signature").mapInArrow(meet, "signature long, node long, centre long")
-
-
-def joined(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs that connect the sets as all pairs of Jaccard similarity 0.8 or more do; pairs that others connect aren't compared."""
+        once = np.ones(len(s), bool)
+        once[1:] = (np.diff(s) != 0) | (np.diff(node) != 0)
+        s, node = s[once], node[once]
+        first = np.flatnonzero(np.append(True, np.diff(s) != 0))
+        n = np.diff(first, append=len(s))
+        for k in np.unique(n[(n > 1) & (n <= FEW)]).tolist():
+            own = node[first[n == k][:, None] + np.arange(k)]
+            i, j = np.triu_indices(k, 1)
+            step = max(1, (1 << 18) // len(i))
+            for at in range(0, len(own), step):
+                pairs = np.unique(np.column_stack((own[at : at + step, i].ravel(), own[at : at + step, j].ravel())), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.zeros(len(pairs), bool))], names=["a", "b", "many"])
+        least, many = np.repeat(node[first], n), np.repeat(n > FEW, n) & (np.repeat(node[first], n) != node)
+        edges = np.unique(np.column_stack((least, node))[many], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy()), pa.array(np.ones(len(edges), bool))], names=["a", "b", "many"])
+
+    return docs.select("node", "text").mapInArrow(send, "shingle long, node long").repartition("shingle").mapInArrow(meet, "a long, b long, many boolean").distinct()
+
+
+def likely(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of points (node, n, label, parity) with other labels whose sizes and parities let them be similar."""
+
+    def both(rows: DataFrame, *names: str) -> DataFrame:
+        for k, other in (("a", "b"), ("b", "a")):
+            rows = with_keyed(cut(rows), points.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in names)), k, other)
+        return rows
+
+    near = both(pairs, "n", "label").where("label_a <> label_b and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
+    wide = both(near.select("a", "b"), "n", "parity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = [(c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column(4), batch.column(5))]
+            n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            fit = [may_reach(n[k], *(v[e[k] : e[k + 1]] for v, e in odd[:1]), m[k], *(v[e[k] : e[k + 1]] for v, e in odd[1:])) for k in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    return wide.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+
+
+def joined(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect the sets as all pairs of Jaccard similarity 0.8 or more do, where label says which are connected already."""
     n, size = len(sets), np.array([len(x) for x in sets])
     of, begin = np.repeat(np.arange(n), size), np.cumsum(size) - size
     number = np.unique(np.concatenate(sets), return_inverse=True)[1]
     order = np.argsort(number, kind="stable")
     posting, at = of[order], np.searchsorted(number[order], np.arange(int(number.max(initial=-1)) + 2))
-    label, todo, edges = np.arange(n), np.ones(n, bool), []
+    label, todo, edges = label.copy(), np.ones(n, bool), []
     while True:
         left = np.flatnonzero(todo)
         if not len(left) or (label[left] == label[left[0]]).all():
@@ -432,84 +465,93 @@ def joined(sets: list[np.ndarray]) -> list[tuple[int, int]]:
                 edges.append((i, j))
 
 
-def joined_within(sets: DataFrame) -> DataFrame:
-    """(a, b): links between the nodes of each root in sets (node, root, shingles), as many as connect what all links do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: dict[int, list] = {}
-        for batch in batches:
-            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            for k, (node, root) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                members.setdefault(root, []).append((node, values[ends[k] : ends[k + 1]]))
-        found = [(own[i][0], own[j][0]) for own in members.values() for i, j in joined([x for _, x in own])]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def sets_of(texts: DataFrame, few: DataFrame) -> DataFrame:
+    """few (node, first_id, ...) with the shingles of each one's text in texts (id, text), whose ids are unique."""
+    near = F.broadcast(few) if few.count() <= SMALL_ROWS else few
+    added = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
+    found = texts.select("id", "text").join(near, F.col("id") == F.col("first_id"))
+    return per_text(found, [c for c in few.columns if c != "first_id"], "text", lambda: lambda xs: {"shingles": [shingles_of(x).view(np.int64) for x in xs]}, added)
 
-    return sets.select("node", "root", "shingles").repartition("root").mapInArrow(run, "a long, b long")
 
+def verified(edges: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of edges (a, b) whose nodes' Jaccard similarity is 0.8 or more. A hub's edges are dealt over several copies of it."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(sets_of(texts, cut(points.join(nodes, "node").select("node", "first_id"))))
+    hubs = edges.groupBy(F.col("a").alias("_tw_hub")).count().where(F.col("count") > HOT)
+    salt = F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("count") / HOT), F.lit(1)))
+    spread = cut(with_small(edges, cut(hubs), "a", "_tw_hub", F.col("b"), "left").select("a", "b", salt.alias("salt")))
+    hub_sets = spread.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+    pairs = spread.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").join(hub_sets, ["a", "salt"])
+    return pairs.where(9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right"))).select("a", "b")
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles falls under each of 2^k bits, two a shingle at least. Sets differ in no fewer shingles than bits."""
-    bits = 64
-    while bits < 2 * len(shingles):
-        bits *= 2
-    odd = np.bincount((remixed(shingles, 6) % np.uint64(bits)).astype(np.int64), minlength=bits) % 2
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
+def in_units(asked: DataFrame) -> DataFrame:
+    """asked (root, node, label, ...) once for each unit that compares its node; a unit has two blocks of about BLOCK nodes at most.
 
-def sifted(rows: DataFrame) -> DataFrame:
-    """(a, b): links between the nodes of each signature in rows (signature, node, n, parity), as many as connect all that may be similar by their parities."""
+    All nodes of a root that have different labels meet in some unit. Labels of many nodes have blocks of
+    their own, which don't meet each other.
+    """
+    by_label = asked.groupBy("root", "label").agg(F.count("*").alias("of_label"))
+    by_root = by_label.groupBy("root").agg(F.sum("of_label").alias("of_root"), F.sum(F.when(F.col("of_label") <= BLOCK, F.col("of_label")).otherwise(0)).alias("of_few"))
+    large = cut(by_root.where(F.col("of_root") > 2 * BLOCK))
+    if not large.limit(1).count():
+        return asked.withColumn("unit", F.col("root"))
+    marked = with_small(asked, large.withColumnRenamed("root", "_tw_root"), "root", "_tw_root", F.col("node"), "left")
+    small = marked.where("_tw_root is null").select(*asked.columns, F.col("root").alias("unit"))
+    many = by_label.where(F.col("of_label") > BLOCK).select(F.col("label").alias("_tw_label"), F.col("root").alias("_tw_of"), "of_label")
+    big = with_small(marked.where("_tw_root is not null"), cut(many), "label", "_tw_label", F.col("node"), "left", F.col("root") == F.col("_tw_of"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
+    block = F.when(F.col("_tw_label").isNull(), F.xxhash64(F.lit("few"), part("label", "of_few"))).otherwise(F.xxhash64("label", part("node", "of_label")))
+    big = cut(big.withColumn("block", block).select(*asked.columns, "block", "_tw_label"))
+    blocks = cut(big.select("root", "block", F.col("_tw_label").alias("own")).distinct())
+    others = blocks.select(F.col("root").alias("r"), F.col("block").alias("other"), F.col("own").alias("its"))
+    meet = blocks.join(others, (F.col("root") == F.col("r")) & ~F.coalesce(F.col("own") == F.col("its"), F.lit(False)))
+    units = meet.select("root", "block", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
+    return small.unionByName(big.join(units, ["root", "block"]).select(*asked.columns, "unit"))
+
+
+def joined_within(rows: DataFrame) -> DataFrame:
+    """(a, b): links between the nodes of each unit in rows (unit, node, label, shingles), as many as connect what all links do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list] = {}
+        members: dict[int, list] = {}
         for batch in batches:
-            ends, values = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy().view(np.uint64)
-            for k, (signature, node, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
-                groups.setdefault(signature, []).append((node, n, values[ends[k] : ends[k + 1]]))
-        found: set[tuple[int, int]] = set()
-        for own in groups.values():
-            own.sort(key=lambda x: x[0])
-            width = min(len(x[2]) for x in own)
-            odd = np.array([np.bitwise_xor.reduce(x[2].reshape(-1, width), axis=0) for x in own])
-            n, label = np.array([x[1] for x in own], np.int64), np.arange(len(own))
-            for i in range(len(own) - 1):
-                others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-                for j in others[9 * np.bitwise_count(odd[others] ^ odd[i]).sum(1, dtype=np.int64) <= n[others] + n[i]]:
-                    if label[j] != label[i]:
-                        label[label == label[j]] = label[i]
-                        found.add((own[i][0], own[j][0]))
+            ends, values = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            for k, (unit, node, label) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                members.setdefault(unit, []).append((node, label, values[ends[k] : ends[k + 1]]))
+        found = []
+        for own in members.values():
+            label = np.unique([x[1] for x in own], return_inverse=True)[1]
+            found += [(own[i][0], own[j][0]) for i, j in joined([x[2] for x in own], label)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.select("signature", "node", "n", "parity").repartition("signature").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("unit", "node", "label", "shingles").repartition("unit").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, node (a hash of the text) and component_id, as in near_groups, for near duplicates by similarity; ids are unique.
 
-    Two texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. Signatures that no
-    such pair can miss give components of candidates, one node for equal texts; inside them all shingles decide.
-    Components of more than TOGETHER nodes are parted first, by parities that part no such pair. Each is compared in a task.
+    Two texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. Trees over the
+    fingerprints of their words find most links, which all shingles verify. For the rest, texts
+    that share a rare shingle are compared exactly, unless links connect them already: no such pair shares none.
     """
     own = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    maybe = components(signed(own).where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    points = cut(own.groupBy("node").agg(F.min("id").alias("first_id")))
-    large = maybe.groupBy("root").count().where(F.col("count") > TOGETHER).select("root", F.lit(True).alias("large"))
-    asked = cut(points.join(maybe, "node").join(large, "root", "left").select("node", "root", "first_id", F.coalesce("large", F.lit(False)).alias("large")))
-    texts = lambda few: with_small(own.select("id", "text"), few, "id", "first_id", F.col("id"))
-    if asked.where("large").limit(1).count():
-        far, added = texts(asked.where("large")), T.StructType([T.StructField("n", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType()))])
-
-        def odd(found: list[bytes]) -> dict:
-            every = [shingles_of(x) for x in found]
-            return {"n": [len(x) for x in every], "parity": [parities(x).view(np.int64) for x in every]}
-
-        maybe = components(sifted(signed(far).select("signature", "node").join(per_text(far, ["node"], "text", lambda: odd, added), "node")))
-        asked = cut(asked.where("not large").unionByName(asked.where("large").drop("root").join(maybe, "node").select(asked.columns)))
-    added = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
-    sets = per_text(texts(asked), ["node", "root"], "text", lambda: lambda xs: {"shingles": [shingles_of(x).view(np.int64) for x in xs]}, added)
-    roots = components(joined_within(sets))
-    named = points.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.select("id", "node").join(named.join(least, "root").select("node", "component_id"), "node")
+    marked, common = surveyed(own)
+    points = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("fingerprint", "n", "parity"))))
+    near = cut(links(points.select("node", "fingerprint"), WORDS_RADIUS).distinct())
+    sure = cut(verified(near, points, own))
+    label = components(sure).select("node", F.col("root.node").alias("label"))
+    points = cut(points.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    shared = cut(sharing(own, common))
+    sure = sure.unionByName(verified(cut(likely(shared.where("not many").select("a", "b"), points)), points, own))
+    maybe = components(shared.where("many").select("a", "b")).select("node", F.col("root.node").alias("root"))
+    asked = cut(maybe.join(points.select("node", "first_id", "label"), "node"))
+    open_ = asked.groupBy("root").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(F.col("root").alias("_tw_open"))
+    asked = cut(with_small(asked, cut(open_), "root", "_tw_open", F.col("node")).drop("_tw_open"))
+    sets = cut(sets_of(own, asked.select("node", "first_id")))
+    more = joined_within(in_units(asked.drop("first_id")).join(sets, "node"))
+    roots = components(sure.unionByName(more), points)
+    return with_keyed(marked.select("id", "node"), grouped(points, roots), "node", "id")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -525,5 +567,6 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
 
 def _without_later(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    gone = similar_groups(docs, id_column, text).where("id <> component_id").select(F.col("id").alias("_tw_gone"))
-    return docs.join(gone, docs[id_column] == gone["_tw_gone"], "left_anti")
+    gone = cut(similar_groups(docs, id_column, text).where("id <> component_id").select(F.col("id").alias("_tw_gone")))
+    few = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone
+    return docs.join(few, docs[id_column] == gone["_tw_gone"], "left_anti")
