@@ -106,19 +106,19 @@ def with_small(rows: DataFrame, few: DataFrame, key: str, few_key: str, spread:
 HOT = 500
 
 
-def with_keyed(rows: DataFrame, keyed: DataFrame, key: str, spread: str) -> DataFrame:
+def with_keyed(rows: DataFrame, keyed: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
     """rows joined with keyed, which has one row a key (not null), where the keys are equal.
 
-    Both are read more than once, so they are cut tables. Keys of over HOT rows are at most one in HOT rows: their rows
+    Both are read more than once, so they are cut tables or cheap. Keys of over HOT rows are at most one in HOT rows: their rows
     meet keyed's few rows for them in with_small, all others in an ordinary join.
     """
     hot = cut(rows.groupBy(key).count().where(F.col("count") > HOT).select(F.col(key).alias("_tw_hot")))
     if not hot.limit(1).count():
-        return rows.join(keyed, key)
+        return rows.join(keyed, key, how)
     marked = with_small(rows, hot, key, "_tw_hot", F.col(spread), "left")
     few = keyed.join(F.broadcast(hot) if hot.count() <= SMALL_ROWS else hot, keyed[key] == hot["_tw_hot"], "left_semi").withColumnRenamed(key, "_tw_key")
-    heavy = with_small(marked.where("_tw_hot is not null").drop("_tw_hot"), few, key, "_tw_key", F.col(spread)).drop("_tw_key")
-    return marked.where("_tw_hot is null").drop("_tw_hot").join(keyed, key).unionByName(heavy)
+    heavy = with_small(marked.where("_tw_hot is not null").drop("_tw_hot"), few, key, "_tw_key", F.col(spread), how).drop("_tw_key")
+    return marked.where("_tw_hot is null").drop("_tw_hot").join(keyed, key, how).unionByName(heavy)
 
 
 def ascii_lower(column: Column) -> Column:
