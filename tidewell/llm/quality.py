@@ -20,7 +20,8 @@ SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
 @dataclass(frozen=True)
 class Rules:
-    """Percentages; a host is bad if its shrunk failure rate is above bad_host."""
+    """Percentages; a host is bad if its shrunk failure rate is above bad_host, or so many standard deviations of the
+    prior above its mean (1.645: what 5 % of hosts exceed)."""
 
     least_words: int = 50
     repeat: int = 50
@@ -30,6 +31,7 @@ class Rules:
     strict_dup_lines: int = 30
     strict_word_chars: tuple[int, int] = (2, 12)
     bad_host: float = 0.5
+    far: float = 1.645
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -86,16 +88,26 @@ def conditions(rules: Rules, prefix: str = "") -> tuple[Column, Column, Column]:
 def host_verdicts(marked: DataFrame, failed: Column, rules: Rules = Rules(), host: str = "host") -> DataFrame:
     """(host, n_docs, n_failed, rate, bad) for each host, null being one of them.
 
-    The prior's mean and strength are those of the hosts' own rates, by their mean and variance
-    (strength from 1 to 1,000,000; without hosts or spread 1,000,000). Only these two numbers of one
-    aggregate reach the driver.
+    The prior's mean is the rate of all documents. Its variance is that between hosts, weighted by their sizes and
+    less what the draw of so many documents alone would give; strength follows from both (1 to
+    1,000,000). Where hosts differ by chance only, none is bad. A few sums of one aggregate reach the driver.
     """
     hosts = cut(marked.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed")))
-    mean, spread = hosts.agg(F.avg(F.col("n_failed") / F.col("n_docs")), F.var_pop(F.col("n_failed") / F.col("n_docs"))).first()
-    mean, spread = mean or 0.0, spread or 0.0
+    d, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    sums = hosts.agg(F.count("*"), F.sum(d), F.sum(f), F.sum(f * f / d), F.sum(d * d)).first()
+    mean, spread = prior(*(x or 0.0 for x in sums))
     strength = min(1e6, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1e6
     rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.withColumn("rate", rate).withColumn("bad", F.col("rate") > rules.bad_host)
+    limit = min(rules.bad_host, mean + rules.far * spread**0.5)
+    return hosts.withColumn("rate", rate).withColumn("bad", (F.col("rate") > limit) & F.lit(spread > 0))
+
+
+def prior(hosts: float, docs: float, failed: float, squares: float, sizes: float) -> tuple[float, float]:
+    """(mean, variance) of hosts' failure rates from their number, all documents, all failures, and the sums of
+    failures² / documents and of documents² over the hosts."""
+    mean = failed / docs if docs else 0.0
+    free = docs - sizes / docs if docs else 0.0
+    return mean, max(0.0, (squares - docs * mean * mean - (hosts - 1) * mean * (1 - mean)) / free) if free > 0 else 0.0
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
