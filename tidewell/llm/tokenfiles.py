@@ -4,7 +4,8 @@ A file is a Parquet table of segments. Its rows hold runs of consecutive documen
 
 * ``part`` and ``segment`` say where the run stands: the order of the rows by both is the documents'.
 * ``before`` (ids of the part's earlier segments), ``n_docs`` and ``n_ids``.
-* ``doc_ids``: the documents' own ids, null where one has none.
+* ``n_null``, ``first_id`` and ``id_low_bits``, ``id_low``, ``id_high``, ``id_select``: the documents' own ids, which ascend: so
+  many have none, and the others are in Elias-Fano form as well, counted from the first.
 * ``ids``: all ids one after the other, as little-endian 16- or 32-bit integers (``width`` bytes each).
 * ``low_bits``, ``low``, ``high``, ``select``: the documents' ends in ids (see EliasFano).
 """
@@ -102,9 +103,9 @@ class Memo(dict):
         found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in texts], add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
-    def encode_letters(self, words: list[str]) -> list[bytes] | None:
+    def encode_letters(self, words: list[bytes]) -> list[bytes] | None:
         """Ids of words of letters, all in one text; None unless each is one piece up to a word's end."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode("utf-8")], add_special_tokens=False)[0].ids, self.kind)
         to = np.flatnonzero(self.ends_word[ids]) + 1
         if len(to) != len(words) or to[-1] != len(ids):
             return None
@@ -117,16 +118,17 @@ class Memo(dict):
         if len(self) > MEMO:
             self.older = dict(self)
             self.clear()
-        marked, letters, others = [], {}, []
-        for w in set().union(*texts) - self.keys():
-            if (known := self.older.get(w)) is not None:
-                self[w] = known
-            elif all_letters(s := w.decode("utf-8")):
-                letters[w] = s
-            elif len(w) > 1 and w[-1] in ENDS and all_letters(s[:-1]):
+        new = set().union(*texts).difference(self)
+        older = {w: self.older[w] for w in self.older.keys() & new}
+        self.update(older)
+        marked, letters, others = [], set(), []
+        for w in new.difference(older):
+            if w.isalpha() or not w.isascii() and all_letters(w.decode("utf-8")):
+                letters.add(w)
+            elif len(w) > 1 and w[-1] in ENDS and ((start := w[:-1]).isalpha() or not w.isascii() and all_letters(start.decode("utf-8"))):
                 marked.append(w)
-                if w[:-1] not in self:
-                    letters[w[:-1]] = s[:-1]
+                if start not in self:
+                    letters.add(start)
             else:
                 others.append(w)
         if marked:
@@ -134,7 +136,7 @@ class Memo(dict):
         words = list(letters)
         for at in range(0, len(words), chunk):
             own = words[at : at + chunk]
-            found = self.encode_letters([letters[w] for w in own])
+            found = self.encode_letters(own)
             self.update(zip(own, found or self.encode(own), strict=True))
         for at in range(0, len(others), chunk):
             self.update(zip(others[at : at + chunk], self.encode(others[at : at + chunk]), strict=True))
@@ -159,7 +161,12 @@ def ids_of(texts: list[bytes], memo: Memo) -> list[bytes]:
     return [memo.encode([x])[0] if w is None else b"".join(map(memo.__getitem__, w)) for x, w in zip(texts, words, strict=True)]
 
 
-SEGMENTS = "part int, segment long, before long, n_docs long, n_ids long, width int, doc_ids array<long>, ids binary, low_bits int, low binary, high binary, select binary"
+SEGMENTS = (
+    "part int, segment long, before long, n_docs long, n_ids long, width int, n_null long, first_id long, id_low_bits int, id_low binary, "
+    "id_high binary, id_select binary, ids binary, low_bits int, low binary, high binary, select binary"
+)
+#: A segment's ids lie within so much of its first.
+ID_RANGE = 1 << 62
 
 
 def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id_column: str = "doc_id", text: str = "text", wide: bool = False) -> None:
@@ -179,24 +186,31 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = loaded(key, sent.value, kind)
-        part, segment, before, doc_ids, ids, ends, n = 0, 0, 0, [], [], [], 0
+        part, segment, before, doc_ids, ids, ends, n, first = 0, 0, 0, [], [], [], 0, None
 
         def closed() -> pa.RecordBatch:
-            bits, low, high, select = EliasFano.parts(np.array(ends, np.int64))
-            values = [part, segment, before, len(ends), n, width, doc_ids, b"".join(ids), bits, low, high, select]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            own = [i for i in doc_ids if i is not None]
+            coded = EliasFano.parts(np.array([i - own[0] for i in own], np.int64)), EliasFano.parts(np.array(ends, np.int64))
+            values = [part, segment, before, len(ends), n, width, len(ends) - len(own), own[0] if own else None, *coded[0], b"".join(ids), *coded[1]]
+            form = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *form, pa.binary(), *form]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
         for batch in batches:
             for p, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids_of(raw(batch.column(2)), memo), strict=True):
                 part = p
+                if i is not None and first is None:
+                    first = i
+                if ends and i is not None and i - first >= ID_RANGE:
+                    yield closed()
+                    segment, before, doc_ids, ids, ends, n, first = segment + 1, before + n, [], [], [], 0, i
                 ids += [x, end]
                 n += len(ids[-2]) // width + 1
                 doc_ids.append(i)
                 ends.append(n)
                 if n >= SEGMENT_IDS:
                     yield closed()
-                    segment, before, doc_ids, ids, ends, n = segment + 1, before + n, [], [], [], 0
+                    segment, before, doc_ids, ids, ends, n, first = segment + 1, before + n, [], [], [], 0, None
         if ends:
             yield closed()
 
@@ -224,21 +238,28 @@ def _decoded(spark, path: str, what: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.to_pylist():
-                ends = EliasFano(s["low_bits"], s["low"], s["high"], s["select"]).all(s["n_docs"])
+                at = EliasFano(s["low_bits"], s["low"], s["high"], s["select"])
+                ends = np.array([at.get(i) for i in range(s["n_docs"])], np.int64)
                 begins = np.concatenate(([0], ends[:-1]))
+                numbered = EliasFano(s["id_low_bits"], s["id_low"], s["id_high"], s["id_select"]).all(s["n_docs"] - s["n_null"])
+                doc_ids = [None] * s["n_null"] + (numbered + (s["first_id"] or 0)).tolist()
                 ids = np.frombuffer(s["ids"], "<u2" if s["width"] == 2 else "<u4").astype("<u4")
                 cut = [ids[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 values = [zlib.crc32(x.tobytes()) for x in cut] if what == "ids_crc32" else [x.tolist() for x in cut]
                 start = begins + s["before"] + starts[s["part"]]
-                yield pa.RecordBatch.from_arrays([pa.array(s["doc_ids"], pa.int64()), pa.array(start), pa.array(ends - begins), pa.array(values, last)], names=["doc_id", "start", "n_tokens", what])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(ends - begins), pa.array(values, last)], names=["doc_id", "start", "n_tokens", what])
 
-    needed = segments.select("part", "before", "n_docs", "width", "doc_ids", "ids", "low_bits", "low", "high", "select")
+    needed = segments.drop("segment", "n_ids")
     return needed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {what} {'long' if what == 'ids_crc32' else 'array<long>'}")
 
 
 def token_digests(docs: DataFrame, tokenizer_json: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Write docs' token files in the shared folder and return what reading them back gives: doc_id, start,
-    n_tokens, ids_crc32."""
+    n_tokens, ids_crc32; each document's place comes from the files' select structures.
+
+    Null texts are empty, their end alone; documents without an id come first. Repeated rows and equal ids each
+    have their own row, in order of their texts. An empty table gives none; further columns are not read.
+    """
     spark = docs.sparkSession
     path = shared_path(spark, "token-files")
     write(docs, path, tokenizer_json, end_id, id_column, text)
