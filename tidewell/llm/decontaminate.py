@@ -26,6 +26,8 @@ from tidewell.llm.base import map_batches, raw
 
 HALF, BLOCK = 64, 8
 K1, B, THRESHOLD, OVERLAP, GRAM = 1.2, 0.75, 0.6, 0.6, 3
+#: Postings and bounds that are in memory at once while a text's passages are evaluated.
+AT_ONCE = 1 << 21
 #: Text bytes of the test items that one index holds and one broadcast sends; more items take more passes.
 INDEX_BYTES = 16 << 20
 #: Maps every byte outside words to a space and A-Z to a-z.
@@ -98,7 +100,10 @@ def _spread(at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def retrieve(numbers: np.ndarray, index: Index, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, entry, score) of all that score threshold or more; numbers: the text's terms, -1 if in no item."""
+    """(window, entry, score) of all that score threshold or more; numbers: the text's terms, -1 if in no item.
+
+    Passages go through in runs of so many as need AT_ONCE postings and bounds, at least one.
+    """
     n_windows, wide = max(1, -(-len(numbers) // HALF) - 1), len(index.number)
     n_blocks = len(index.entries) // BLOCK + 1
     place = np.flatnonzero(numbers >= 0)
@@ -106,11 +111,24 @@ def retrieve(numbers: np.ndarray, index: Index, threshold: float) -> tuple[np.nd
     keys = np.concatenate([w[ok] * wide + terms[ok] for w, ok in ((half, half < n_windows), (half - 1, half > 0))])
     keys = np.unique(keys)
     window, terms = keys // wide, keys % wide
+    first = np.searchsorted(window, np.arange(n_windows + 1))
+    needs = np.concatenate(([0], np.cumsum(index.at[terms + 1] - index.at[terms])))[first] + np.arange(n_windows + 1) * n_blocks
+    found, a = [], 0
+    while a < n_windows:
+        b = max(a + 1, int(np.searchsorted(needs, needs[a] + AT_ONCE, "right")) - 1)
+        own = slice(first[a], first[b])
+        w, e, score = _retrieved(window[own] - a, terms[own], b - a, n_blocks, index, threshold)
+        found.append((w + a, e, score))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _retrieved(window: np.ndarray, terms: np.ndarray, n_windows: int, n_blocks: int, index: Index, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, of = _spread(index.block_at, terms)
     bound = np.bincount(window[of] * n_blocks + index.block[at], index.most[at], n_windows * n_blocks)
     opened = bound >= threshold - 1e-9
     if not opened.any():
-        return (np.zeros(0, int),) * 3
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     live = opened.reshape(n_windows, n_blocks).any(1)[window]
     window, terms = window[live], terms[live]
     at, of = _spread(index.at, terms)
@@ -159,8 +177,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     """(id, item_id, score, question_overlap, answer_overlap): each test item that each whole text holds.
 
     An item counts if one of its entries is retrieved and both its parts' word trigrams are found to at least
-    OVERLAP in the passage; items of fewer than 9 words, if all their words stand there in a row. Null and empty texts and items match nothing. Repeated documents each have their
-    rows; an item id that stands twice counts once. Empty tables give no rows.
+    OVERLAP in the passage; items of fewer than 9 words, if all their words stand there in a row. Null and
+    empty texts and items match nothing. Repeated documents each have their rows; an item id that stands twice
+    counts once. Empty tables give no rows.
     """
     out = None
     for sent in indexes(benchmark, item_id, item_text):
