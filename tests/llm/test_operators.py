@@ -96,7 +96,7 @@ def test_forest_loses_no_link(spark, radius, monkeypatch):
     points = np.unique(np.concatenate((base, base[rng.integers(0, 150, 450)] ^ np.array(flips, np.uint64))))
     monkeypatch.setattr(simhash, "SHARD", 40)
     df = spark.createDataFrame([(int(x), int(x)) for x in points.view(np.int64)], "node long, fingerprint long")
-    got = {r.node: r.root for r in simhash.components(simhash.links(df, radius)).collect()}
+    got = {r.node: r.root.node for r in simhash.components(simhash.links(df, radius)).collect()}
     roots = plain_components([int(x) for x in points], lambda a, b: (a ^ b).bit_count() <= radius)
     groups = {}
     for x, r in zip(points.view(np.int64).tolist(), roots, strict=True):
@@ -111,7 +111,7 @@ def test_splitting_inside_a_shard_loses_no_link(monkeypatch):
     base = rng.integers(0, 1 << 62, 60, dtype=np.int64).view(np.uint64)
     points = np.unique(np.concatenate((base, base ^ np.uint64(5), base ^ np.uint64(1 << 40))))
     for mask, r in simhash.blocks(4):
-        edges = simhash.link(points, np.ones(len(points), bool), mask, r, lambda i, o: o, 4)
+        edges = simhash.link(points, np.ones(len(points), bool), mask, r, 4)
         m = np.uint64(mask)
         near = lambda a, b: np.bitwise_count((a ^ b) & m) <= r and np.bitwise_count(a ^ b) <= 4  # noqa: E731, B023
         want = plain_components(list(points), near)
@@ -125,16 +125,16 @@ def test_blocks_cover_every_pair():
         assert sum(m for m, _ in own) == (1 << 64) - 1 and sum(r + 1 for _, r in own) == radius + 1
 
 
+def plain_sets(texts):
+    words = [(t or "").lower().split() for t in texts]
+    return [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
 def test_keep_one_keeps_the_smallest_of_each_group(spark, unique):
     kept = {r.doc_id for r in simhash.keep_one(unique).collect()}
     rows = unique.collect()
-    marks = [simhash.sketch((r.text or "").encode()) for r in rows]
-
-    def linked(a, b):
-        bits = sum((x ^ y).bit_count() for x, y in zip(a[1], b[1], strict=True))
-        return (a[0] ^ b[0]).bit_count() <= simhash.WORDS_RADIUS and bits <= simhash.bits_for(0.8, 256)
-
-    assert kept == set(least_ids([(r.doc_id,) for r in rows], plain_components(marks, linked)))
+    roots = plain_components(plain_sets([r.text for r in rows]), lambda a, b: jaccard(a, b) >= 0.8)
+    assert kept == set(least_ids([(r.doc_id,) for r in rows], roots))
     assert simhash.keep_one(unique).columns == unique.columns
 
 
@@ -157,26 +157,45 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def test_signatures_miss_no_similar_pair():
+def test_prefixes_and_parities_miss_no_similar_pair():
     sets = [simhash.shingles_of(t.encode()) for t in dict.fromkeys(similar_texts(1) + similar_texts(2))]
-    plain, marks = [set(s.tolist()) for s in sets], [set(simhash.signatures(s).tolist()) for s in sets]
+    common = np.random.default_rng(0).integers(0, 3, simhash.COUNTERS)
+    plain, marks = [set(s.tolist()) for s in sets], [set(simhash.prefix(s, common).tolist()) for s in sets]
+    odd = [simhash.parities(s) for s in sets]
     near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(plain[i], plain[j]) >= 0.8]
     assert sum(jaccard(plain[i], plain[j]) < 0.85 for i, j in near) > 100
-    assert all(marks[i] & marks[j] for i, j in near)
+    assert all(marks[i] & marks[j] and simhash.may_reach(len(sets[i]), odd[i], len(sets[j]), odd[j]) for i, j in near)
 
 
-@pytest.mark.parametrize("together", [1, 512])
-def test_keep_one_is_that_of_all_jaccard_pairs(spark, monkeypatch, together):
-    monkeypatch.setattr(simhash, "TOGETHER", together)
+@pytest.mark.parametrize(("few", "block", "hot"), [(64, 256, 500), (1, 4, 2), (3, 1, 1)])
+def test_keep_one_is_that_of_all_jaccard_pairs(spark, monkeypatch, few, block, hot):
+    from tidewell.llm import base
+
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(base, "HOT", hot)
     texts = similar_texts(3)
-    words = [t.split() for t in texts]
-    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    roots = plain_components(sets, lambda a, b: jaccard(a, b) >= 0.8)
     rows = list(enumerate(texts))
+    roots = plain_components(plain_sets(texts), lambda a, b: jaccard(a, b) >= 0.8)
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(least_ids(rows, roots))
 
 
+def test_recall_over_the_given_documents(spark):
+    """All pairs of the whole table, through the shingles that any two texts share: none of similarity 0.8 is parted."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = spark.read.parquet(path).select("doc_id", "text").collect()
+    sets, holders = plain_sets([r.text for r in rows]), {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    shared = Counter((a, b) for own in holders.values() for k, b in enumerate(own) for a in own[:k])
+    near = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    group = {r.id: r.component_id for r in simhash.similar_groups(spark.read.parquet(path)).collect()}
+    assert len(near) > 50 and all(group[rows[a].doc_id] == group[rows[b].doc_id] for a, b in near)
+
+
 def test_keep_one_without_usable_ids(spark, docs):
     kept = simhash.keep_one(docs).collect()
     texts = [(r.text or "").lower().split() for r in kept]
@@ -210,6 +229,48 @@ def test_malformed_expressions_say_nothing(bad):
     assert licenses.parse(bad) is None
 
 
+def test_tags_end_where_prose_begins():
+    phrases = licenses.automaton()
+    for text, labels in (("MIT and then some prose", "mit"), ("MIT or see the file", "mit"), ("nonsense", ""), ("MIT.", "mit"), ("(MIT OR Foo)", ""), ("LicenseRef-own AND MIT", "licenseref-own,mit"), ("GPL-2.0-only WITH thanks", "gpl-2")):
+        assert licenses.scan(f"// SPDX-License-Identifier : {text}\nMIT".encode(), phrases)[5] == labels
+    assert licenses.scan(b"an spdx license identifier names MIT", phrases)[5] == ""
+
+
+def test_license_labels_are_those_of_a_plain_search():
+    rng, phrases = random.Random(8), licenses.automaton()
+    notices = {**licenses.NOTICES, **licenses.BASE}
+    parts = [w for p in notices for w in p.split()] + list(notices) + ["x", "SPDX-License-Identifier: MIT\n", "SPDX-License-Identifier: Zlib OR ISC\n"]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        words = text.encode().translate(licenses.FOLD).split()
+        labels = {label for p, label in notices.items() if any(words[i : i + len(p.split())] == p.encode().split() for i in range(len(words)))}
+        labels |= {"mit"} if "Identifier: MIT" in text else set()
+        labels |= {"zlib", "isc"} if "Zlib OR" in text else set()
+        assert licenses.scan(text.encode(), phrases)[5] == ",".join(sorted(labels))
+
+
+def test_many_hits_take_linear_time():
+    from time import perf_counter
+
+    start = perf_counter()
+    assert licenses.scan(b"cc by nc " * 120_000, licenses.automaton())[:4] == (360_000, 120_000, 0, 359_997)
+    assert perf_counter() - start < 3
+
+
+def test_url_filter_keeps_callers_columns(spark):
+    from tidewell.llm import base
+
+    pages = spark.createDataFrame([(i, "http://a.com/en/" if i % 3 else None, 1, 2, 3, 4) for i in range(40)], "page_id long, url string, h int, p int, best int, `a.b` int")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    for hot in (500, 3):
+        base.HOT, old = hot, base.HOT
+        found = urlfilter.url_filter(pages, rules, pages.limit(0).select("url"))
+        rows = found.collect()
+        base.HOT = old
+        assert found.columns == [*pages.columns, "host", "path", "rule", "verdict", "listed"]
+        assert Counter((r.verdict, r.rule, r.h, r.p, r.best, r["a.b"]) for r in rows) == {("block", "com/en/", 1, 2, 3, 4): 26, ("allow", None, 1, 2, 3, 4): 14}
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7?x", "http://example.com/en/8", "http://notexample.com/en/7", "https://x.net/de/1#t", "https://b.example.net/de/81", "http://org/es/", "http://a.org/en/1/", "http://www.a.org/en/1?q", "ftp://c.d//x", "http://e.f", "http://a.org/en/1"]
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls + urls[3:5])], "page_id long, url string, verdict string, host string")
@@ -261,52 +322,122 @@ def test_bad_hosts_are_held_to_strict_rules(spark):
     assert 100 not in kept and {101, 102, 200} <= kept
 
 
-def plain_brown(rows, held):
-    train = [brown.tokens((t or "").encode()) for i, t in rows if not held(i)]
+def test_prior_has_no_noise_of_the_draw(spark):
+    rng = random.Random(2)
+    even = [(n, sum(rng.random() < 0.1 for _ in range(n))) for n in [400] * 60]
+    odd = [(n, sum(rng.random() < r for _ in range(n))) for n, r in [(400, 0.08)] * 55 + [(400, 0.3)] * 3 + [(4, 0.08)] * 40]
+    for hosts, worse in ((even, False), (odd, True)):
+        sums = len(hosts), sum(n for n, _ in hosts), sum(f for _, f in hosts), sum(f * f / n for n, f in hosts), sum(n * n for n, _ in hosts)
+        mean, spread = quality.prior(*sums)
+        assert spread > 0.001 if worse else spread < 0.0002
+        rows = spark.createDataFrame([(str(i), k < f) for i, (n, f) in enumerate(hosts) for k in range(n)], "host string, f boolean")
+        bad = {int(r.host) for r in quality.host_verdicts(rows, F.col("f")).where("bad").collect()}
+        assert bad == ({55, 56, 57} if worse else bad) and len(bad) <= 3
+
+
+def plain_class_model(train, core, classes, class_of):
+    """Counts of a class bigram model whose classes are given: of each word, and what follows each history."""
     counts = Counter(w for d in train for w in d)
-    return counts, sum(counts.values())
+    history = lambda w: class_of[w] if w in core else classes if w == brown.END else classes + 1
+    follows = Counter((history(a), class_of[b]) for d in train for a, b in zip([brown.END, *d], d, strict=False))
+    return counts, history, follows
 
 
 def test_class_scores(spark, monkeypatch):
     monkeypatch.setattr(brown, "HEAD", 30)
-    monkeypatch.setattr(brown, "CLASSED", 12)
+    monkeypatch.setattr(brown, "CORE", 12)
     monkeypatch.setattr(brown, "CLASSES", 4)
     rng = random.Random(5)
     rows = [(i, prose(rng, 60)) for i in range(60)] + [(60, None), (61, ""), (None, "the of"), (3, "the of and")]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = brown.class_scores(docs, lambda i: F.coalesce(F.crc32(i.cast("string").cast("binary")) % 10 == 0, F.lit(False)))
-    counts, n = plain_brown(rows, held)
-    model, _ = brown.train_model(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(True))), "text")
-    assert len(model.counts) <= 30 and (model.n, model.n_distinct) == (n, len(counts))
+    model, tail = brown.train_model(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(True))), "text")
+    train = [brown.tokens((t or "").encode()) for i, t in rows if not held(i)]
+    core = [w for w, _ in sorted(Counter(w for d in train for w in d if w != brown.END).items(), key=lambda x: (-x[1], x[0]))][:12]
+    class_of = {bytes(r.word): r.cls for r in tail.collect()} | {w: int(model.class_of[model.number[w]]) for w in core} | {brown.END: 4}
+    counts, history, follows = plain_class_model(train, core, 4, class_of)
+    n, whole = sum(counts.values()), sum(counts.values()) + 0.1 * (len(counts) + 1)
+    assert set(class_of) == set(counts) and len(model.number) <= 43 and (model.n, model.n_distinct) == (n, len(counts))
+    mass = [sum(counts[w] + 0.1 for w in counts if class_of[w] == c) for c in range(5)]
+
+    def log_p(h, w):
+        if w not in counts:
+            return np.log10(0.1 / whole)
+        c, total = class_of[w], sum(follows[h, k] for k in range(5))
+        step = (1 - 0.1 / whole) * (follows[h, c] + brown.PRIOR * mass[c] / sum(mass)) / (total + brown.PRIOR)
+        return np.log10(step * (counts[w] + 0.1) / mass[c])
+
+    assert sum(10 ** log_p(2, w) for w in [*counts, b"never"]) == pytest.approx(1)
     want = Counter()
     for i, t in rows:
         words = brown.tokens((t or "").encode())
-        base = sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (len(counts) + 1))) for w in words)
-        numbers = brown.numbered((t or "").encode(), model.number, len(model.class_of) - 1)
-        c = model.class_of[numbers]
-        score = model.steps[c[:-1], c[1:]].sum() + sum(model.emission[k] if w in model.number else model.other(counts[w]) for w, k in zip(words, numbers[1:], strict=True))
+        base = sum(np.log10((counts[w] + 0.1) / whole) for w in words)
+        score = sum(log_p(history(a), w) for a, w in zip([brown.END, *words], words, strict=False))
         want[i, held(i), len(words), sum(counts[w] > 0 for w in words), round(base, 6), round(float(score), 6)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got.collect()) == want
-    total = 10 ** model.steps[0]
-    assert total.sum() == pytest.approx(1)
 
 
-def test_exchange_raises_the_likelihood():
-    rng = np.random.default_rng(0)
-    n, classes = 12, 3
-    counts = rng.integers(1, 5, (n, n)) + 60 * ((np.arange(n)[:, None] + 1) % 3 == np.arange(n)[None, :] % 3)
+def class_table(stream, of, classes):
+    t = np.zeros((classes, classes), np.int64)
+    np.add.at(t, (of[stream[:-1]], of[stream[1:]]), 1)
+    return t
 
-    def value(of):
-        t = np.zeros((classes, classes))
-        np.add.at(t, (of[:, None], of[None, :]), counts)
-        return brown._f(t).sum() - brown._f(t.sum(1)).sum() - brown._f(t.sum(0)).sum(), t
 
-    of = np.arange(n) // 4
-    for w in range(n):
-        apart = np.arange(n) != w
-        right, left = (np.bincount(of[apart], c[apart], classes) for c in (counts[w], counts[:, w]))
-        assert brown.best_class(int(of[w]), right, left, int(counts[w, w]), value(of)[1], classes)[1] >= 0
+def test_gains_are_those_of_the_recomputed_likelihood():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        words, classes = int(rng.integers(3, 12)), int(rng.integers(2, 5))
+        stream, of = rng.integers(0, words, 200), rng.integers(0, classes, words)
+        stream = np.append(stream, stream[0])
+        w = int(rng.integers(words))
+        pairs = np.column_stack((stream[:-1], stream[1:]))
+        right = np.bincount(of[pairs[(pairs[:, 0] == w) & (pairs[:, 1] != w)][:, 1]], minlength=classes)
+        left = np.bincount(of[pairs[(pairs[:, 1] == w) & (pairs[:, 0] != w)][:, 0]], minlength=classes)
+        now = brown.likelihood(class_table(stream, of, classes))
+        gains = []
+        for c in range(classes):
+            moved = of.copy()
+            moved[w] = c
+            gains.append(brown.likelihood(class_table(stream, moved, classes)) - now)
+        to, gain = brown.best_class(int(of[w]), right, left, int((pairs == w).all(1).sum()), class_table(stream, of, classes), classes)
+        assert gain == pytest.approx(max(gains), abs=1e-6) and gains[to] == pytest.approx(max(gains), abs=1e-6)
+
+
+def test_exchange_never_lowers_the_likelihood(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    stream = np.concatenate([rng.permutation(np.arange(k * 6, k * 6 + 6)) for k in rng.integers(0, 4, 200)])
+    pairs, n = np.unique(np.column_stack((stream[:-1], stream[1:])), axis=0, return_counts=True)
+    df = spark.createDataFrame([(int(a), int(b), int(k)) for (a, b), k in zip(pairs, n, strict=True)], "a long, b long, n long")
+    seen = [brown.likelihood(class_table(stream, np.arange(24) % 4, 6))]
+    for passes in (1, 2, 8):
+        of, table = brown.cluster(df, 24, 4, passes)
+        assert (table == class_table(stream, of, 6)).all()
+        seen.append(brown.likelihood(table))
+    assert seen == sorted(seen) and seen[-1] > seen[0]
+
+
+def test_other_words_take_the_class_of_the_highest_likelihood():
+    rng = np.random.default_rng(5)
+    table = rng.integers(0, 30, (5, 4))
+    value = lambda t: brown._f(t.astype(float)).sum() - brown._f(t.sum(0).astype(float)).sum()
+    for own in (None, 2):
+        for _ in range(40):
+            h = np.sort(rng.choice(5, 3, replace=False))
+            times = rng.integers(1, 4, 3)
+            start = table.copy()
+            if own is not None:
+                start[h, own] += times
+            best = []
+            for c in range(4):
+                t = table.copy()
+                t[h, c] += times
+                best.append(value(t))
+            got = brown.choose(h, times, np.zeros(3, int), np.array([times.sum()]), start, None if own is None else np.array([own]))
+            if own is None:
+                assert best[int(got[0])] == pytest.approx(max(best))
+            else:
+                assert int(got[0]) == own or best[int(got[0])] >= best[own] - 1
 
 
 def test_classes_predict_held_out_texts_better(spark):
@@ -357,7 +488,8 @@ def test_mix_reaches_targets(spark, docs):
     out = mixing.mix(big)
     for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("a")).collect():
         assert r.t == pytest.approx(r.a, rel=0.05)
-    assert out.agg(F.sum("target") / F.sum("source_size")).first() is not None
+    shares = out.select("source", "source_size", "target").distinct().agg(F.sum("target"), F.sum("source_size")).first()
+    assert shares[0] == pytest.approx(shares[1])
     emitted = mixing.emit(big)
     assert emitted.count() == out.agg(F.sum("copies")).first()[0] and emitted.columns == big.columns
 
@@ -391,6 +523,24 @@ def test_token_files_round_trip(spark, docs, monkeypatch):
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
 
 
+def test_files_are_read_through_their_select_structures(spark, docs, monkeypatch, tmp_path):
+    path = str(tmp_path / "ids")
+    tokenfiles.write(docs, path, tokenizer_json(), END_ID)
+    want = sorted(tuple(r) for r in tokenfiles.digests(spark, path).select("start", "n_tokens", "ids_crc32").collect())
+    stored = tokenfiles.EliasFano.all
+    ids_only = lambda self, n: stored(self, n) if len(self.select) and n else np.zeros(0, np.int64)
+    segment = spark.read.parquet(path).where("n_docs > 5").first()
+    ends = tokenfiles.EliasFano(segment.low_bits, segment.low, segment.high, segment.select)
+    assert [ends.get(i) for i in range(segment.n_docs)] == ids_only(ends, segment.n_docs).tolist()
+    assert "doc_ids" not in segment.asDict() and sum(n for _, n, _ in want) == want[-1][0] + want[-1][1]
+
+
+def test_ids_far_apart_part_segments(spark, monkeypatch):
+    rows = [(-(1 << 63), "a"), (-(1 << 63) + 5, "b"), (0, "c"), ((1 << 63) - 1, "d"), (None, "e"), (None, None)]
+    got = tokenfiles.token_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), tokenizer_json(), END_ID).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(1 << 63), -(1 << 63) + 5, 0, (1 << 63) - 1]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(4)
     for values in ([], [0], [0, 0, 0], [7], [1 << 40, 1 << 40, (1 << 40) + 3], np.cumsum(rng.integers(0, 5000, 700)).tolist(), np.cumsum(rng.integers(0, 2, 700)).tolist()):
@@ -451,7 +601,9 @@ def test_short_items_are_found_in_longer_texts(n):
             assert 0 not in decontaminate.matches(" ".join(around[:at] + item[::-1] + around[at:]).encode(), index)
 
 
-def test_retrieval_is_that_of_all_scores():
+@pytest.mark.parametrize("at_once", [1 << 21, 50, 1])
+def test_retrieval_is_that_of_all_scores(monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
     rng = random.Random(4)
     index = decontaminate.build([(i, prose(rng, 40).encode()) for i in range(50)])
     text = (prose(rng, 700) + " " + prose(random.Random(4), 200)).encode()
@@ -470,6 +622,19 @@ def test_retrieval_is_that_of_all_scores():
         assert got == pytest.approx(want)
 
 
+def test_long_texts_and_many_items_stay_in_bounds():
+    import tracemalloc
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(3000)]
+    index = decontaminate.build([(i, " ".join(rng.choice(words) for _ in range(20)).encode()) for i in range(20_000)])
+    text = " ".join(rng.choice(words) for _ in range(30_000)).encode()
+    tracemalloc.start()
+    decontaminate.matches(text, index)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -5,9 +5,9 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from test_operators import least_ids, plain_components, prose
+from test_operators import jaccard, least_ids, plain_components, plain_sets, prose
 
-from tidewell.llm import decontaminate, mixing, quality, simhash
+from tidewell.llm import decontaminate, mixing, quality
 
 
 @pytest.fixture(scope="module")
@@ -40,16 +40,16 @@ def plain(rows, items):
     for r, m in zip(rows, measured, strict=True):
         own = hosts.setdefault(r[3], [0, 0])
         own[0], own[1] = own[0] + 1, own[1] + fails(m)
-    rates = [f / n for n, f in hosts.values()]
-    mean = sum(rates) / len(rates)
-    spread = sum((x - mean) ** 2 for x in rates) / len(rates)
+    docs = sum(n for n, _ in hosts.values())
+    mean = sum(f for _, f in hosts.values()) / docs
+    between = sum(n * (f / n - mean) ** 2 for n, f in hosts.values()) - (len(hosts) - 1) * mean * (1 - mean)
+    spread = max(0, between / (docs - sum(n * n for n, _ in hosts.values()) / docs))
     strength = min(1e6, max(1, mean * (1 - mean) / spread - 1)) if spread else 1e6
-    bad = {h for h, (n, f) in hosts.items() if (f + mean * strength) / (n + strength) > rules.bad_host}
+    bad = {h for h, (n, f) in hosts.items() if spread and (f + mean * strength) / (n + strength) > min(rules.bad_host, mean + rules.far * spread**0.5)}
     rows = [r for r, m in zip(rows, measured, strict=True) if not fails(m, r[3] in bad)]
 
-    marks = [simhash.sketch(r[1].encode()) for r in rows]
-    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= 7 and sum((x ^ y).bit_count() for x, y in zip(a[1], b[1], strict=True)) <= simhash.bits_for(0.8, 256)
-    keep = set(least_ids(rows, plain_components(marks, near)))
+    near = lambda a, b: jaccard(a, b) >= 0.8
+    keep = set(least_ids(rows, plain_components(plain_sets([r[1] for r in rows]), near)))
     rows = [r for r in rows if r[0] in keep]
 
     held = [decontaminate.words_of(t.encode()) for _, t in items]
@@ -105,4 +105,4 @@ def test_stages_stand_nulls_and_clashing_names(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder[0])
         docs = spark.createDataFrame(docs.collect(), docs.schema)
-    assert docs.count() >= 0 and {"host", "rate", "n_words", "shard", "slot", "a.b"} <= set(docs.columns)
+    assert docs.count() == 1 and {"host", "rate", "n_words", "shard", "slot", "a.b"} <= set(docs.columns)
