@@ -283,6 +283,8 @@ WIDTH = 5
 FEW = 64
 #: Sets that one task compares at once come in two blocks of about so many.
 BLOCK = 256
+#: Narrow rows (three longs) that are broadcast, after counting them.
+NARROW_ROWS = 2_000_000
 #: Counters for how often shingles occur, and how far above a task's mean a counter must be to be reported.
 COUNTERS, ABOVE = 1 << 20, 8
 
@@ -422,13 +424,15 @@ def sharing(docs: DataFrame, common: np.ndarray) -> DataFrame:
 def likely(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Those of pairs (a, b) of points (node, n, label, parity) with other labels whose sizes and parities let them be similar."""
 
-    def both(rows: DataFrame, *names: str) -> DataFrame:
+    def both(rows: DataFrame, own: DataFrame, small: bool) -> DataFrame:
         for k, other in (("a", "b"), ("b", "a")):
-            rows = with_keyed(cut(rows), points.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in names)), k, other)
+            side = own.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in own.columns if c != "node"))
+            rows = rows.join(F.broadcast(side), k) if small else with_keyed(cut(rows), side, k, other)
         return rows
 
-    near = both(pairs, "n", "label").where("label_a <> label_b and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
-    wide = both(near.select("a", "b"), "n", "parity")
+    near = both(pairs, points.select("node", "n", "label"), points.count() <= NARROW_ROWS)
+    near = near.where("label_a <> label_b and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
+    wide = both(near.select("a", "b"), points.select("node", "n", "parity"), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,24 +469,42 @@ def joined(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
                 edges.append((i, j))
 
 
-def sets_of(texts: DataFrame, few: DataFrame) -> DataFrame:
-    """few (node, first_id, ...) with the shingles of each one's text in texts (id, text), whose ids are unique."""
-    near = F.broadcast(few) if few.count() <= SMALL_ROWS else few
-    added = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
-    found = texts.select("id", "text").join(near, F.col("id") == F.col("first_id"))
-    return per_text(found, [c for c in few.columns if c != "first_id"], "text", lambda: lambda xs: {"shingles": [shingles_of(x).view(np.int64) for x in xs]}, added)
+def spread(few: DataFrame) -> DataFrame:
+    """few, a cut table of narrow rows, broadcast if it is small."""
+    return F.broadcast(few) if few.count() <= NARROW_ROWS else few
+
+
+def with_texts(texts: DataFrame, few: DataFrame) -> DataFrame:
+    """few (first_id, ...), a cut table of narrow rows, with the text of each one's id in texts (id, text)."""
+    return texts.select("id", "text").join(spread(few), F.col("id") == F.col("first_id")).drop("id", "first_id")
 
 
 def verified(edges: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of edges (a, b) whose nodes' Jaccard similarity is 0.8 or more. A hub's edges are dealt over several copies of it."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(sets_of(texts, cut(points.join(nodes, "node").select("node", "first_id"))))
+    """Those of edges (a, b; a cut table) whose nodes' Jaccard similarity is 0.8 or more.
+
+    Whole texts move once for each edge, and a hub's edges are dealt over several copies of it; tasks take them one by one.
+    """
     hubs = edges.groupBy(F.col("a").alias("_tw_hub")).count().where(F.col("count") > HOT)
     salt = F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("count") / HOT), F.lit(1)))
-    spread = cut(with_small(edges, cut(hubs), "a", "_tw_hub", F.col("b"), "left").select("a", "b", salt.alias("salt")))
-    hub_sets = spread.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-    pairs = spread.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").join(hub_sets, ["a", "salt"])
-    return pairs.where(9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right"))).select("a", "b")
+    dealt = cut(with_small(edges, cut(hubs), "a", "_tw_hub", F.col("b"), "left").select("a", salt.alias("salt"), "b"))
+    sides = dealt.select("a", "salt", F.lit(True).alias("other"), F.col("b").alias("node")).unionByName(dealt.select("a", "salt").distinct().select("*", F.lit(False).alias("other"), F.col("a").alias("node")))
+    rows = with_texts(texts, cut(sides.join(points.select("node", "first_id"), "node")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            a, salt, other, node = (batch.column(i).to_pylist() for i in range(4))
+            for k, text in enumerate(raw(batch.column(4))):
+                shingles = shingles_of(text)
+                if not other[k]:
+                    key, own = (a[k], salt[k]), shingles
+                elif key == (a[k], salt[k]) and 9 * len(np.intersect1d(own, shingles, assume_unique=True)) >= 4 * (len(own) + len(shingles)):
+                    found.append((a[k], node[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    # false sorts first: the hub stands before its edges
+    return rows.select("a", "salt", "other", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(run, "a long, b long")
 
 
 def in_units(asked: DataFrame) -> DataFrame:
@@ -511,21 +533,20 @@ def in_units(asked: DataFrame) -> DataFrame:
 
 
 def joined_within(rows: DataFrame) -> DataFrame:
-    """(a, b): links between the nodes of each unit in rows (unit, node, label, shingles), as many as connect what all links do."""
+    """(a, b): links between the nodes of each unit in rows (unit, node, label, text), as many as connect what all links do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members: dict[int, list] = {}
         for batch in batches:
-            ends, values = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
-            for k, (unit, node, label) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
-                members.setdefault(unit, []).append((node, label, values[ends[k] : ends[k + 1]]))
+            for unit, node, label, text in zip(*(batch.column(i).to_pylist() for i in range(3)), raw(batch.column(3)), strict=True):
+                members.setdefault(unit, []).append((node, label, shingles_of(text)))
         found = []
         for own in members.values():
             label = np.unique([x[1] for x in own], return_inverse=True)[1]
             found += [(own[i][0], own[j][0]) for i, j in joined([x[2] for x in own], label)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.select("unit", "node", "label", "shingles").repartition("unit").mapInArrow(run, "a long, b long")
+    return rows.select("unit", "node", "label", "text").repartition("unit").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -548,8 +569,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     asked = cut(maybe.join(points.select("node", "first_id", "label"), "node"))
     open_ = asked.groupBy("root").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(F.col("root").alias("_tw_open"))
     asked = cut(with_small(asked, cut(open_), "root", "_tw_open", F.col("node")).drop("_tw_open"))
-    sets = cut(sets_of(own, asked.select("node", "first_id")))
-    more = joined_within(in_units(asked.drop("first_id")).join(sets, "node"))
+    more = joined_within(with_texts(own, cut(in_units(asked))))
     roots = components(sure.unionByName(more), points)
     return with_keyed(marked.select("id", "node"), grouped(points, roots), "node", "id")
 
