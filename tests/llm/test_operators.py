@@ -159,7 +159,7 @@ def jaccard(a, b):
 
 def test_prefixes_and_parities_miss_no_similar_pair():
     sets = [simhash.shingles_of(t.encode()) for t in dict.fromkeys(similar_texts(1) + similar_texts(2))]
-    common = np.random.default_rng(0).integers(0, 3, simhash.COUNTERS)
+    common = np.random.default_rng(0).integers(0, 3, simhash.COUNTERS, np.uint8)
     plain, marks = [set(s.tolist()) for s in sets], [set(simhash.prefix(s, common).tolist()) for s in sets]
     odd = [simhash.parities(s) for s in sets]
     near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(plain[i], plain[j]) >= 0.8]

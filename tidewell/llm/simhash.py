@@ -280,13 +280,13 @@ def grouped(points: DataFrame, roots: DataFrame) -> DataFrame:
 WORDS_RADIUS = 7
 WIDTH = 5
 #: Texts that share a rare shingle are paired if they are so many at most; else they are compared block by block.
-FEW = 64
+FEW = 32
 #: Sets that one task compares at once come in two blocks of about so many.
 BLOCK = 256
 #: Narrow rows (three longs) that are broadcast, after counting them.
 NARROW_ROWS = 2_000_000
-#: Counters for how often shingles occur, and how far above a task's mean a counter must be to be reported.
-COUNTERS, ABOVE = 1 << 20, 8
+#: Counters for how often shingles occur, and what a task must have counted there, besides four times its mean, to report it.
+COUNTERS, REPORTED = 1 << 24, 3
 
 
 def majority(hashes: np.ndarray, block: int = 65_536) -> np.uint64:
@@ -316,14 +316,14 @@ def shingles_of(text: bytes) -> np.ndarray:
 
 
 def counter_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(44)).astype(np.int64)
+    return (shingles >> np.uint64(40)).astype(np.int32)
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The rarest fifth of a set, and one more: any two sets of Jaccard similarity 0.8 or more share one of these.
 
-    That holds for any one order of all shingles. Here common (counts by counter_of) decides, then the hash, so
-    that widespread passages come last. A set without shingles has a mark of its own.
+    That holds for any one order of all shingles. Here common (steps of counts, by counter_of) decides, then the
+    hash, so that widespread passages come last. A set without shingles has a mark of its own.
     """
     if not len(shingles):
         return np.zeros(1, np.uint64)
@@ -352,30 +352,35 @@ def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """docs (id, node, text) as (id, node, fingerprint of the words, n shingles, parity), and how common shingles are by COUNTERS.
 
     Each task reports only the counters that stand out; so what reaches the driver is at most COUNTERS
-    numbers, and rare shingles count 0. These counts order shingles and decide nothing.
+    numbers, and rare shingles count 0. The counts, in steps of a third more, order shingles and decide nothing.
     """
 
     kind, longs = to_arrow_type(docs.schema["id"].dataType), pa.list_(pa.int64())
     names = ["id", "node", "fingerprint", "n", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        seen: list[tuple] = []
         for batch in batches:
             texts = raw(batch.column(2))
             sets = [shingles_of(x) for x in texts]
             if sets:
-                counts += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
+                seen.append(np.unique(counter_of(np.concatenate(sets)), return_counts=True))
             marks = np.array([words_fingerprint(x) for x in texts], np.uint64).view(np.int64)
             own = [pa.array(marks), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x).view(np.int64) for x in sets], longs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=names)
-        slots = np.flatnonzero(counts > ABOVE + 2 * counts.mean())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(slots), kind), pa.array(slots), pa.nulls(len(slots), pa.int64()), pa.array(counts[slots]), pa.nulls(len(slots), longs)], names=names)
+        if seen:
+            slots, at = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([n for _, n in seen])).astype(np.int64)
+            clear = counts >= REPORTED + 4 * counts.sum() / COUNTERS
+            slots, counts = slots[clear], counts[clear]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(slots), kind), pa.array(slots.astype(np.int64)), pa.nulls(len(slots), pa.int64()), pa.array(counts), pa.nulls(len(slots), longs)], names=names)
 
     schema = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in names[1:4]), T.StructField("parity", T.ArrayType(T.LongType()))])
     rows = cut(docs.select("id", "node", "text").mapInArrow(run, schema))
-    common = np.zeros(COUNTERS, np.int64)
-    for slot, n in rows.where("parity is null").groupBy("node").agg(F.sum("n")).collect():
-        common[slot] = n
+    common = np.zeros(COUNTERS, np.uint8)
+    steps = rows.where("parity is null").groupBy("node").agg(F.least(F.lit(255), F.ceil(F.log(F.sum("n")) * 3.5)).alias("step"))
+    found = steps.select(F.col("node").cast("int"), F.col("step").cast("short")).toArrow()
+    common[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return rows.where("parity is not null"), common
 
 
