@@ -280,9 +280,9 @@ def grouped(points: DataFrame, roots: DataFrame) -> DataFrame:
 WORDS_RADIUS = 7
 WIDTH = 5
 #: Texts that share a rare shingle are paired if they are so many at most; else they are compared block by block.
-FEW = 32
+FEW = 64
 #: Sets that one task compares at once come in two blocks of about so many.
-BLOCK = 256
+BLOCK = 1_024
 #: Narrow rows (three longs) that are broadcast, after counting them.
 NARROW_ROWS = 2_000_000
 #: Counters for how often shingles occur, and what a task must have counted there, besides four times its mean, to report it.
@@ -569,13 +569,14 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     label = components(sure).select("node", F.col("root.node").alias("label"))
     points = cut(points.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
     shared = cut(sharing(own, common))
-    sure = sure.unionByName(verified(cut(likely(shared.where("not many").select("a", "b"), points)), points, own))
+    paired = verified(cut(likely(shared.where("not many").select("a", "b"), points)), points, own)
     maybe = components(shared.where("many").select("a", "b")).select("node", F.col("root.node").alias("root"))
     asked = cut(maybe.join(points.select("node", "first_id", "label"), "node"))
     open_ = asked.groupBy("root").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(F.col("root").alias("_tw_open"))
     asked = cut(with_small(asked, cut(open_), "root", "_tw_open", F.col("node")).drop("_tw_open"))
     more = joined_within(with_texts(own, cut(in_units(asked))))
-    roots = components(sure.unionByName(more), points)
+    stars = points.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+    roots = components(stars.unionByName(paired).unionByName(more), points)
     return with_keyed(marked.select("id", "node"), grouped(points, roots), "node", "id")
 
 
