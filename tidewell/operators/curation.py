@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions import text as X
+from tidewell.sources.files import cut
 
 # Phrases of refusals.
 REFUSALS = ("无法准确", "未提及")
@@ -84,7 +85,7 @@ def _numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """rows numbered from 1 in a total order: ranges are sorted side by side and their counts added up."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    placed = placed.persist()
+    placed = cut(placed)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
     return placed.join(F.broadcast(starts.select("_part", "_first", "_start")), "_part").withColumn(name, F.col("_row") - F.col("_first") + F.col("_start") + 1).drop("_part", "_row", "_first", "_start")

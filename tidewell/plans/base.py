@@ -59,15 +59,16 @@ RESPONSES = """responses AS (SELECT doc_id, CASE doc_id % 7
 
 # SQL of tokens and of the ranked arms that several plans build on.
 TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-DOC_TOKENS = f"""dt AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), qt AS (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark),
-    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM dt) GROUP BY ALL),
+DOC_TOKENS = f"""dt AS MATERIALIZED (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), qt AS (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark),
+    tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM dt) GROUP BY ALL),
     q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(t) AS term FROM qt) GROUP BY ALL)"""
-TERMS = """st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM dt), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
+TERMS = """st AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM dt), df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
     terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 BM25 = f"""{DOC_TOKENS}, {TERMS},
-    bm AS (SELECT item_id AS query, doc_id AS doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))), 6) AS score
+    hit AS (SELECT item_id AS query, doc_id AS doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))), 6) AS score
            FROM q JOIN tf USING (term) JOIN terms USING (term) JOIN dt USING (doc_id), st GROUP BY ALL),
+    bm AS (SELECT item_id AS query, doc_id AS doc, coalesce(score, 0) AS score FROM benchmark CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN hit ON query = item_id AND doc = doc_id),
     bm25 AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 10)"""
 SPARSE = """sp AS (SELECT item_id AS query, tf.doc_id AS doc, round(sum(tf / len(dt.t) * times / len(qt.t)), 9) AS score
            FROM q JOIN qt USING (item_id) JOIN tf USING (term) JOIN dt USING (doc_id) GROUP BY ALL),

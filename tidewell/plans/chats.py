@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import conversation, generate
 from tidewell.plans.base import query
-from tidewell.sources.files import last_of_each, table
+from tidewell.sources.files import last_of_each, shared_path, table
 from tidewell.streaming import jobs
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; without one, on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidewell-")
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
-
-
 _COST = "floor(len(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g')) * 1.5 + (len(coalesce(text, '')) - len(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g'))) / 4)"
 
 
@@ -45,13 +36,13 @@ def stream_dedup_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """The same through a stream: batches of files merged into a keyed store."""
     schema = table(spark, folder, "events").schema
     stream = jobs.read_stream(spark, f"{folder}/events.parquet", schema).select("user_id", "event_id", "event_type")
-    return jobs.upsert_batches(stream, scratch(spark, "store"), "user_id", "event_id", scratch(spark, "state"))
+    return jobs.upsert_batches(stream, shared_path(spark, "store"), "user_id", "event_id", shared_path(spark, "state"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_resume(spark: SparkSession, folder: str) -> DataFrame:
     """The stream is run twice with one checkpoint: the second run finds nothing left to do."""
-    schema, out, state = table(spark, folder, "events").schema, scratch(spark, "out"), scratch(spark, "state")
+    schema, out, state = table(spark, folder, "events").schema, shared_path(spark, "out"), shared_path(spark, "state")
     for _ in range(2):
         rows = jobs.run_to_table(jobs.read_stream(spark, f"{folder}/events.parquet", schema).select("event_id", "user_id", "event_type"), out, state)
     return rows
@@ -63,7 +54,7 @@ def stream_windowed_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Days that the watermark has closed; later ones are still open."""
     schema = table(spark, folder, "events").schema
     stream = jobs.read_stream(spark, f"{folder}/events.parquet", schema).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    rows = jobs.run_to_table(jobs.windowed_rollup(stream, "ts", "value", "event_type"), scratch(spark, "out"), scratch(spark, "state"))
+    rows = jobs.run_to_table(jobs.windowed_rollup(stream, "ts", "value", "event_type"), shared_path(spark, "out"), shared_path(spark, "state"))
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "most")
 
 
@@ -78,5 +69,5 @@ def stream_history_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation's last state after the stream has read all turns."""
     schema = table(spark, folder, "conversations").schema
     stream = jobs.history_budget(jobs.read_stream(spark, f"{folder}/conversations.parquet", schema), "conv_id", "text", 200)
-    rows = jobs.run_updates(stream, scratch(spark, "updates"), scratch(spark, "state"))
+    rows = jobs.run_updates(stream, shared_path(spark, "updates"), shared_path(spark, "state"))
     return rows.groupBy("conv_id").agg(F.max_by(F.struct("used", "over"), "batch").alias("s")).select("conv_id", "s.used", "s.over")

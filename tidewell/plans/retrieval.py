@@ -13,18 +13,26 @@ from tidewell.sources.files import table
 K, KEEP = 10, 5
 
 
+def doc_index(spark: SparkSession, folder: str) -> search.Index:
+    return search.bm25_index(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def bm25_arm(spark: SparkSession, folder: str) -> DataFrame:
-    index = search.bm25_index(table(spark, folder, "documents"), "doc_id", "text")
-    return search.bm25(index, table(spark, folder, "benchmark"), K)
+    return search.bm25(doc_index(spark, folder), table(spark, folder, "benchmark"), K)
 
 
 def sparse_arm(spark: SparkSession, folder: str) -> DataFrame:
-    docs = search.sparse_vectors(table(spark, folder, "documents"), "doc_id", "text", "doc")
-    return search.sparse_ip(docs, search.sparse_vectors(table(spark, folder, "benchmark"), "item_id", "text", "query"), K)
+    return search.sparse_ip(doc_index(spark, folder), table(spark, folder, "benchmark"), K)
+
+
+def both_arms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """BM25 and sparse over one index."""
+    index, asked = doc_index(spark, folder), table(spark, folder, "benchmark")
+    return search.bm25(index, asked, K), search.sparse_ip(index, asked, K)
 
 
 def merged_arms(spark: SparkSession, folder: str) -> DataFrame:
-    return search.merge(bm25_arm(spark, folder), sparse_arm(spark, folder))
+    return search.merge(*both_arms(spark, folder))
 
 
 def reranked(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +43,7 @@ def reranked(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {DOC_TOKENS}, {TERMS} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return search.bm25_index(table(spark, folder, "documents"), "doc_id", "text").terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return doc_index(spark, folder).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT query, doc, score, rank FROM bm25")
@@ -70,8 +78,25 @@ def dense_l2_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {BM25}, {SPARSE}, f AS (SELECT query, doc, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT query, doc, rank FROM bm25 UNION ALL SELECT query, doc, rank FROM sparse) GROUP BY ALL)
     SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f QUALIFY rank <= 10""")
 def rrf_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    return search.fuse([sparse_arm(spark, folder), bm25_arm(spark, folder)], K)
+    return search.fuse([*both_arms(spark, folder)], K)
+
 
+_VECTORS = """hd AS (SELECT {0} AS id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS b, count(*) AS c FROM (SELECT {0}, unnest(t) AS token FROM {1}) GROUP BY ALL),
+    {2} AS (SELECT id, b, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM hd)"""
+
+
+@query(f"""WITH {DOC_TOKENS}, {SPARSE}, {_VECTORS.format('doc_id', 'dt', 'dv')}, {_VECTORS.format('item_id', 'qt', 'qv').replace('hd', 'hq')},
+    ds AS (SELECT q.id AS query, d.id AS doc, round(sum(q.w * d.w), 6) + 0.0 AS score FROM (SELECT DISTINCT id FROM qv) i JOIN qv q USING (id) JOIN dv d ON d.b = q.b GROUP BY ALL),
+    every AS (SELECT q.id AS query, d.id AS doc, coalesce(score, 0) AS score FROM (SELECT DISTINCT id FROM qv) q CROSS JOIN (SELECT DISTINCT id FROM dv) d LEFT JOIN ds ON ds.query = q.id AND ds.doc = d.id),
+    dense AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM every QUALIFY rank <= 10),
+    f AS (SELECT query, doc, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT query, doc, rank FROM dense UNION ALL SELECT query, doc, rank FROM sparse) GROUP BY ALL)
+    SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f QUALIFY rank <= 10""")
+def hybrid_dense_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """Dense and sparse arms over the documents, fused; hashed token counts stand in for a model's vectors."""
+    index, asked = doc_index(spark, folder), table(spark, folder, "benchmark")
+    questions = search.hashed_vectors(asked.select(F.col("item_id").alias("doc"), X.tokens(F.col("text")).alias("tokens")))
+    near = search.dense(search.hashed_vectors(index.docs), questions, K, "doc", "vector")
+    return search.fuse([near, search.sparse_ip(index, asked, K)], K)
 
 @query(f"WITH {BM25}, {SPARSE}, {MERGED} SELECT query, doc, source, rank FROM merged")
 def merge_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,12 +150,19 @@ def post_process(spark: SparkSession, folder: str) -> DataFrame:
 
 def truth(spark: SparkSession, folder: str) -> DataFrame:
     """(query, doc): documents that hold an item's text. A word trigram inside the item is its key: texts
-    meet it by hash, not each with each, and containment decides."""
+    meet it by hash, not each with each, and containment decides; only then are texts fetched."""
     split = lambda c: F.split(F.regexp_replace(c, r"\s+", " "), " ")
     trigrams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(3))))
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"), F.concat_ws(" ", F.slice(split("text"), 2, 3)).alias("key"))
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text", F.explode(F.array_distinct(X.once(split("text"), trigrams))).alias("key"))
-    return docs.join(items, "key").where(F.contains("text", "item")).select("query", "doc").distinct()
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"), split("text").alias("w"))
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    keyed = items.where("size(w) >= 5").select("query", F.concat_ws(" ", F.slice("w", 2, 3)).alias("key"))
+    met = texts.select("doc", F.explode(F.array_distinct(X.once(split("text"), trigrams))).alias("key")).join(keyed, "key").select("query", "doc").distinct()
+    found = met.join(items.select("query", "item"), "query").join(texts, "doc").where(F.contains("text", "item")).select("query", "doc")
+    short = items.where("size(w) < 5").select("query", "item")
+    if not short.limit(1).count():
+        return found.distinct()
+    # items without a whole trigram inside: the question set in one block against all texts
+    return found.unionByName(texts.join(short, F.contains("text", "item")).select("query", "doc")).distinct()
 
 
 def _ranking(column: str, k: int):

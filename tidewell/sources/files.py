@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share; on one machine a temporary folder will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-tidewell-")
+    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read from there: lost executors cost no recomputation."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def last_of_each(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """The last row of each key in order; rows without a key go. One aggregate, so hot keys combine before the shuffle."""
     value = F.struct(*[F.col(f"`{c}`") for c in rows.columns])

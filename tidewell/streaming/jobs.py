@@ -30,24 +30,34 @@ def first_of_each(stream: DataFrame, key: str, time: str, late: str = "30 days")
 def upsert_batches(stream: DataFrame, store: str, key: str, order: str, checkpoint: str) -> DataFrame:
     """A keyed store at store/v=<batch>: every batch is merged into the last version, the last row in order winning.
 
-    A batch that is run again after a failure writes the same version again.
+    A batch that is run again after a failure writes the same version again. Versions before the last two are
+    removed. A run that finds nothing new returns the store as it is; one that never found anything has no rows.
     """
     from tidewell.sources.files import upsert
 
     spark = stream.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions() -> list[int]:
+        """Whole versions, the last one first."""
+        found = [f.getPath().getName() for f in fs.listStatus(at(store))] if fs.exists(at(store)) else []
+        return sorted((int(n[2:]) for n in found if n.startswith("v=") and fs.exists(at(f"{store}/{n}/_SUCCESS"))), reverse=True)
 
     def merge(batch: DataFrame, number: int) -> None:
-        if number:
-            old = spark.read.parquet(f"{store}/v={number - 1}")
+        before = [v for v in versions() if v < number]
+        if before:
+            old = spark.read.parquet(f"{store}/v={before[0]}")
             newer = batch.join(old.select(key, F.col(order).alias("_was")), key, "left").where(F.col("_was").isNull() | (F.col(order) >= F.col("_was"))).drop("_was")
         else:
             old, newer = batch.limit(0), batch
         upsert(old, newer, key, order).write.mode("overwrite").parquet(f"{store}/v={number}")
-        last.append(number)
+        for v in before[1:]:
+            fs.delete(at(f"{store}/v={v}"), True)
 
-    last: list[int] = []
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{store}/v={last[-1]}")
+    there = versions()
+    return spark.read.parquet(f"{store}/v={there[0]}") if there else spark.createDataFrame([], stream.schema)
 
 
 def windowed_rollup(stream: DataFrame, time: str, value: str, group: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
