@@ -18,11 +18,14 @@ def docs(spark):
 
 
 def test_bm25(spark, docs):
+    docs = docs.union(spark.createDataFrame([("doc_4", "tyres")], docs.schema))
     index = search.bm25_index(docs, "doc", "text")
     asked = spark.createDataFrame([(1, "window"), (2, ""), (3, "window window heating")], "item_id long, text string")
     got = search.bm25(index, asked, 2).collect()
-    assert {r.doc for r in got if r.query == 1} == {"doc_0", "doc_3"} and not [r for r in got if r.query == 2]
-    assert all(sorted(r.rank for r in got if r.query == q) == [1, 2] for q in (1, 3))
+    assert {r.doc for r in got if r.query == 1} == {"doc_0", "doc_3"}
+    assert [(r.doc, r.score) for r in got if r.query == 2] == [("doc_0", 0.0), ("doc_1", 0.0)]
+    assert all(sorted(r.rank for r in got if r.query == q) == [1, 2] for q in (1, 2, 3))
+    assert search.bm25(index, asked, 9).count() == 15
     with pytest.raises(ValueError):
         search.bm25_index(docs.limit(0), "doc", "text")
 
@@ -178,5 +181,20 @@ def test_streams(spark, tmp_path):
     stream = jobs.read_stream(spark, source, schema, 1)
     got = jobs.upsert_batches(stream, str(tmp_path / "store"), "k", "v", str(tmp_path / "state")).collect()
     assert sorted((r.k, r.v) for r in got) == [("a", 3), ("b", 5)]
+    again = jobs.upsert_batches(stream, str(tmp_path / "store"), "k", "v", str(tmp_path / "state"))
+    assert sorted((r.k, r.v) for r in again.collect()) == [("a", 3), ("b", 5)]
     for _ in range(2):
         assert jobs.run_to_table(jobs.read_stream(spark, source, schema), str(tmp_path / "out"), str(tmp_path / "state2")).count() == 4
+
+
+def test_index_is_found_again(spark, docs, tmp_path):
+    path = str(tmp_path / "index")
+    built = search.open_index(spark, path, docs, "doc", "text")  # none there yet
+    again = search.open_index(spark, path, docs.limit(0), "doc", "text")
+    assert (again.n, again.mean_length) == (built.n, built.mean_length) and again.terms.count() == built.terms.count()
+
+
+def test_rerank_falls_back(spark):
+    rows = spark.createDataFrame([(1, 10, 1, 0.2, False), (1, 11, 2, None, False), (1, 12, 3, 0.9, False), (2, 20, 1, 0.1, True), (2, 21, 2, 0.8, True)], "query long, doc long, rank int, s double, failed boolean")
+    got = {(r.query, r["rank"]): r.doc for r in search.rerank_or_keep(rows, 2, "s", "failed").collect()}
+    assert got == {(1, 1): 12, (1, 2): 10, (2, 1): 20, (2, 2): 21}

@@ -81,7 +81,7 @@ def rerank_rows(traces: DataFrame, key: str = "query_id", query: str = "query")
     return out.where((F.length(query) > 0) & (F.length("content") > 0))
 
 
-def _numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """rows numbered from 1 in a total order: ranges are sorted side by side and their counts added up."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
@@ -94,12 +94,12 @@ def _numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
 def tail_split(rows: DataFrame, order: list[Column], dev: int) -> DataFrame:
     """rows with split dev for the last dev rows in order and train before; fewer rows than dev are all dev, and dev 0 is none."""
     n = rows.count()
-    return _numbered(rows, order, "_i").withColumn("split", F.when(F.col("_i") > n - dev, "dev").otherwise("train")).drop("_i")
+    return numbered(rows, order, "_i").withColumn("split", F.when(F.col("_i") > n - dev, "dev").otherwise("train")).drop("_i")
 
 
 def seeded_order(rows: DataFrame, key: Column, seed: str = "42") -> DataFrame:
     """rows with their place in a shuffle that depends on key and seed alone."""
-    return _numbered(rows.withColumn("_h", F.md5(F.concat(F.lit(seed), key.cast("string")))), [F.col("_h")], "place").drop("_h")
+    return numbered(rows.withColumn("_h", F.md5(F.concat(F.lit(seed), key.cast("string")))), [F.col("_h")], "place").drop("_h")
 
 
 def exact_sample(rows: DataFrame, key: Column, share: float, seed: str = "42") -> DataFrame:
@@ -108,6 +108,29 @@ def exact_sample(rows: DataFrame, key: Column, share: float, seed: str = "42") -
     return seeded_order(rows, key, seed).where(F.col("place") <= n).drop("place")
 
 
+def fixed_sample(rows: DataFrame, key: Column, n: int, seed: str = "42") -> DataFrame:
+    """The n rows whose seeded hash of key is smallest, or all if there are fewer."""
+    return seeded_order(rows, key, seed).where(F.col("place") <= n).drop("place")
+
+
+def zipped(left: DataFrame, left_order: list[Column], right: DataFrame, right_order: list[Column]) -> DataFrame:
+    """(place, left's columns, right's columns): rows side by side by their place in order, as many as the shorter table has."""
+    return numbered(left, left_order, "place").join(numbered(right, right_order, "place"), "place")
+
+
+def vector_rows(rows: DataFrame, key: str, text: str, order: list[Column], most: int = 512) -> DataFrame:
+    """(id, text) for a vector store: the first most characters, and the place from 0 where there is no id."""
+    placed = numbered(rows, order, "_i")
+    return placed.select(F.coalesce(F.col(key).cast("string"), (F.col("_i") - 1).cast("string")).alias("id"), F.substring(text, 1, most).alias("text"))
+
+
+def duplicate_accounting(rows: DataFrame, key: str) -> DataFrame:
+    """One row: distinct keys, rows beyond the first of each key, and rows without a key."""
+    by_key = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    there = by_key.agg(F.count("*").alias("n_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_repeated"))
+    return there.withColumn("n_missing", F.lit(rows.where(F.col(key).isNull()).count()).cast("long"))
+
+
 def sft_rows(traces: DataFrame, instruction: str, key: str = "query_id") -> DataFrame:
     """(key, query, context, instruction, input, output, split) for fine-tuning from query, context and response."""
     context = X.training_context(F.col("context"))

@@ -268,6 +268,12 @@ def rerank(candidates: DataFrame, k: int, query_text: str = "query_text", text:
     return top(candidates.withColumnRenamed("rank", "before").withColumn("score", own), "query", k, F.desc("score"), F.asc("before"))
 
 
+def rerank_or_keep(candidates: DataFrame, k: int, score: str, failed: str) -> DataFrame:
+    """The k best of each query's candidates (query, doc, rank) by a remote score, a missing one being 0; where the call failed, the first k as they stood."""
+    own = F.when(F.col(failed), F.lit(0.0)).otherwise(F.coalesce(F.col(score), F.lit(0.0)))
+    return top(candidates.withColumnRenamed("rank", "before").withColumn("score", own), "query", k, F.desc("score"), F.asc("before")).select("query", "doc", "score", "rank")
+
+
 def contexts(ranked: DataFrame, texts: str = "text") -> DataFrame:
     """(query, context): every query's texts by rank as one numbered context."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(texts).alias("t")))), lambda x: x["t"])

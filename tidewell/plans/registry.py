@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidewell.plans import chats, data, pairs, profile, retrieval, texts  # noqa: F401  they register their plans
+from tidewell.plans import chats, data, pairs, profile, retrieval, stores, texts  # noqa: F401  they register their plans
 from tidewell.plans.base import ORACLE, QUERIES  # noqa: F401
