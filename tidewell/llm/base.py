@@ -18,11 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    Where the setting is absent (tests on one machine) a temporary folder is made and set once.
+    Where the setting is absent (tests on one machine) a temporary folder is made and set once; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         return spark.sparkContext.getCheckpointDir()
     if spark.sparkContext.getCheckpointDir() is None:
