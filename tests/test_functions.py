@@ -1,5 +1,6 @@
 """Column functions on the cases that their definitions name."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,3 +114,30 @@ def test_semantic_groups():
     assert chunks.semantic_groups("x" * 60 + "###a###b", 1) == ["x" * 60, "###a", "###b"]
     with pytest.raises(ValueError):
         chunks.semantic_groups("a", 0)
+
+
+def _plain_linkage(vectors, clusters):
+    found = [[i] for i in range(len(vectors))]
+    apart = lambda a, b: np.mean([1 - vectors[i] @ vectors[j] for i in a for j in b])
+    while len(found) > clusters:
+        i, j = min(((i, j) for i in range(len(found)) for j in range(i + 1, len(found))), key=lambda p: apart(found[p[0]], found[p[1]]))
+        found[i] += found.pop(j)
+    return sorted(sorted(x) for x in found)
+
+
+def test_average_linkage_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for n, clusters in ((1, 1), (2, 1), (7, 3), (25, 5), (40, 8), (40, 40), (3, 9)):
+        v = rng.normal(size=(n, 6))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        label = chunks.average_linkage(v, clusters)
+        assert sorted(np.flatnonzero(label == k).tolist() for k in range(label.max() + 1)) == _plain_linkage(v, clusters)
+    same = chunks.average_linkage(np.array([[1.0, 0.0], [0.0, 1.0]] * 300), 2)  # ties
+    assert same.tolist() == [0, 1] * 300
+
+
+def test_semantic_groups_of_long_texts():
+    lines = ["same far apart words", *(f"alpha{i} beta{i} gamma{i} delta{i} rho{i}" for i in range(900)), "same far apart words"]
+    groups = chunks.semantic_groups("\n".join(lines), 2)
+    assert any(g.count("same far apart words") == 2 for g in groups)
+    assert sum(g.count("alpha") for g in groups) == 900

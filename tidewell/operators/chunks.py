@@ -40,29 +40,45 @@ def hashed_vector(text: str, size: int = 64) -> np.ndarray:
 
 
 def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
-    """Labels of agglomerative clusters by mean cosine distance; labels follow their clusters' first members."""
+    """Labels of agglomerative clusters by mean cosine distance of unit vectors; labels follow their clusters' first members.
+
+    The mean distance of two clusters follows from the sums of their vectors, so chains of nearest
+    neighbours find all merges in memory that grows with the vectors, not with their pairs.
+    """
     n = len(vectors)
-    d = 1 - vectors @ vectors.T
-    np.fill_diagonal(d, np.inf)
-    sizes, label, alive = np.ones(n), np.arange(n), n
-    while alive > clusters:
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        merged = (sizes[i] * d[i] + sizes[j] * d[j]) / (sizes[i] + sizes[j])
-        d[i] = d[:, i] = merged
-        d[i, i] = np.inf
-        d[j] = d[:, j] = np.inf
+    sums, sizes, height, alive = np.array(vectors, float), np.ones(n), np.zeros(n), np.ones(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        i, before = chain[-1], chain[-2] if len(chain) > 1 else -1
+        d = np.where(alive, 1 - sums @ sums[i] / (sizes * sizes[i]), np.inf)
+        d[i] = np.inf
+        j = int(np.argmin(d))
+        if before < 0 or d[before] > d[j] + 1e-12:  # rounding must not lead a chain in a circle
+            chain.append(j)
+            continue
+        i, j = sorted((i, before))
+        height[i] = max(d[before], height[i], height[j])
+        merges.append((height[i], i, j))
+        sums[i] += sums[j]
         sizes[i] += sizes[j]
-        label[label == j] = i
-        alive -= 1
+        alive[j] = False
+        del chain[-2:]
+    label = np.arange(n)
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(0, n - clusters)]:
+        label[j] = i
+    for x in range(n):  # a cluster keeps the number of its first member, so labels point back
+        label[x] = label[label[x]]
     firsts = {x: k for k, x in enumerate(dict.fromkeys(label.tolist()))}
     return np.array([firsts[x] for x in label.tolist()])
 
 
-def semantic_groups(text: str, group_size: int = 5, embed: Callable[[str], np.ndarray] = hashed_vector, between: str = "\n", most: int = 400) -> list[str]:
+def semantic_groups(text: str, group_size: int = 5, embed: Callable[[str], np.ndarray] = hashed_vector, between: str = "\n") -> list[str]:
     """Paragraphs grouped by likeness, each group's in their order; headers part first, and small groups join the one before.
 
-    Clustering looks at stretches of at most ``most`` paragraphs side by side, so that time and memory
-    stay bounded in very long texts; all paragraphs are in some group.
+    All paragraphs of a text are clustered together: memory grows with their number, time with its square.
     """
     if group_size < 1:
         raise ValueError("group_size must be 1 or more")
@@ -76,13 +92,12 @@ def semantic_groups(text: str, group_size: int = 5, embed: Callable[[str], np.nd
     parts = [p for p in text.split(between) if p.strip()]
     if len(parts) <= group_size:
         return parts or [text]
-    groups: list[str] = []
-    for at in range(0, len(parts), most):
-        own = parts[at : at + most]
-        labels = average_linkage(np.array([embed(p) for p in own]), -(-len(own) // group_size))
-        groups += [" ".join(p for p, x in zip(own, labels, strict=True) if x == k) for k in range(labels.max() + 1)]
+    labels = average_linkage(np.array([embed(p) for p in parts]), -(-len(parts) // group_size))
+    own: list[list[str]] = [[] for _ in range(labels.max() + 1)]
+    for p, x in zip(parts, labels.tolist(), strict=True):
+        own[x].append(p)
     out: list[str] = []
-    for g in groups:
+    for g in map(" ".join, own):
         if out and len(g) < SMALL:
             out[-1] += g
         else:
