@@ -42,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Narrow rows a task aims at in rounds over the same table, and tasks that may stay whatever the rows.
+ROWS_A_TASK, TASKS = 250_000, 16
+
+
+def tasks_for(rows: int) -> int:
+    """How many tasks work on so many narrow rows: rounds over small tables would else write a file for every shuffle partition."""
+    return max(TASKS, -(-rows // ROWS_A_TASK))
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -108,13 +117,14 @@ def with_small(rows: DataFrame, few: DataFrame, key: str, few_key: str, spread:
 HOT = 500
 
 
-def with_keyed(rows: DataFrame, keyed: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """rows joined with keyed, which has one row a key (not null), where the keys are equal.
+def with_keyed(rows: DataFrame, keyed: DataFrame, key: str, spread: str, how: str = "inner", tasks: int | None = None) -> DataFrame:
+    """rows joined with keyed, which has one row a key (not null), where the keys are equal. tasks, if given, find the hot keys.
 
     Both are read more than once, so they are cut tables or cheap. Keys of over HOT rows are at most one in HOT rows: their rows
     meet keyed's few rows for them in with_small, all others in an ordinary join.
     """
-    hot = cut(rows.groupBy(key).count().where(F.col("count") > HOT).select(F.col(key).alias("_tw_hot")))
+    hot = rows.groupBy(key).count().where(F.col("count") > HOT).select(F.col(key).alias("_tw_hot"))
+    hot = cut(hot.coalesce(tasks) if tasks else hot)
     if not hot.limit(1).count():
         return rows.join(keyed, key, how)
     marked = with_small(rows, hot, key, "_tw_hot", F.col(spread), "left")

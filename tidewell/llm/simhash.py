@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.base import HOT, SMALL_ROWS, cut, per_text, raw, with_keyed, with_small
+from tidewell.llm.base import HOT, SMALL_ROWS, cut, per_text, raw, tasks_for, with_keyed, with_small
 
 SEED = 42
 #: The trees' tops are grown from one fingerprint in SHARE, SAMPLE of them at most, and as many of them a shard at least.
@@ -237,20 +237,23 @@ def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
     and widespread labels are never dealt by their own key.
     """
     both = cut(edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
+    tasks = tasks_for(both.count())  # no table of a round has more rows
+    both = both.coalesce(tasks)
     nodes = both.select(F.col("a").alias("node")).distinct()
     if first is None:
         own = F.struct(F.lit(False).alias("no_id"), F.lit(None).cast("long").alias("first_id"), F.col("node"))
     else:
         nodes, own = nodes.join(first.select("node", "first_id"), "node"), F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "node")
-    labels = cut(nodes.select("node", own.alias("root")))
+    labels = cut(nodes.select("node", own.alias("root")).coalesce(tasks))
     while True:
-        near = with_keyed(both, labels.select(F.col("node").alias("b"), "root"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = cut(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("low"), F.least("root", "near")["node"].alias("at")))
+        near = with_keyed(both, labels.select(F.col("node").alias("b"), "root"), "b", "a", tasks=tasks).coalesce(tasks).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        low = cut(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("low"), F.least("root", "near")["node"].alias("at")).coalesce(tasks))
         if not low.where("old <> low").limit(1).count():
             return low.select("node", F.col("low").alias("root"))
         lows = low.select("at").distinct()
         jump = low.where(F.col("at") != F.col("node")).join(lows.withColumnRenamed("at", "_tw_at"), F.col("node") == F.col("_tw_at"), "left_semi").select(F.col("node").alias("_tw_at"), F.col("low").alias("far"))
-        labels = cut(with_small(low.select("node", "low", "at"), jump, "at", "_tw_at", F.col("node"), "left").select("node", F.coalesce(F.least("low", "far"), "low").alias("root")))
+        labels = with_small(low.select("node", "low", "at"), jump.coalesce(tasks), "at", "_tw_at", F.col("node"), "left")
+        labels = cut(labels.select("node", F.coalesce(F.least("low", "far"), "low").alias("root")).coalesce(tasks))
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
