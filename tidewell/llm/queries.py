@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator, with production parameters, to a whole table."""
+"""The queries op1 to op13: each applies its operator, with production parameters, to a whole table."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import brown, decontaminate, licenses, mixing, quality, sharding, simhash, tokenfiles, urlfilter, wordpiece
+from tidewell.llm import align, brown, decontaminate, licenses, mixing, quality, sharding, simhash, tokenfiles, urlfilter, wordpiece
 from tidewell.llm.base import table
 
 # The rules that op3 judges by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A title made of words that end in runs of symbols; such pages are listed.
 JUNK_TITLE = r"<title>[^<]*(?:%%%|\*\*\*|###|\$\$\$|&amp;&amp;&amp;)"
 
@@ -21,6 +22,11 @@ def tokenizer_json(path: str = TOKENIZER) -> str:
         return f.read()
 
 
+def piece_model(path: str = PIECES) -> bytes:
+    with open(public_tokenizers.path(path), "rb") as f:
+        return f.read()
+
+
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_groups(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -65,9 +71,13 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.aligned(table(spark, folder, "documents"), tokenizer_json(BYTES), piece_model())
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_license_scan, op3_url_filter, op4_quality_rules, op5_brown_scores, op6_token_counts, op7_mixing, op8_token_files, op9_sharding, op10_decontamination)
+    for f in (op1_simhash, op2_license_scan, op3_url_filter, op4_quality_rules, op5_brown_scores, op6_token_counts, op7_mixing, op8_token_files, op9_sharding, op10_decontamination, op13_alignment)
 }
 
 ORACLE: dict[str, str] = {
