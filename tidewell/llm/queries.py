@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import align, brown, decontaminate, licenses, mixing, quality, sharding, simhash, tokenfiles, urlfilter, wordpiece
+from tidewell.llm import align, brown, decontaminate, divergence, licenses, mixing, quality, sharding, simhash, tokenfiles, urlfilter, wordpiece
 from tidewell.llm.base import table
 
 # The rules that op3 judges by.
@@ -71,13 +71,17 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align.aligned(table(spark, folder, "documents"), tokenizer_json(BYTES), piece_model())
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_license_scan, op3_url_filter, op4_quality_rules, op5_brown_scores, op6_token_counts, op7_mixing, op8_token_files, op9_sharding, op10_decontamination, op13_alignment)
+    for f in (op1_simhash, op2_license_scan, op3_url_filter, op4_quality_rules, op5_brown_scores, op6_token_counts, op7_mixing, op8_token_files, op9_sharding, op10_decontamination, op12_divergence, op13_alignment)
 }
 
 ORACLE: dict[str, str] = {
@@ -130,4 +134,23 @@ ORACLE: dict[str, str] = {
                (size * (floor(rate) + (('0x' || substr(md5('mix-1|' || key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate))::INT))::BIGINT AS taken
         FROM r
     """,
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        occ AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS n FROM occ JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        grid AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+        p AS (SELECT *, (1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v))::HUGEINT AS p FROM grid JOIN v USING (lang)),
+        l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term),
+        q AS (SELECT lang, term, (1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v))::HUGEINT AS q FROM l JOIN v USING (lang)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL) f
+                  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+        terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        b AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM b QUALIFY part = 'pair' OR rank <= 10
+    """,
 }
