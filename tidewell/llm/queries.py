@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import align, brown, decontaminate, divergence, licenses, mixing, quality, sharding, simhash, tokenfiles, urlfilter, wordpiece
+from tidewell.llm import align, brown, decontaminate, divergence, licenses, mixing, quality, sharding, simhash, tokenfiles, toxicity, urlfilter, wordpiece
 from tidewell.llm.base import table
 
 # The rules that op3 judges by.
@@ -71,6 +71,11 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = lambda i: F.coalesce(F.crc32(i.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return toxicity.toxic_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), held_out)
+
+
 def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
@@ -81,7 +86,7 @@ def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_license_scan, op3_url_filter, op4_quality_rules, op5_brown_scores, op6_token_counts, op7_mixing, op8_token_files, op9_sharding, op10_decontamination, op12_divergence, op13_alignment)
+    for f in (op1_simhash, op2_license_scan, op3_url_filter, op4_quality_rules, op5_brown_scores, op6_token_counts, op7_mixing, op8_token_files, op9_sharding, op10_decontamination, op11_toxicity, op12_divergence, op13_alignment)
 }
 
 ORACLE: dict[str, str] = {
