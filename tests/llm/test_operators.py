@@ -196,6 +196,49 @@ def test_recall_over_the_given_documents(spark):
     assert len(near) > 50 and all(group[rows[a].doc_id] == group[rows[b].doc_id] for a, b in near)
 
 
+def test_many_texts_that_share_a_footer_make_few_units(spark):
+    """20,000 texts whose shared footer is most of each: none can be similar by it, so next to none is compared."""
+    rng = random.Random(9)
+    footer = " ".join(f"f{i}" for i in range(50))
+    rows = [(i, " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(7 + i % 3)) + " " + footer) for i in range(20_000)]
+    own = spark.createDataFrame(rows, "id long, text string").withColumn("node", F.xxhash64("text"))
+    marked, common = simhash.surveyed(own)
+    assert simhash.sharing(own, common).count() <= 20_000
+    sets = [set(simhash.shingles_of(t.encode()).tolist()) for _, t in rows[:300]]
+    near = [(i, j) for i in range(300) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert not near
+
+
+def test_units_grow_with_the_nodes_of_a_root(spark, monkeypatch):
+    """Sizes part a root: units hold each node a bounded number of times where sizes spread out, and lose no pair within a fourth."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(1)
+    rows = [(7, i, i, 20 + int(1.05 ** rng.uniform(0, 150))) for i in range(400)]
+    got = simhash.in_units(spark.createDataFrame(rows, "root long, node long, label long, n long")).collect()
+    units = {}
+    for r in got:
+        units.setdefault(r.unit, set()).add(r.node)
+    together = {(a, b) for own in units.values() for a in own for b in own}
+    size = {r[1]: r[3] for r in rows}
+    assert all((a, b) in together for a in size for b in size if 4 * size[a] <= 5 * size[b] <= 6.25 * size[a] and 4 * size[b] <= 5 * size[a])
+    assert max(len(own) for own in units.values()) <= 60
+
+
+@pytest.mark.parametrize("ids", ["repeated", "null", "required"])
+def test_keep_one_over_given_documents_whatever_their_ids(spark, ids):
+    from pyspark.sql import types as T
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = simhash.keep_one(docs).count()
+    if ids == "repeated":
+        docs = docs.unionByName(docs.limit(5))
+    elif ids == "null":
+        docs = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    else:
+        docs = spark.createDataFrame(docs.collect(), T.StructType([T.StructField("doc_id", T.LongType(), False), *docs.schema.fields[1:]]))
+    assert simhash.keep_one(docs.coalesce(1)).count() == want
+
+
 def test_keep_one_without_usable_ids(spark, docs):
     kept = simhash.keep_one(docs).collect()
     texts = [(r.text or "").lower().split() for r in kept]
@@ -335,6 +378,21 @@ def test_prior_has_no_noise_of_the_draw(spark):
         assert bad == ({55, 56, 57} if worse else bad) and len(bad) <= 3
 
 
+@pytest.mark.parametrize("size", [500, 5_000, 50_000])
+def test_hosts_of_the_prior_are_bad_as_often_as_stated(spark, size):
+    """Hosts drawn from a beta prior, fitted again: about 5 % are bad whatever their size, and one far off is."""
+    rng = np.random.default_rng(size)
+    rates = rng.beta(0.18 * 300, 0.82 * 300, 2_000)
+    rates[0] = 0.45
+    failed = rng.binomial(size, rates)
+    hosts = spark.createDataFrame([(str(i), int(k), size) for i, k in enumerate(failed.tolist())], "host string, n_failed long, n_docs long")
+    n, k = float(size), failed.astype(float)
+    mean, spread = quality.prior(len(k), n * len(k), k.sum(), (k * k / n).sum(), n * n * len(k))
+    found = quality.with_verdicts(hosts, mean, spread, quality.Rules()).collect()
+    bad = {int(r.host) for r in found if r.bad}
+    assert 0 in bad and 0.03 < len(bad) / len(k) < 0.08
+
+
 def plain_class_model(train, core, classes, class_of):
     """Counts of a class bigram model whose classes are given: of each word, and what follows each history."""
     counts = Counter(w for d in train for w in d)

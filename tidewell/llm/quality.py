@@ -20,8 +20,8 @@ SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
 @dataclass(frozen=True)
 class Rules:
-    """Percentages; a host is bad if its shrunk failure rate is above bad_host, or so many standard deviations of the
-    prior above its mean (1.645: what 5 % of hosts exceed)."""
+    """Percentages; a host is bad if its shrunk failure rate is above bad_host, or so many standard deviations of shrunk rates of
+    as many documents above the prior's mean (1.645: what about 5 % of hosts drawn from the prior exceed)."""
 
     least_words: int = 50
     repeat: int = 50
@@ -90,16 +90,22 @@ def host_verdicts(marked: DataFrame, failed: Column, rules: Rules = Rules(), hos
 
     The prior's mean is the rate of all documents. Its variance is that between hosts, weighted by their sizes and
     less what the draw of so many documents alone would give; strength follows from both (1 to
-    1,000,000). Where hosts differ by chance only, none is bad. A few sums of one aggregate reach the driver.
+    1,000,000). Shrinking narrows rates: over hosts of n documents the shrunk rate varies by the prior's variance times
+    n / (n + strength), and by that it is judged. Where hosts differ by chance only, none is bad. A few sums of one aggregate reach the driver.
     """
     hosts = cut(marked.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed")))
     d, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     sums = hosts.agg(F.count("*"), F.sum(d), F.sum(f), F.sum(f * f / d), F.sum(d * d)).first()
     mean, spread = prior(*(x or 0.0 for x in sums))
+    return with_verdicts(hosts, mean, spread, rules)
+
+
+def with_verdicts(hosts: DataFrame, mean: float, spread: float, rules: Rules) -> DataFrame:
+    """hosts (n_docs, n_failed) with rate and bad, by the mean and variance of the prior."""
     strength = min(1e6, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1e6
     rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    limit = min(rules.bad_host, mean + rules.far * spread**0.5)
-    return hosts.withColumn("rate", rate).withColumn("bad", (F.col("rate") > limit) & F.lit(spread > 0))
+    limit = F.lit(mean) + F.lit(rules.far) * F.sqrt(F.lit(spread) * F.col("n_docs") / (F.col("n_docs") + F.lit(strength)))
+    return hosts.withColumn("rate", rate).withColumn("bad", (F.col("rate") > F.least(F.lit(rules.bad_host), limit)) & F.lit(spread > 0))
 
 
 def prior(hosts: float, docs: float, failed: float, squares: float, sizes: float) -> tuple[float, float]:

@@ -15,6 +15,7 @@ a tree with its own small radius (0 or 1), and there the triangle bound cuts mos
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.base import HOT, SMALL_ROWS, cut, per_text, raw, tasks_for, with_keyed, with_small
+from tidewell.llm.base import HOT, SALTS, SMALL_ROWS, cut, per_text, raw, shared_path, tasks_for, with_keyed, with_small
 
 SEED = 42
 #: The trees' tops are grown from one fingerprint in SHARE, SAMPLE of them at most, and as many of them a shard at least.
@@ -290,6 +291,8 @@ BLOCK = 1_024
 NARROW_ROWS = 2_000_000
 #: Counters for how often shingles occur, and what a task must have counted there, besides four times its mean, to report it.
 COUNTERS, REPORTED = 1 << 24, 3
+#: Counters that a task holds before it folds them.
+FOLD = 1 << 21
 
 
 def majority(hashes: np.ndarray, block: int = 65_536) -> np.uint64:
@@ -358,27 +361,34 @@ def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     numbers, and rare shingles count 0. The counts, in steps of a third more, order shingles and decide nothing.
     """
 
-    kind, longs = to_arrow_type(docs.schema["id"].dataType), pa.list_(pa.int64())
+    id_type, longs = docs.schema["id"].dataType, pa.list_(pa.int64())
+    kind = to_arrow_type(id_type)
     names = ["id", "node", "fingerprint", "n", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple] = []
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            slots, at = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+            return slots, np.bincount(at, np.concatenate([n for _, n in seen])).astype(np.int64)
+
         for batch in batches:
             texts = raw(batch.column(2))
             sets = [shingles_of(x) for x in texts]
             if sets:
                 seen.append(np.unique(counter_of(np.concatenate(sets)), return_counts=True))
+                if sum(len(x) for x, _ in seen) > 2 * max(len(seen[0][0]), FOLD):
+                    seen = [folded()]
             marks = np.array([words_fingerprint(x) for x in texts], np.uint64).view(np.int64)
             own = [pa.array(marks), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x).view(np.int64) for x in sets], longs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=names)
         if seen:
-            slots, at = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([n for _, n in seen])).astype(np.int64)
+            slots, counts = folded()
             clear = counts >= REPORTED + 4 * counts.sum() / COUNTERS
             slots, counts = slots[clear], counts[clear]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(slots), kind), pa.array(slots.astype(np.int64)), pa.nulls(len(slots), pa.int64()), pa.array(counts), pa.nulls(len(slots), longs)], names=names)
 
-    schema = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in names[1:4]), T.StructField("parity", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in names[1:4]), T.StructField("parity", T.ArrayType(T.LongType()))])
     rows = cut(docs.select("id", "node", "text").mapInArrow(run, schema))
     common = np.zeros(COUNTERS, np.uint8)
     steps = rows.where("parity is null").groupBy("node").agg(F.least(F.lit(255), F.ceil(F.log(F.sum("n")) * 3.5)).alias("step"))
@@ -387,46 +397,116 @@ def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return rows.where("parity is not null"), common
 
 
+#: Whether a set may be the smaller of two similar ones that first share this shingle.
+SMALLER = "9 * (n - place) >= 8 * n"
+
+
 def sharing(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(a, b, many): nodes of docs (node, text) that share a shingle of their prefixes.
+    """(a, b, many): nodes of docs (node, text) that share a shingle of their prefixes and may be similar by it.
 
-    Where up to FEW nodes share one, all their pairs; where many do, each of them with the least.
+    Where up to FEW nodes share one, their pairs; where many do, each of them with the least. Nodes of a shingle that tasks reported as
+    common are first met in salted parts, and each part that has many hands on one for all. So no key has more rows than FEW for
+    each salt, or those that single tasks don't report.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common)
+    names, kinds = ["shingle", "salt", "node", "n", "place", "stands"], "shingle long, salt int, node long, n int, place int, stands boolean"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a text are sent once a task
         for batch in batches:
             new = [(node, x) for node, x in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True) if node not in seen and not seen.add(node)]
-            found = [prefix(shingles_of(x), sent.value) for _, x in new]
+            sets = [shingles_of(x) for _, x in new]
+            found = [prefix(x, sent.value) for x in sets]
             if found:
-                node = np.repeat(np.array([n for n, _ in new], np.int64), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["shingle", "node"])
+                sizes = [len(x) for x in found]
+                node, n = (np.repeat(np.array(v), sizes) for v in ([n for n, _ in new], [len(x) for x in sets]))
+                place, shingle = np.concatenate([np.arange(k) for k in sizes]), np.concatenate(found)
+                salt = np.where(sent.value[counter_of(shingle)] > 0, node % SALTS, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in ((shingle.view(np.int64), pa.int64()), (salt, pa.int32()), (node, pa.int64()), (n, pa.int32()), (place, pa.int32()), (np.zeros(len(n), bool), pa.bool_()))], names=names)
+
+    def ordered(batches: Iterator[pa.RecordBatch], salted: bool) -> tuple[np.ndarray, ...] | None:
+        seen = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches]
+        if not seen:
+            return None
+        s, salt, node, n, place, stands = (np.concatenate(x) for x in zip(*seen, strict=True))
+        order = np.lexsort((place, n, node, salt, s) if salted else (place, n, node, s))
+        s, salt, node, n, place, stands = (x[order] for x in (s, salt, node, n, place, stands))
+        fresh = np.ones(len(s), bool)
+        fresh[1:] = (np.diff(s) != 0) | (np.diff(node) != 0)
+        s, salt, node, n, place = (x[fresh] for x in (s, salt, node, n, place))
+        stands = np.logical_or.reduceat(stands, np.flatnonzero(fresh))
+        key = np.append(True, (np.diff(s) != 0) | ((np.diff(salt) != 0) & salted))
+        return s, salt, node, n, place, stands, np.flatnonzero(key)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Salted parts of common shingles: parts of up to FEW nodes pass, others as edges (no shingle left to meet) and one that stands for them."""
+        got = ordered(batches, True)
+        if got is None:
+            return
+        s, salt, node, n, place, stands, first = got
+        sizes = np.diff(first, append=len(s))
+        stays = np.repeat(sizes <= FEW, sizes)
+        edges = []
+        for k, size in zip(first[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            stays[k] = stands[k] = True
+            edges += [(node[k], x) for x in node[k + 1 : k + size]]
+        rows = [x[stays] for x in (s, np.full(len(s), -1, np.int32), node, n, place, stands)]
+        edge = np.array(edges, np.int64).reshape(-1, 2)
+        # an edge: n is -1, and the shingle is the other node
+        full = [np.concatenate(x) for x in zip(rows, [edge[:, 0], np.full(len(edge), -2, np.int32), edge[:, 1], np.full(len(edge), -1), np.zeros(len(edge), int), np.ones(len(edge), bool)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(full, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not seen:
+        got = ordered(batches, False)
+        if got is None:
             return
-        s, node = (np.concatenate(x) for x in zip(*seen, strict=True))
-        order = np.lexsort((node, s))
-        s, node = s[order], node[order]
-        once = np.ones(len(s), bool)
-        once[1:] = (np.diff(s) != 0) | (np.diff(node) != 0)
-        s, node = s[once], node[once]
-        first = np.flatnonzero(np.append(True, np.diff(s) != 0))
-        n = np.diff(first, append=len(s))
-        for k in np.unique(n[(n > 1) & (n <= FEW)]).tolist():
-            own = node[first[n == k][:, None] + np.arange(k)]
+        s, _, node, n, place, stands, first = got
+        sizes = np.diff(first, append=len(s))
+        whole = np.maximum.reduceat(stands, first)
+        for k in np.unique(sizes[(sizes > 1) & (sizes <= FEW) & ~whole]).tolist():
+            at = first[(sizes == k) & ~whole][:, None] + np.arange(k)
             i, j = np.triu_indices(k, 1)
             step = max(1, (1 << 18) // len(i))
-            for at in range(0, len(own), step):
-                pairs = np.unique(np.column_stack((own[at : at + step, i].ravel(), own[at : at + step, j].ravel())), axis=0)
+            for x in range(0, len(at), step):
+                left, right = at[x : x + step, i].ravel(), at[x : x + step, j].ravel()
+                fit = 9 * np.minimum(n[left] - place[left], n[right] - place[right]) >= 4 * (n[left] + n[right])
+                pairs = np.unique(np.column_stack((node[left[fit]], node[right[fit]])), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.zeros(len(pairs), bool))], names=["a", "b", "many"])
-        least, many = np.repeat(node[first], n), np.repeat(n > FEW, n) & (np.repeat(node[first], n) != node)
-        edges = np.unique(np.column_stack((least, node))[many], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy()), pa.array(np.ones(len(edges), bool))], names=["a", "b", "many"])
-
-    return docs.select("node", "text").mapInArrow(send, "shingle long, node long").repartition("shingle").mapInArrow(meet, "a long, b long, many boolean").distinct()
+        large = (sizes > FEW) | whole
+        edges = []
+        for k, size in zip(first[large].tolist(), sizes[large].tolist(), strict=True):
+            at = np.arange(k, k + size)
+            at = at if stands[at].any() else at[able(n[at], place[at])]
+            edges += [(node[at[0]], x) for x in node[at[1:]]] if len(at) else []
+        edge = np.unique(np.array(edges, np.int64).reshape(-1, 2), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0].copy()), pa.array(edge[:, 1].copy()), pa.array(np.ones(len(edge), bool))], names=["a", "b", "many"])
+
+    posts = docs.select("node", "text").mapInArrow(send, kinds)
+    path = shared_path(docs.sparkSession, "posts")
+    posts.write.parquet(path)
+    posts = docs.sparkSession.read.schema(kinds).parquet(path)
+    # as able(), by the least and largest size of nodes that may be the smaller of two
+    size = F.when(F.expr(SMALLER), F.col("n"))
+    sizes = cut(posts.where("salt >= 0").groupBy(F.col("shingle").alias("_tw_shingle")).agg(F.min(size).alias("low"), F.max(size).alias("high")).where("low is not null"))
+    reported = with_small(posts.where("salt >= 0"), sizes, "shingle", "_tw_shingle", F.col("node"))
+    reported = reported.where(F.expr(SMALLER) | F.expr("5 * high >= 4 * n and low <= n and 4 * low <= 9 * (n - place) - 4 * n")).select(*names)
+    gathered = cut(reported.repartition("shingle", "salt").mapInArrow(gather, kinds))
+    met = posts.where("salt < 0").unionByName(gathered.where("n >= 0")).repartition("shingle").mapInArrow(meet, "a long, b long, many boolean")
+    return met.unionByName(gathered.where("n < 0").select(F.col("shingle").alias("a"), F.col("node").alias("b"), F.lit(True).alias("many"))).distinct()
+
+
+def able(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of the sets that share a shingle may be similar to another of them, if it is the first they share.
+
+    A set of n shingles that has it at `place` shares n - place at most. It needs a partner, and of two partners the
+    smaller one has it within its first ninth.
+    """
+    left = n - place
+    small = 9 * left >= 8 * n  # may be the smaller of two, and is similar to others of its kind by these bounds
+    sizes = np.sort(n[small])
+    # the smaller partner m: 5 m >= 4 n and 9 (n - place) >= 4 (n + m)
+    low, high = np.searchsorted(sizes, -(-4 * n // 5)), np.searchsorted(sizes, np.minimum((9 * left - 4 * n) // 4, n), "right")
+    return small | (high > low)
 
 
 def likely(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -516,11 +596,18 @@ def verified(edges: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def in_units(asked: DataFrame) -> DataFrame:
-    """asked (root, node, label, ...) once for each unit that compares its node; a unit has two blocks of about BLOCK nodes at most.
+    """asked (root, node, label, n, ...) once for each unit that compares its node; a unit has two blocks of about BLOCK nodes at most.
 
-    All nodes of a root that have different labels meet in some unit. Labels of many nodes have blocks of
-    their own, which don't meet each other.
+    All nodes of a root that have different labels and sizes within a fourth of each other meet in some unit: large roots are parted
+    by sizes in steps of a fourth, each step with the next. Labels of many nodes have blocks of their own, which don't meet each other.
     """
+    per_root = asked.groupBy(F.col("root").alias("_tw_root")).count().where(F.col("count") > 2 * BLOCK).select("_tw_root")
+    wide = cut(per_root)
+    if wide.limit(1).count():
+        marked = cut(with_small(asked, wide, "root", "_tw_root", F.col("node"), "left"))
+        step = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(math.log(1.25)) + F.lit(1e-9))
+        bands = marked.where("_tw_root is not null").withColumn("band", F.explode(F.array(step, step + 1))).withColumn("root", F.xxhash64("root", "band"))
+        asked = cut(marked.where("_tw_root is null").select(*asked.columns).unionByName(bands.select(*asked.columns)))
     by_label = asked.groupBy("root", "label").agg(F.count("*").alias("of_label"))
     by_root = by_label.groupBy("root").agg(F.sum("of_label").alias("of_root"), F.sum(F.when(F.col("of_label") <= BLOCK, F.col("of_label")).otherwise(0)).alias("of_few"))
     large = cut(by_root.where(F.col("of_root") > 2 * BLOCK))
@@ -544,17 +631,24 @@ def joined_within(rows: DataFrame) -> DataFrame:
     """(a, b): links between the nodes of each unit in rows (unit, node, label, text), as many as connect what all links do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: dict[int, list] = {}
-        for batch in batches:
-            for unit, node, label, text in zip(*(batch.column(i).to_pylist() for i in range(3)), raw(batch.column(3)), strict=True):
-                members.setdefault(unit, []).append((node, label, shingles_of(text)))
-        found = []
-        for own in members.values():
+        unit, own = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
             label = np.unique([x[1] for x in own], return_inverse=True)[1]
-            found += [(own[i][0], own[j][0]) for i, j in joined([x[2] for x in own], label)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            pairs = [(own[i][0], own[j][0]) for i, j in joined([x[2] for x in own], label)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for u, node, label, text in zip(*(batch.column(i).to_pylist() for i in range(3)), raw(batch.column(3)), strict=True):
+                if u != unit and own:
+                    yield from found()
+                    own = []
+                unit = u
+                own.append((node, label, shingles_of(text)))
+        if own:
+            yield from found()
 
-    return rows.select("unit", "node", "label", "text").repartition("unit").mapInArrow(run, "a long, b long")
+    return rows.select("unit", "node", "label", "text").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -574,7 +668,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     shared = cut(sharing(own, common))
     paired = verified(cut(likely(shared.where("not many").select("a", "b"), points)), points, own)
     maybe = components(shared.where("many").select("a", "b")).select("node", F.col("root.node").alias("root"))
-    asked = cut(maybe.join(points.select("node", "first_id", "label"), "node"))
+    asked = cut(maybe.join(points.select("node", "first_id", "label", "n"), "node"))
     open_ = asked.groupBy("root").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(F.col("root").alias("_tw_open"))
     asked = cut(with_small(asked, cut(open_), "root", "_tw_open", F.col("node")).drop("_tw_open"))
     more = joined_within(with_texts(own, cut(in_units(asked))))
