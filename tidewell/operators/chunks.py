@@ -105,6 +105,14 @@ def semantic_groups(text: str, group_size: int = 5, embed: Callable[[str], np.nd
     return out
 
 
+def semantic_groups_or_text(text: str, group_size: int = 5, embed: Callable[[str], np.ndarray] = hashed_vector) -> list[str]:
+    """semantic_groups, or the text itself where the embedder fails: a chunking service that is down costs no document."""
+    try:
+        return semantic_groups(text, group_size, embed)
+    except Exception:  # noqa: BLE001  any failure of a remote model
+        return [text]
+
+
 def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n"), length: Callable[[str], int] = len) -> list[str]:
     """Chunks of at most size (by length) that share up to overlap with the one before.
 
@@ -152,7 +160,7 @@ def _pieces(docs: DataFrame, id_column: str, text: str, cut: Callable[[str], lis
 
 def split_semantic(docs: DataFrame, id_column: str, text: str, group_size: int = 5) -> DataFrame:
     """(id, pos, piece) of semantic_groups over every text."""
-    return _pieces(docs, id_column, text, lambda x: semantic_groups(x, group_size))
+    return _pieces(docs, id_column, text, lambda x: semantic_groups_or_text(x, group_size))
 
 
 def split_recursive(docs: DataFrame, id_column: str, text: str, size: int = 256, overlap: int = 50, separators: tuple[str, ...] = ("\n\n", "\n"), by_words: bool = True) -> DataFrame:

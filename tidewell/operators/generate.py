@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -55,6 +56,59 @@ def ask(rows: DataFrame, prompt: str, client: Client, name: str = "response", ba
     return rows.mapInPandas(run, schema)
 
 
+#: What messages of failed connections say, whatever class the client's library raises.
+_UNREACHABLE = ("connection", "timeout", "timed out", "refused", "unavailable", "too many requests")
+
+
+def failure_kind(error: Exception) -> str:
+    """``connection`` for what may pass if one waits, ``other`` for what won't."""
+    said = str(error).lower()
+    return "connection" if isinstance(error, ConnectionError | TimeoutError) or any(x in said for x in _UNREACHABLE) else "other"
+
+
+#: Seconds before the next try, by the kind of failure and the tries so far; a kind that isn't there isn't tried again.
+WAITS: dict[str, Callable[[int], float]] = {"connection": lambda tries: min(3.0 * tries, 10.0)}
+
+
+def ask_each(rows: DataFrame, prompt: str, client: Callable[[str], str | None], name: str = "response", in_flight: int = 16, tries: int = 3, waits: dict[str, Callable[[int], float]] | None = None) -> DataFrame:
+    """rows with the client's answer to each prompt, asked one by one with up to in_flight calls of a task at a time.
+
+    Rows stay in order whatever order answers come in. Connection failures are tried again after a growing wait, up to `tries` calls; a prompt
+    that fails, or whose answer is null, has the answer ''. name_calls says how many calls a prompt took (0: blank, not asked).
+    Threads only wait for the client; a lost executor's rows are asked again.
+    """
+    schema = T.StructType([*rows.schema, T.StructField(name, T.StringType()), T.StructField(f"{name}_calls", T.IntegerType())])
+    pauses = WAITS if waits is None else waits
+
+    def one(text: str | None) -> tuple[str, int]:
+        if not text or not text.strip():
+            return "", 0
+        for k in range(1, tries + 1):
+            try:
+                return client(text) or "", k
+            except Exception as error:  # noqa: BLE001  any failure of a remote model is an answer
+                pause = pauses.get(failure_kind(error))
+                if pause is None or k == tries:
+                    return "", k
+                time.sleep(pause(k))
+        return "", tries
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(in_flight) as pool:
+            for b in batches:
+                found = list(pool.map(one, b[prompt].tolist()))  # in order of the prompts
+                yield b.assign(**{name: [x for x, _ in found], f"{name}_calls": [k for _, k in found]})
+
+    return rows.mapInPandas(run, schema)
+
+
+class FirstSentence:
+    """A stand-in for ask_each: the prompt's first sentence."""
+
+    def __call__(self, prompt: str) -> str | None:
+        return Extract()([prompt])[0]
+
+
 def clean(docs: DataFrame, text: str, client: Client) -> DataFrame:
     """docs with their text as the client cleaned it; failures go."""
     return ask(docs, text, client, "_clean").where("_clean is not null").withColumn(text, F.col("_clean")).drop("_clean")

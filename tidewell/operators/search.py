@@ -7,19 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tidewell.functions import text as X
-from tidewell.sources.files import shared_path
+from tidewell.operators import postings
+from tidewell.sources.files import cut, shared_path
 
-K1, B, EPSILON, FUSE_K = 1.5, 0.75, 0.25, 60
+EPSILON, FUSE_K = 0.25, 60
 #: Query vectors that are compared with every other vector in one pass, in bytes.
 QUERY_BYTES = 64 << 20
 
@@ -29,133 +27,77 @@ def top(rows: DataFrame, group: str, k: int, *order: Column, rank: str = "rank")
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def top_by_count(counted: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows of counted (key, n) with the highest n, ties by key."""
+    return counted.orderBy(F.desc("n"), key).limit(most)
+
+
+def lower_words(rows: DataFrame, text: str) -> DataFrame:
+    """rows with tokens: lower-cased runs of letters and digits."""
+    return rows.withColumn("tokens", X.tokens(F.col(text)))
+
+
 @dataclass(frozen=True)
 class Index:
-    """docs (doc, tokens, dl), terms (term, df, idf); n and mean_length of the collection."""
+    """A collection's postings (see postings.build), terms (term, df, idf), its size, and how its texts and questions become tokens."""
 
-    docs: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     n: int
     mean_length: float
+    words: Callable[[DataFrame, str], DataFrame] = lower_words
 
 
-def bm25_index(docs: DataFrame, id_column: str, text: str, path: str | None = None) -> Index:
+def bm25_index(docs: DataFrame, id_column: str, text: str, path: str | None = None, words: Callable[[DataFrame, str], DataFrame] = lower_words) -> Index:
     """An index as tables at path (else in the shared folder); texts are tokenised once. No documents: ValueError.
 
-    A negative idf becomes EPSILON times the mean idf.
+    A negative idf becomes EPSILON times the mean idf. words adds the column tokens to rows (see segment.tokenizer for texts without spaces).
     """
-    spark = docs.sparkSession
-    path = path or shared_path(spark, "index")
-    split = docs.select(F.col(id_column).alias("doc"), X.tokens(F.col(text)).alias("tokens"))
-    split.withColumn("dl", F.size("tokens")).write.mode("overwrite").parquet(f"{path}/docs")
-    split = spark.read.parquet(f"{path}/docs")
-    n, mean_length = split.agg(F.count("*"), F.avg("dl")).first()
-    if not n:
-        raise ValueError("there are no documents to index")
-    df = split.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df.select("term", "df", raw.alias("raw"), F.lit(n).alias("n"), F.lit(mean_length).alias("mean_length")).write.mode("overwrite").parquet(f"{path}/terms")
-    return _opened(spark, path, n, mean_length)
+    path = path or shared_path(docs.sparkSession, "index")
+    own = words(docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text")), "text").select("doc", "tokens")
+    postings.build(own, path)
+    return _opened(docs.sparkSession, path, words)
 
 
-def _opened(spark: SparkSession, path: str, n: int, mean_length: float) -> Index:
-    raw = spark.read.parquet(f"{path}/terms")
-    mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
-    idf = F.when(F.col("raw") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("raw"))
-    return Index(spark.read.parquet(f"{path}/docs"), raw.select("term", "df", idf.alias("idf")), n, mean_length)
+def _opened(spark: SparkSession, path: str, words: Callable[[DataFrame, str], DataFrame]) -> Index:
+    n, mean_length = spark.read.parquet(f"{path}/about").select("n", "mean_length").first()
+    terms = spark.read.parquet(f"{path}/terms")
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean_idf = terms.agg(F.avg(raw)).first()[0] or 0.0
+    idf = F.when(raw < 0, F.lit(EPSILON * mean_idf)).otherwise(raw)
+    return Index(spark.read.parquet(f"{path}/blocks"), terms.select("term", "df", idf.alias("idf")), n, mean_length, words)
 
 
-def open_index(spark: SparkSession, path: str, docs: DataFrame, id_column: str, text: str) -> Index:
+def open_index(spark: SparkSession, path: str, docs: DataFrame, id_column: str, text: str, words: Callable[[DataFrame, str], DataFrame] = lower_words) -> Index:
     """The index at path; what isn't there, or can't be read, is built anew from docs."""
     try:
-        found = spark.read.parquet(f"{path}/terms").select("n", "mean_length").first()
-        if found is not None and (index := _opened(spark, path, *found)).docs.count() == found[0]:
+        index = _opened(spark, path, words)
+        sizes = index.blocks.agg(F.sum(F.size("docs"))).first()[0]
+        if sizes == index.n:
             return index
     except AnalysisException:
         pass
-    return bm25_index(docs, id_column, text, path)
+    return bm25_index(docs, id_column, text, path, words)
 
 
-def query_terms(queries: DataFrame, id_column: str, text: str) -> DataFrame:
-    return queries.select(F.col(id_column).alias("query"), F.explode(X.tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+def drop_index(spark: SparkSession, path: str) -> bool:
+    """Remove the index at path; whether there was one."""
+    return postings.drop(spark, path)
 
 
-#: (question, term) rows that one pass over the documents answers; more take further passes.
-ASKED_ROWS = 1_000_000
-#: Questions, and their (question, term) rows, that are scored at once, against so many documents.
-AT_ONCE, ROWS_AT_ONCE, DOCS_AT_ONCE = 256, 16_384, 512
+def query_terms(queries: DataFrame, id_column: str, text: str, words: Callable[[DataFrame, str], DataFrame] = lower_words) -> DataFrame:
+    own = words(queries.select(F.col(id_column).alias("query"), F.col(text).alias("text")), "text")
+    return own.select("query", F.explode("tokens").alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
 
 
-def _blocks(asked: pd.DataFrame, ids: list, vocabulary: pa.Array) -> list[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(questions, term, question's place, weight) of blocks that are scored at once."""
-    place = {q: i for i, q in enumerate(ids)}
-    at = np.array([place[q] for q in asked["query"]], np.int64)
-    term, weight = pc.index_in(pa.array(asked["term"], pa.string()), vocabulary).to_numpy(zero_copy_only=False).astype(np.int64), asked["weight"].to_numpy(float)
-    sizes = np.bincount(at, minlength=len(ids))
-    out, first = [], 0
-    while first < len(ids):
-        last, rows = first + 1, sizes[first]
-        while last < len(ids) and last - first < AT_ONCE and rows + sizes[last] <= ROWS_AT_ONCE:
-            rows += sizes[last]
-            last += 1
-        own = (at >= first) & (at < last)
-        out.append((ids[first:last], term[own], at[own] - first, weight[own]))
-        first = last
-    return out
+def _best(index: Index, asked: DataFrame, ids: DataFrame, k: int, kind: str, digits: int, zeros: bool) -> DataFrame:
+    found = postings.search(index.blocks, cut(asked), ids, k, kind, index.mean_length or 1.0, digits, zeros)
+    return top(found.where("total is null").drop("total"), "query", k, F.desc("score"), F.asc("doc"))
 
 
-def _best(docs: DataFrame, asked: DataFrame, ids: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], digits: int, zeros: bool) -> DataFrame:
-    """(query, doc, score, rank): the k best documents (doc, tokens, dl) of each question in ids (query) by the sum over
-    asked (query, term, weight) of weight * weigh(times in the document, dl); ties by doc.
-
-    Questions are sent to the documents in bounded blocks, and a task keeps k rows a question, so that neither texts nor
-    postings are shuffled. Documents that share no term come with score 0, or not at all without zeros.
-    """
-    spark, n = docs.sparkSession, asked.count()
-    passes = max(1, -(-n // ASKED_ROWS))
-    kind = {"query": ids.schema["query"].dataType, "doc": docs.schema["doc"].dataType}
-    schema = T.StructType([*(T.StructField(c, t) for c, t in kind.items()), T.StructField("score", T.DoubleType())])
-    arrow = {c: to_arrow_type(t) for c, t in kind.items()}
-    found = None
-    for number in range(passes):
-        mine = F.pmod(F.xxhash64("query"), F.lit(passes)) == number
-        rows, own = asked.where(mine).toPandas(), sorted(r[0] for r in ids.where(mine).distinct().collect())
-        vocabulary = pa.array(sorted(set(rows["term"])), pa.string())
-        sent = spark.sparkContext.broadcast((vocabulary, _blocks(rows, own, vocabulary)))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            vocabulary, blocks = sent.value
-            best = [(np.empty((0, len(q))), np.empty((0, len(q)), object)) for q, *_ in blocks]
-            for batch in batches:
-                for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                    part = batch.slice(at, DOCS_AT_ONCE)
-                    doc, lengths = np.array(part.column(0).to_pylist(), object), pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy()
-                    term = pc.fill_null(pc.index_in(part.column(1).flatten().cast(pa.string()), vocabulary), -1).to_numpy().astype(np.int64)
-                    key, tf = np.unique((np.repeat(np.arange(len(doc)), lengths) * (len(vocabulary) + 1) + term)[term >= 0], return_counts=True)
-                    d, t = np.divmod(key, len(vocabulary) + 1)
-                    terms, column = np.unique(t, return_inverse=True)
-                    values = np.zeros((len(doc), len(terms)))
-                    values[d, column] = weigh(tf.astype(float), lengths[d].astype(float))
-                    for i, (q, of_term, place, weight) in enumerate(blocks):
-                        there = np.minimum(np.searchsorted(terms, of_term), max(0, len(terms) - 1))
-                        hit = terms[there] == of_term if len(terms) else np.zeros(len(of_term), bool)
-                        weights = np.zeros((len(terms), len(q)))
-                        weights[there[hit], place[hit]] = weight[hit]
-                        score = values @ weights
-                        score = np.round(score, digits) + 0.0 if zeros else np.where(score > 0, np.round(score, digits), -np.inf)
-                        score = np.concatenate((best[i][0], score))
-                        docs_of = np.concatenate((best[i][1], np.broadcast_to(doc[:, None], (len(doc), len(q)))))
-                        order = np.unique(docs_of.ravel(), return_inverse=True)[1].reshape(docs_of.shape)
-                        keep = np.lexsort((order, -score), axis=0)[:k]
-                        best[i] = (np.take_along_axis(score, keep, 0), np.take_along_axis(docs_of, keep, 0))
-            for (q, *_), (score, doc) in zip(blocks, best, strict=True):
-                there = np.isfinite(score)
-                asked_by = np.broadcast_to(np.array(q, object), score.shape)[there]
-                yield pa.RecordBatch.from_arrays([pa.array(asked_by.tolist(), arrow["query"]), pa.array(doc[there].tolist(), arrow["doc"]), pa.array(score[there])], names=["query", "doc", "score"])
-
-        scored = docs.select("doc", "tokens").mapInArrow(scan, schema)
-        found = scored if found is None else found.unionByName(scored)
-    return top(found, "query", k, F.desc("score"), F.asc("doc"))
+def _asked(index: Index, queries: DataFrame, id_column: str, text: str) -> DataFrame:
+    rows = query_terms(queries.where(F.col(id_column).isNotNull()), id_column, text, index.words).join(index.terms.select("term", "idf"), "term")
+    return rows.select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
 
 
 def bm25(index: Index, queries: DataFrame, k: int = 10, id_column: str = "item_id", text: str = "text") -> DataFrame:
@@ -163,9 +105,15 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, id_column: str = "item_i
 
     Every question has min(k, n) rows: documents without any of its terms score 0. Null ids ask nothing.
     """
-    mean, ids = index.mean_length or 1.0, queries.select(F.col(id_column).alias("query")).where("query is not null")
-    asked = query_terms(queries.where(F.col(id_column).isNotNull()), id_column, text).join(index.terms.select("term", "idf"), "term").select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
-    return _best(index.docs, asked, ids, k, lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)), 6, True)
+    ids = queries.select(F.col(id_column).alias("query")).where("query is not null")
+    return _best(index, _asked(index, queries, id_column, text), ids, k, "bm25", 6, True)
+
+
+def bm25_work(index: Index, queries: DataFrame, k: int = 10, id_column: str = "item_id", text: str = "text") -> DataFrame:
+    """(query, read, total): how many postings of its terms a question took, and how many there are."""
+    ids = queries.select(F.col(id_column).alias("query")).where("query is not null")
+    found = postings.search(index.blocks, cut(_asked(index, queries, id_column, text)), ids, k, "bm25", index.mean_length or 1.0, 6, True)
+    return found.where("total is not null").groupBy("query").agg(F.sum("score").cast("long").alias("read"), F.sum("total").alias("total"))
 
 
 def sparse_vectors(rows: DataFrame, id_column: str, text: str, as_name: str) -> DataFrame:
@@ -176,8 +124,8 @@ def sparse_vectors(rows: DataFrame, id_column: str, text: str, as_name: str) ->
 
 def sparse_ip(index: Index, queries: DataFrame, k: int = 10, id_column: str = "item_id", text: str = "text") -> DataFrame:
     """(query, doc, score, rank) by the inner product of sparse vectors, whose weights are tokens' shares of their text."""
-    asked = sparse_vectors(queries.where(F.col(id_column).isNotNull()), id_column, text, "query")
-    return _best(index.docs, asked, asked.select("query"), k, lambda tf, dl: tf / dl, 9, False)
+    asked = cut(sparse_vectors(queries.where(F.col(id_column).isNotNull()), id_column, text, "query"))
+    return _best(index, asked, asked.select("query"), k, "share", 9, False)
 
 
 def hashed_vectors(docs: DataFrame, dims: int = 64) -> DataFrame:

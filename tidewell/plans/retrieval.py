@@ -95,7 +95,8 @@ def hybrid_dense_sparse(spark: SparkSession, folder: str) -> DataFrame:
     """Dense and sparse arms over the documents, fused; hashed token counts stand in for a model's vectors."""
     index, asked = doc_index(spark, folder), table(spark, folder, "benchmark")
     questions = search.hashed_vectors(asked.select(F.col("item_id").alias("doc"), X.tokens(F.col("text")).alias("tokens")))
-    near = search.dense(search.hashed_vectors(index.docs), questions, K, "doc", "vector")
+    split = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), X.tokens(F.col("text")).alias("tokens"))
+    near = search.dense(search.hashed_vectors(split), questions, K, "doc", "vector")
     return search.fuse([near, search.sparse_ip(index, asked, K)], K)
 
 @query(f"WITH {BM25}, {SPARSE}, {MERGED} SELECT query, doc, source, rank FROM merged")
