@@ -43,8 +43,8 @@ def tokens_kept_case(c: Column, stopwords: tuple[str, ...] = ()) -> Column:
 
 
 def all_tokens(c: Column) -> Column:
-    """Letters, digits and any other single character each as tokens, spaces included; for overlap metrics."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?s)(\p{L}+|\p{N}+|.)"), 1)
+    """Letters, digits and any other single character each as tokens, case kept, spaces included; for overlap metrics."""
+    return F.regexp_extract_all(c, F.lit(r"(?s)(\p{L}+|\p{N}+|.)"), 1)
 
 
 def switched_tokens(c: Column) -> Column:

@@ -206,12 +206,34 @@ def title_score(size: Column, bold: Column, lines: Column, text: Column, above:
     return F.when(text.rlike(r"[.。!！]\z"), 0.0).otherwise(points)
 
 
-def near_blocks(images: DataFrame, blocks: DataFrame, page_height: float, reach: float = 200.0, margin: float = 50.0) -> DataFrame:
+#: Sides of the grid's cells, and cells a rectangle may touch before it is compared by page alone.
+CELL, MOST_CELLS = 100.0, 4_096
+
+
+def near_blocks(images: DataFrame, blocks: DataFrame, page_height: float, reach: float = 200.0, margin: float = 50.0, cell: float = CELL) -> DataFrame:
     """Blocks (page, block, x0, y0, x1, y1, content) that touch images (page, image, x0, y0, x1, y1) widened
     upwards by reach and downwards by three heights, inside the page; above says on which side they lie.
 
-    A range join within a page: pages meet by key, and the overlap is tested on each page's own pairs.
+    Rectangles are put into the cells of a grid over their page, and meet by page and cell; a pair counts in the cell of its
+    overlap's upper left corner, so it comes once. A page of very many blocks is thus dealt over its cells. Rectangles
+    of more than MOST_CELLS cells are few or none, and meet by page. Missing coordinates touch nothing.
     """
     i = images.select("page", "image", F.col("x0").alias("ix0"), F.col("x1").alias("ix1"), F.col("y0").alias("iy0"), F.greatest(F.lit(0.0), F.col("y0") - reach).alias("top"), F.least(F.lit(page_height - margin), F.col("y1") + 3 * (F.col("y1") - F.col("y0"))).alias("bottom"))
+    b = blocks.where(~X.is_blank(F.col("content")))
     touch = (F.col("x0") < F.col("ix1")) & (F.col("ix0") < F.col("x1")) & (F.col("y0") < F.col("bottom")) & (F.col("top") < F.col("y1"))
-    return blocks.join(i, "page").where(touch & ~X.is_blank(F.col("content"))).select("page", "image", "block", "content", (F.col("y1") <= F.col("iy0")).alias("above"))
+    at = lambda c: F.floor(F.col(c) / cell)
+
+    def in_cells(rows: DataFrame, x0: str, x1: str, y0: str, y1: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """rows once for each cell they touch, those rows once, and the rest: turned inside out, or of too many cells."""
+        own = rows.where(~F.isnan(x0) & ~F.isnan(x1) & ~F.isnan(y0) & ~F.isnan(y1))
+        small = (F.col(x0) <= F.col(x1)) & (F.col(y0) <= F.col(y1)) & ((at(x1) - at(x0) + 1.0) * (at(y1) - at(y0) + 1.0) <= MOST_CELLS)
+        fits = own.where(small)
+        cells = fits.withColumn("cx", F.explode(F.sequence(at(x0), at(x1)))).withColumn("cy", F.explode(F.sequence(at(y0), at(y1))))
+        return cells, fits, own.where(~small)
+
+    near, fits, wide = in_cells(b, "x0", "x1", "y0", "y1")
+    seen, _, wide_seen = in_cells(i, "ix0", "ix1", "top", "bottom")
+    once = (F.floor(F.greatest("x0", "ix0") / cell) == F.col("cx")) & (F.floor(F.greatest("y0", "top") / cell) == F.col("cy"))
+    found = near.join(seen, ["page", "cx", "cy"]).where(touch & once).drop("cx", "cy")
+    every = found.unionByName(wide.join(i, "page").where(touch)).unionByName(fits.join(wide_seen, "page").where(touch))
+    return every.select("page", "image", "block", "content", (F.col("y1") <= F.col("iy0")).alias("above"))

@@ -6,10 +6,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tidewell.functions import overlap as V
 from tidewell.functions import text as X
+from tidewell.operators.ordered import with_neighbours
 
 
 def _log2(c: Column) -> Column:
@@ -201,19 +202,23 @@ def response_times(rows: DataFrame, parts: tuple[str, ...] = ("retrieval", "rera
     return rows.withColumn("total_time", total)
 
 
-def moving_average(rows: DataFrame, group: str, order: str, value: str, window: int = 10) -> DataFrame:
-    """value smoothed over window // 2 rows on either side, cut at the ends; groups shorter than window stay as they are."""
-    w = Window.partitionBy(group)
-    near = w.orderBy(order).rowsBetween(-(window // 2), window // 2)
-    return rows.withColumn("smoothed", F.when(F.count("*").over(w) < window, F.col(value)).otherwise(F.avg(value).over(near)))
+def moving_average(rows: DataFrame, group: str, order: str, value: str, window: int = 10, large: int | None = None) -> DataFrame:
+    """value smoothed over window // 2 rows on either side, cut at the ends; groups shorter than window stay as they are.
 
+    A group of more than `large` rows is parted into ranges (see ordered.with_neighbours).
+    """
+
+    def add(w: WindowSpec) -> dict[str, Column]:
+        near = w.orderBy(order).rowsBetween(-(window // 2), window // 2)
+        return {"smoothed": F.when(F.count(F.lit(1)).over(w) < window, F.col(value)).otherwise(F.avg(value).over(near))}
 
+    return with_neighbours(rows, group, [order], window, add, large)
 
 
-def step_durations(rows: DataFrame, group: str, time: str) -> DataFrame:
-    """rows with the seconds from each to the next one of its group; the last has none."""
+def step_durations(rows: DataFrame, group: str, time: str, large: int | None = None) -> DataFrame:
+    """rows with the seconds from each to the next one of its group; the last has none. Groups of more than `large` rows are parted."""
     seconds = F.unix_micros(F.col(time).cast("timestamp"))
-    return rows.withColumn("seconds", (F.lead(seconds).over(Window.partitionBy(group).orderBy(time)) - seconds) / 1e6)
+    return with_neighbours(rows, group, [time], 1, lambda w: {"seconds": (F.lead(seconds).over(w.orderBy(time)) - seconds) / 1e6}, large)
 
 
 def mean_over_queries(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -33,10 +33,10 @@ def last_wins_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def stream_dedup_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """The same through a stream: batches of files merged into a keyed store."""
+    """The same through a stream: batches of files merged into a keyed store, bucket by bucket."""
     schema = table(spark, folder, "events").schema
     stream = jobs.read_stream(spark, f"{folder}/events.parquet", schema).select("user_id", "event_id", "event_type")
-    return jobs.upsert_batches(stream, shared_path(spark, "store"), "user_id", "event_id", shared_path(spark, "state"))
+    return jobs.upsert_buckets(stream, shared_path(spark, "store"), "user_id", "event_id", shared_path(spark, "state"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

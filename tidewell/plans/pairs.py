@@ -11,7 +11,7 @@ from tidewell.operators import metrics
 from tidewell.plans.base import NEXT_TURNS, RESPONSES, TOKENS, next_turns, query, responses
 from tidewell.sources.files import table
 
-_ALL = r"regexp_extract_all(lower({}), '(?s)(\p{{L}}+|\p{{N}}+|.)', 1)"
+_ALL = r"regexp_extract_all({}, '(?s)(\p{{L}}+|\p{{N}}+|.)', 1)"
 _PAIRS = f"WITH {NEXT_TURNS}, p AS (SELECT conv_id, turn, gold, predicted, {_ALL.format('gold')} AS g, {_ALL.format('predicted')} AS p, {TOKENS.format('gold')} AS gt, {TOKENS.format('predicted')} AS pt FROM next_turns)"
 
 

@@ -57,6 +57,24 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.json(path, schema=schema, multiLine=True)
 
 
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """rows as files that hold a JSON array each, one a partition; read_json_array() reads the folder."""
+    names = rows.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first else ",") + ",\n".join(lines)], pa.string())], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], names=["value"])
+
+    rows.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(run, "value string").write.text(path)
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """(value): distinct trimmed lines of a word or text list, blank ones left out."""
     return spark.read.text(path).select(X.strip(F.col("value")).alias("value")).where("value <> ''").distinct()

@@ -60,6 +60,73 @@ def upsert_batches(stream: DataFrame, store: str, key: str, order: str, checkpoi
     return spark.read.parquet(f"{store}/v={there[0]}") if there else spark.createDataFrame([], stream.schema)
 
 
+#: Buckets of keys of a store that is rewritten in parts.
+BUCKETS = 64
+
+
+def _store_files(spark: SparkSession, store: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def live_buckets(spark: SparkSession, store: str) -> tuple[int, dict[int, int]]:
+    """The last batch that a bucketed store has whole, and the version of each of its buckets."""
+    path, fs = _store_files(spark, store)
+    found = sorted(int(f.getPath().getName()) for f in fs.listStatus(path(f"{store}/manifests"))) if fs.exists(path(f"{store}/manifests")) else []
+    if not found:
+        return -1, {}
+    return found[-1], {r["bucket"]: r["version"] for r in spark.read.parquet(f"{store}/manifests/{found[-1]}").collect()}  # one row a bucket
+
+
+def read_buckets(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
+    """What a bucketed store holds now: the files that its last manifest names."""
+    _, live = live_buckets(spark, store)
+    return spark.read.schema(schema).parquet(*[f"{store}/data/v={v}/bucket={b}" for b, v in sorted(live.items())]) if live else spark.createDataFrame([], schema)
+
+
+def upsert_buckets(stream: DataFrame, store: str, key: str, order: str, checkpoint: str, buckets: int = BUCKETS) -> DataFrame:
+    """A keyed store whose keys are dealt into buckets; of each batch only the buckets that it has keys of are read and written.
+
+    The last row of a key in order wins; ties go to the later batch. A manifest (one row a bucket) names the live version of every
+    bucket and appears whole or not at all, so readers see the store before or after a batch, and a batch run again writes the same
+    version again. Versions that neither the last nor the next to last manifest names are removed.
+    """
+    from tidewell.sources.files import last_of_each
+
+    spark, schema = stream.sparkSession, stream.schema
+    path, fs = _store_files(spark, store)
+    names = schema.names
+
+    def merge(batch: DataFrame, number: int) -> None:
+        last, live = live_buckets(spark, store)
+        if last >= number:
+            return
+        batch = batch.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        batch = batch.persist()
+        try:
+            touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # `buckets` at most
+            if not touched:
+                return
+            old = spark.read.schema(schema).parquet(*[f"{store}/data/v={live[b]}/bucket={b}" for b in touched if b in live]) if set(touched) & live.keys() else spark.createDataFrame([], schema)
+            both = old.withColumn("_new", F.lit(0)).unionByName(batch.select(*names, F.lit(1).alias("_new")))
+            kept = last_of_each(both, key, F.struct(order, "_new")).drop("_new").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/data/v={number}")
+        finally:
+            batch.unpersist()
+        now = live | dict.fromkeys(touched, number)
+        staged = f"{store}/staged/{number}"
+        spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(staged)
+        fs.mkdirs(path(f"{store}/manifests"))
+        fs.rename(path(staged), path(f"{store}/manifests/{number}"))
+        kept_versions = set(now.values()) | set(live.values())
+        for f in fs.listStatus(path(f"{store}/data")):
+            if int(f.getPath().getName()[2:]) not in kept_versions:
+                fs.delete(f.getPath(), True)
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return read_buckets(spark, store, schema)
+
+
 def windowed_rollup(stream: DataFrame, time: str, value: str, group: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """(start, group, n, mean, most) by tumbling windows; rows later than the watermark are left out."""
     return (
