@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -19,9 +21,10 @@ def test_every_sql_has_its_query():
     assert sql <= queries and len(queries) > 90
 
 
-def test_without_llm_folders(tmp_path):
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",), ("corpus_pipeline.py",)])
+def test_without_llm_folders(tmp_path, gone):
     root = tmp_path / "repo"
-    shutil.copytree(ROOT, root, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    shutil.copytree(ROOT, root, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     queries, sql = names(root)
     assert not [q for q in queries if q.startswith("op") and q[2:3].isdigit()] and "pipeline" not in queries and sql <= queries and len(queries) > 80
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import text as X
-from tidewell.operators import chunks, evaluate, metrics
+from tidewell.operators import chunks, conversation, evaluate, metrics
 from tidewell.sources import files
 from tidewell.sources.results import Results, summary
-from tidewell.streaming import jobs
+from tidewell.streaming import histories, jobs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,6 +84,20 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     assert run().count() == 201  # nothing new
 
 
+def test_histories_of_a_stream_are_those_of_all_turns(spark, tmp_path):
+    """Turns come out of order in four batches; what stands after the last one is what compacting all of them gives."""
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["word " * rng.randint(0, 30), None, "同じ" * 9])) for c in range(12) for t in range(rng.randint(1, 25))]
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), turns.schema, 1)
+    updates = jobs.run_updates(histories.compacted(stream, budget=100), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert updates.agg(F.max("batch")).first()[0] == 3
+    got = histories.last_states(updates).select("conv_id", "turn", "role", "text")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, conversation.compact(turns, budget=100).collect()), key=str)
+
+
 def test_results_are_there_with_their_manifest(spark, tmp_path):
     spark.dataSource.register(Results)
     path = str(tmp_path / "results")

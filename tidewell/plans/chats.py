@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 from tidewell.operators import conversation, generate
 from tidewell.plans.base import query
 from tidewell.sources.files import last_of_each, shared_path, table
-from tidewell.streaming import jobs
+from tidewell.streaming import histories, jobs
 
 
 _COST = "floor(len(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g')) * 1.5 + (len(coalesce(text, '')) - len(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g'))) / 4)"
 
 
-@query(f"""WITH m AS (SELECT *, sum({_COST}) OVER (PARTITION BY conv_id) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS e FROM conversations)
+_COMPACT = f"""WITH m AS (SELECT *, sum({_COST}) OVER (PARTITION BY conv_id) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS e FROM conversations)
     SELECT conv_id, turn, role, text FROM m WHERE cost <= 200 OR e <= 4
-    UNION ALL SELECT conv_id, -1, 'user', 'Earlier turns: ' || count(*) || ', characters: ' || coalesce(sum(len(text)), 0)::BIGINT FROM m WHERE cost > 200 AND e > 4 GROUP BY conv_id""")
+    UNION ALL SELECT conv_id, -1, 'user', 'Earlier turns: ' || count(*) || ', characters: ' || coalesce(sum(len(text)), 0)::BIGINT FROM m WHERE cost > 200 AND e > 4 GROUP BY conv_id"""
+
+
+@query(_COMPACT)
 def history_compact(spark: SparkSession, folder: str) -> DataFrame:
     return conversation.compact(table(spark, folder, "conversations"), budget=200)
 
 
+@query(_COMPACT)
+def stream_history_compact(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through a stream: turns arrive batch by batch, and each conversation's state is its last rounds and what it counted."""
+    schema = table(spark, folder, "conversations").schema
+    stream = jobs.read_stream(spark, f"{folder}/conversations.parquet", schema, 1)
+    return histories.last_states(jobs.run_updates(histories.compacted(stream, budget=200), shared_path(spark, "out"), shared_path(spark, "state"))).select("conv_id", "turn", "role", "text")
+
+
 @query("""SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'system' THEN 'System' ELSE role END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role) AS transcript FROM conversations GROUP BY conv_id""")
 def history_transcript(spark: SparkSession, folder: str) -> DataFrame:
     return conversation.transcript(table(spark, folder, "conversations"))
