@@ -510,6 +510,22 @@ def test_classes_predict_held_out_texts_better(spark):
     assert got[0] > got[1] + 100
 
 
+def test_columns_named_like_added_ones_give_way(spark):
+    rows = spark.createDataFrame([("a b", "x", "y")], "text string, n_words string, labels string")
+    for got in (licenses.license_scan(rows, rows.columns), wordpiece.token_counts(rows, rows.columns, tokenizer_json())):
+        assert len(set(got.columns)) == len(got.columns) and got.first().n_words == 2
+
+
+def test_a_hot_url_is_spread_whatever_the_first_column(spark, monkeypatch):
+    from tidewell.llm import base
+
+    monkeypatch.setattr(base, "HOT", 20)
+    monkeypatch.setattr(base, "SMALL_ROWS", 0)
+    rows = spark.createDataFrame([("same", {"a": 1}, i, "http://x.com/en/1") for i in range(200)] + [("same", {"a": 2}, 999, "http://y.org/")], "kind string, m map<string,int>, page_id long, url string")
+    got = urlfilter.url_filter(rows, spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string"), rows.select("url").limit(0))
+    assert Counter(r.verdict for r in got.collect()) == {"block": 200, "allow": 1} and got.columns[:4] == rows.columns
+
+
 def test_longest_match_counts():
     vocabulary = [b"a", b"b", b"c", b"abc", b"abcd", b"bc", b"bcdx", b"cdy", b"d"]
     matcher = wordpiece.LongestMatch(vocabulary)
@@ -625,6 +641,40 @@ def test_shards_are_even_and_without_gaps(spark, docs):
     assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark over (value, bytes of its type); nulls change nothing."""
+    h = 42
+    for v, width in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(width, "little", signed=True), h)
+    return h
+
+
+def test_shards_are_those_of_a_plain_version(spark, docs):
+    """Numbers by hash, rounds and walk recomputed by hand."""
+    own = [(r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in edge_rows()]
+    order = sorted(own, key=lambda r: (spark_hash(*((v, 8) for v in r)), [(v is not None, v or 0) for v in r]))
+    n = len(own)
+    wide = next(w for w in range(1, n + 1) if w * w >= n)
+    long = -(-n // wide)
+
+    def once(x):
+        left, right = divmod(x, long)
+        for k in range(sharding.ROUNDS):
+            signed = lambda h: h - (1 << 64) if h >> 63 else h
+            left = (left + signed(spark_hash((sharding.SEED, 4), (2 * k, 4), (right, 8))) % wide) % wide
+            right = (right + signed(spark_hash((sharding.SEED, 4), (2 * k + 1, 4), (left, 8))) % long) % long
+        return left * long + right
+
+    want = Counter()
+    for x, row in enumerate(order):
+        x = once(x)
+        while x >= n:
+            x = once(x)
+        want[(*row, x % 8, x // 8)] += 1
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(docs).collect()) == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 97, 1000, 4097])
 def test_permutation(spark, n):
     got = [r[0] for r in sharding.permuted(spark.range(n).withColumnRenamed("id", "x"), "x", n).collect()]

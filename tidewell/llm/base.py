@@ -60,10 +60,11 @@ def raw(column: pa.Array) -> list[bytes]:
 def per_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list[bytes]], dict]], added: T.StructType) -> DataFrame:
     """keep's columns and those in added, which make()'s function returns for a batch of texts.
 
-    make runs once a task, so that automata and tables are built there. Rows keep their order.
+    Columns of keep that are named like added ones give way to them. make runs once a task, so that automata and tables are built there. Rows keep their order.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    keep = [c for c in keep if c not in added.names]
     columns = list(dict.fromkeys([*keep, text]))
     schema = T.StructType([df.schema[c] for c in keep] + list(added))
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in added]

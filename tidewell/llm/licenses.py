@@ -161,7 +161,9 @@ def license_scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     well-formed tags (the words that the automaton finds, then a colon); malformed expressions and unknown
     identifiers give none. score is 1 - 2^-(notices + 2 tags). permitted
     says whether every tag leaves a choice that permits any use; null without a tag. A null text counts
-    as empty: no words, no labels, score 0. Ties and repeated rows each give their own row.
+    as empty: no words, no labels, score 0. Ties and repeated rows each give their own row, very long texts are
+    read whole in linear time, an empty table gives no rows, and a column of keep named like an added one gives way to it. KNOWN, the
+    identifiers that expressions may hold, are about 75 common ones, not all that exist.
     """
 
     def make() -> Callable[[list[bytes]], dict]:

@@ -115,7 +115,8 @@ def token_counts(docs: DataFrame, keep: list[str], tokenizer_json: str, text: st
 
     Words are lower-cased (A-Z) runs between white space; each is matched greedily against the vocabulary,
     wherever in a word its pieces were meant to stand. A word that the vocabulary can't match counts as one token and
-    as unknown. Null and empty texts have none of them. The vocabulary (a file of a few MB) is sent to the
+    as unknown. Null and empty texts have none of them, very long ones are counted whole, repeated rows and ties each have
+    their own row, an empty table gives no rows, and a column of keep named like one of these counts gives way to it. The vocabulary (a file of a few MB) is sent to the
     tasks; its automaton is built once a worker.
     """
     sent, key = docs.sparkSession.sparkContext.broadcast(tokenizer_json), md5(tokenizer_json.encode()).hexdigest()
