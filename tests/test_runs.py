@@ -194,3 +194,23 @@ def test_sentence_bleu_by_its_definition():
 def test_metric_tokens_keep_case(spark):
     got = spark.createDataFrame([("Ab 1",)], "t string").select(X.all_tokens(F.col("t")).alias("t")).first().t
     assert got == ["Ab", " ", "1"]
+
+
+def test_mined_rows(spark):
+    from tidewell.operators import curation
+
+    rows = [(i, "q", ["a", "b", "c"], ["a", "b", "c", "n", "n"], "x【1】" if i % 3 else "x") for i in range(60)] + [(100, "", ["a"], ["a"], "【1】"), (101, "q", ["a"], ["a"], "【1】"), (102, "q", [], ["m"], "【1】"), (103, "q", None, None, None)]
+    traces = spark.createDataFrame(rows, "query_id long, query string, context array<string>, merged array<string>, response string")
+    train, test = curation.mined(traces, test=0.3)
+    by = {}
+    for r in train.collect():
+        by.setdefault(r.query_id, {})[r.label] = r.content
+    lists = {r.query_id: r.contents for r in test.collect()}
+    assert not by.keys() & lists.keys() and 5 < len(lists) < 25
+    for i in range(60):
+        if i % 3:
+            found = by.get(i) or dict(zip((2, 1, 0), lists[i], strict=True))
+            assert found[2] == "a" and found[1] in ("b", "c") and found[0] == "n"
+        elif i in by:
+            assert list(by[i]) == [0] and by[i][0] in "abcn"
+    assert 100 not in by and by.get(101, {2: "a"}) == {2: "a"} and lists.get(101, ["a"]) == ["a"] and 102 not in by and 103 not in by

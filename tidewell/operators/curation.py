@@ -81,6 +81,28 @@ def rerank_rows(traces: DataFrame, key: str = "query_id", query: str = "query")
     return out.where((F.length(query) > 0) & (F.length("content") > 0))
 
 
+def mined(traces: DataFrame, key: str = "query_id", query: str = "query", test: float = 0.1, seed: str = "rr") -> tuple[DataFrame, DataFrame]:
+    """Training rows (key, query, content, label) and test rows (key, query, contents) for a reranker, from traces with responses.
+
+    Questions are dealt to the test by a hash of their key. Of those with cited answers training gets the first context as 2, one of the
+    last two as 1 if there are two, and one candidate outside the context as 0; the test gets these as one list. Of those without an
+    answer training gets one candidate as 0, the test nothing. Blank queries and contents give no row.
+    """
+    ctx, merged, k = F.col("context"), F.col("merged"), F.col(key).cast("string")
+    neg = F.filter(merged, lambda m: ~F.array_contains(ctx, m))
+    middle = F.when(F.size(ctx) >= 2, choose(F.slice(ctx, F.greatest(F.lit(1), F.size(ctx) - 1), F.lit(2)), F.concat(F.lit("mid"), k)))
+    first, other = F.when(F.size(ctx) > 0, F.element_at(ctx, 1)), choose(neg, F.concat(F.lit("neg"), k))
+    rows = traces.where(F.length(query) > 0).select(
+        key, query, (X.hash_bucket(F.col(key), 1000, seed) < round(1000 * test)).alias("_test"), (F.size(X.citations(F.col("response"))) > 0).alias("_answered"),
+        first.alias("_first"), middle.alias("_middle"), F.when(F.size(ctx) > 0, other).alias("_other"), choose(merged, F.concat(F.lit("any"), k)).alias("_any"),
+    )
+    labelled = F.array(*(F.struct(F.col(c).alias("content"), F.lit(n).alias("label")) for c, n in (("_first", 2), ("_middle", 1), ("_other", 0))))
+    lone = F.array(F.struct(F.col("_any").alias("content"), F.lit(0).alias("label")))
+    train = rows.where(~F.col("_test")).select(key, query, F.explode(F.when(F.col("_answered"), labelled).otherwise(lone)).alias("r")).select(key, query, "r.content", "r.label")
+    tests = rows.where(F.col("_test") & F.col("_answered") & F.col("_first").isNotNull())
+    return train.where(F.length("content") > 0), tests.select(key, query, F.array_compact(F.array("_first", "_middle", "_other")).alias("contents"))
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """rows numbered from 1 in a total order: ranges are sorted side by side and their counts added up."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
