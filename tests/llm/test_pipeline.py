@@ -45,7 +45,7 @@ def plain(rows, items):
     between = sum(n * (f / n - mean) ** 2 for n, f in hosts.values()) - (len(hosts) - 1) * mean * (1 - mean)
     spread = max(0, between / (docs - sum(n * n for n, _ in hosts.values()) / docs))
     strength = min(1e6, max(1, mean * (1 - mean) / spread - 1)) if spread else 1e6
-    bad = {h for h, (n, f) in hosts.items() if spread and (f + mean * strength) / (n + strength) > min(rules.bad_host, mean + rules.far * (spread * n / (n + strength)) ** 0.5)}
+    bad = {h for h, (n, f) in hosts.items() if n >= rules.least_docs and spread and (f + mean * strength) / (n + strength) > min(rules.bad_host, mean + rules.far * (spread * n / (n + strength)) ** 0.5)}
     rows = [r for r, m in zip(rows, measured, strict=True) if not fails(m, r[3] in bad)]
 
     near = lambda a, b: jaccard(a, b) >= 0.8

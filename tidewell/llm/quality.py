@@ -21,7 +21,8 @@ SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 @dataclass(frozen=True)
 class Rules:
     """Percentages; a host is bad if its shrunk failure rate is above bad_host, or so many standard deviations of shrunk rates of
-    as many documents above the prior's mean (1.645: what about 5 % of hosts drawn from the prior exceed)."""
+    as many documents above the prior's mean (1.645: what about 5 % of hosts drawn from the prior exceed). A host of fewer than least_docs
+    documents isn't judged: a few failures would be chance."""
 
     least_words: int = 50
     repeat: int = 50
@@ -32,6 +33,7 @@ class Rules:
     strict_word_chars: tuple[int, int] = (2, 12)
     bad_host: float = 0.5
     far: float = 1.645
+    least_docs: int = 20
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -105,7 +107,7 @@ def with_verdicts(hosts: DataFrame, mean: float, spread: float, rules: Rules) ->
     strength = min(1e6, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1e6
     rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
     limit = F.lit(mean) + F.lit(rules.far) * F.sqrt(F.lit(spread) * F.col("n_docs") / (F.col("n_docs") + F.lit(strength)))
-    return hosts.withColumn("rate", rate).withColumn("bad", (F.col("rate") > F.least(F.lit(rules.bad_host), limit)) & F.lit(spread > 0))
+    return hosts.withColumn("rate", rate).withColumn("bad", (F.col("n_docs") >= rules.least_docs) & (F.col("rate") > F.least(F.lit(rules.bad_host), limit)) & F.lit(spread > 0))
 
 
 def prior(hosts: float, docs: float, failed: float, squares: float, sizes: float) -> tuple[float, float]:

@@ -120,7 +120,7 @@ ORACLE: dict[str, str] = {
         a AS (SELECT count(*) AS hosts, sum(n)::DOUBLE AS docs, sum(f)::DOUBLE / sum(n) AS mean, sum(f::DOUBLE * f / n) AS squares, sum(n::DOUBLE * n) AS sizes FROM h),
         p AS (SELECT mean, CASE WHEN docs - sizes / docs > 0 THEN greatest(0.0, (squares - docs * mean * mean - (hosts - 1) * mean * (1 - mean)) / (docs - sizes / docs)) ELSE 0.0 END AS spread FROM a),
         k AS (SELECT mean, spread, CASE WHEN spread > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength FROM p),
-        v AS (SELECT source, spread > 0 AND (f + mean * strength) / (n + strength) > least(0.5, mean + 1.645 * sqrt(spread * n / (n + strength))) AS bad FROM h, k)
+        v AS (SELECT source, n >= 20 AND spread > 0 AND (f + mean * strength) / (n + strength) > least(0.5, mean + 1.645 * sqrt(spread * n / (n + strength))) AS bad FROM h, k)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND NOT (bad AND strict) AS kept
         FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source
     """,
