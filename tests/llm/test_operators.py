@@ -314,6 +314,16 @@ def test_url_filter_keeps_callers_columns(spark):
         assert Counter((r.verdict, r.rule, r.h, r.p, r.best, r["a.b"]) for r in rows) == {("block", "com/en/", 1, 2, 3, 4): 26, ("allow", None, 1, 2, 3, 4): 14}
 
 
+def test_op3_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    from tidewell.llm import queries
+
+    urls = [("http://a.com/en/1", "com/en/", "block"), ("http://example.com/en/70", "example.com/en/7", "allow"), ("http://a.net/de/1", "net/de/", "allow"), ("http://b.example.net/de/81", "example.net/de/8", "block"), ("http://example.net/de/9", "net/de/", "allow"), ("http://a.org/es/x", "org/es/", "block"), ("http://a.org/de/", None, "allow"), (None, None, "allow")]
+    rows = [(i, u, "<title>%%%</title>" if r == "net/de/" else "<title>plain</title>") for i, (u, r, _) in enumerate(urls)]  # a rule decides over the list
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r.page_id: (r.rule, r.verdict) for r in queries.op3_url_filter(spark, str(tmp_path)).collect()}
+    assert found == {i: (r, v) for i, (_, r, v) in enumerate(urls)}
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7?x", "http://example.com/en/8", "http://notexample.com/en/7", "https://x.net/de/1#t", "https://b.example.net/de/81", "http://org/es/", "http://a.org/en/1/", "http://www.a.org/en/1?q", "ftp://c.d//x", "http://e.f", "http://a.org/en/1"]
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls + urls[3:5])], "page_id long, url string, verdict string, host string")
