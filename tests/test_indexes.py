@@ -6,6 +6,7 @@ import random
 import sys
 import threading
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,3 +215,16 @@ def test_calls_in_flight_keep_order_and_back_off_by_kind(spark):
     assert 8 <= most <= 16
     assert [generate.failure_kind(e) for e in (TimeoutError(), RuntimeError("Connection refused"), ValueError("no"))] == ["connection", "connection", "other"]
     assert [generate.WAITS["connection"](k) for k in (1, 2, 3, 9)] == [3.0, 6.0, 9.0, 10.0]
+
+
+def test_blocks_hold_a_bounded_number_of_tokens(spark, monkeypatch, tmp_path):
+    """However many tokens a batch of documents has, a block has BLOCK_TOKENS at most, or one text."""
+    monkeypatch.setattr(postings, "BLOCK_TOKENS", 50)
+    rows = [(i, [f"w{j % 9}" for j in range(n)]) for i, n in enumerate([0, 7, 200, 1, 49, 50, 3, 3, 0] * 30)] + [(None, None)]
+    postings.build(spark.createDataFrame(rows, "doc long, tokens array<string>").coalesce(1), str(tmp_path / "own"))
+    blocks = spark.read.parquet(str(tmp_path / "own/blocks")).collect()
+    assert sorted((d for b in blocks for d in b.docs), key=str) == sorted((r[0] for r in rows), key=str)
+    for b in blocks:
+        sizes = postings._wide(bytes(b.lengths))
+        assert sizes.sum() <= 50 or len(sizes) == 1
+        assert postings._wide(bytes(b.times)).sum() == sizes.sum()
