@@ -228,3 +228,16 @@ def test_blocks_hold_a_bounded_number_of_tokens(spark, monkeypatch, tmp_path):
         sizes = postings._wide(bytes(b.lengths))
         assert sizes.sum() <= 50 or len(sizes) == 1
         assert postings._wide(bytes(b.times)).sum() == sizes.sum()
+
+
+@pytest.mark.parametrize("squared", [False, True])
+def test_dense_scores_in_bounded_pieces(spark, monkeypatch, squared):
+    """Queries are met a few at a time, with the same ranks and ties."""
+    rng = np.random.default_rng(2)
+    own = rng.integers(-2, 3, (120, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(own.tolist())] + [(500, None)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(search, "CELLS", 64)
+    found = search.dense(rows.coalesce(1), rows.where("vec_id % 3 = 0"), 5, squared_l2=squared).collect()
+    for q in range(0, 120, 3):
+        score = ((own - own[q]) ** 2).sum(1) if squared else -(own @ own[q])
+        assert [r.doc for r in sorted((r for r in found if r.query == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(120), np.round(score, 6)))[:5].tolist()

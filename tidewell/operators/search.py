@@ -20,6 +20,8 @@ from tidewell.sources.files import cut, shared_path
 EPSILON, FUSE_K = 0.25, 60
 #: Query vectors that are compared with every other vector in one pass, in bytes.
 QUERY_BYTES = 64 << 20
+#: Scores that a task holds at once: some queries with a batch of vectors.
+CELLS = 1 << 20
 
 
 def top(rows: DataFrame, group: str, k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -139,7 +141,7 @@ def hashed_vectors(docs: DataFrame, dims: int = 64) -> DataFrame:
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", squared_l2: bool = False) -> DataFrame:
     """(query, doc, score, rank) by exact inner product, or by squared distance (lower is better).
 
-    Queries meet all vectors in blocks of QUERY_BYTES; every batch of vectors keeps k rows a query, so what
+    Queries meet all vectors in blocks of QUERY_BYTES, CELLS scores at a time; every batch of vectors keeps k rows a query, so what
     is shuffled doesn't depend on how many vectors there are in a batch.
     """
     spark = vectors.sparkSession
@@ -159,12 +161,14 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
                 if not len(batch) or not len(ids):
                     continue
                 v, doc = np.array(batch["v"].tolist(), float), batch["id"].to_numpy(np.int64)
-                s = q @ v.T
-                if squared_l2:
-                    s = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * s
-                s = np.round(s, 6) + 0.0
-                keep = np.lexsort((np.broadcast_to(doc, s.shape), s if squared_l2 else -s), axis=1)[:, :k]
-                yield pd.DataFrame({"query": np.repeat(ids, keep.shape[1]), "doc": doc[keep].ravel(), "score": np.take_along_axis(s, keep, 1).ravel()})
+                step = max(1, CELLS // len(v))
+                for own in (slice(at, at + step) for at in range(0, len(q), step)):
+                    s = q[own] @ v.T
+                    if squared_l2:
+                        s = (q[own] * q[own]).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * s
+                    s = np.round(s, 6) + 0.0
+                    keep = np.lexsort((np.broadcast_to(doc, s.shape), s if squared_l2 else -s), axis=1)[:, :k]
+                    yield pd.DataFrame({"query": np.repeat(ids[own], keep.shape[1]), "doc": doc[keep].ravel(), "score": np.take_along_axis(s, keep, 1).ravel()})
 
         found = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).mapInPandas(scan, schema)
         best = found if best is None else best.unionByName(found)
