@@ -241,3 +241,21 @@ def test_dense_scores_in_bounded_pieces(spark, monkeypatch, squared):
     for q in range(0, 120, 3):
         score = ((own - own[q]) ** 2).sum(1) if squared else -(own @ own[q])
         assert [r.doc for r in sorted((r for r in found if r.query == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(120), np.round(score, 6)))[:5].tolist()
+
+
+def test_vector_lists_are_written_before_a_task_holds_many(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(4)
+    own = rng.normal(size=(900, 4))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(own.tolist())], "vec_id long, embedding array<double>").coalesce(1)
+    monkeypatch.setattr(vectors, "HELD_BYTES", 4 * 4 * 100)
+    monkeypatch.setattr(vectors, "CELLS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        index = vectors.create(rows, str(tmp_path / "held"), lists=6, squared_l2=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    blocks = index.blocks.collect()
+    assert len(blocks) >= 9 and max(len(b.ids) for b in blocks) <= 200  # one row for each list before, of up to all its vectors
+    assert Counter(i for b in blocks for i in b.ids) == {i: 2 for i in range(900)}
+    exact = search.dense(rows, rows.where("vec_id % 100 = 0"), 5, squared_l2=True).select("query", "doc", "rank").collect()
+    assert sorted(vectors.nearest(index, rows.where("vec_id % 100 = 0"), 5, probes=6).select("query", "doc", "rank").collect()) == sorted(exact)

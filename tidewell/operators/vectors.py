@@ -21,6 +21,8 @@ from tidewell.sources.files import shared_path
 SAMPLE, ROUNDS, LISTS, BLOCK, QUERY_BYTES = 20_000, 12, 4_096, 4_096, 64 << 20
 #: Lists a query looks into are as many as give this share of the nearest AMONG vectors of the sample, for up to TRIED of its vectors.
 RECALL, AMONG, TRIED = 0.95, 10, 400
+#: Distances that are held at once, and bytes of vectors that a task holds before it writes its lists.
+CELLS, HELD_BYTES = 1 << 20, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -39,11 +41,18 @@ def _far(x: np.ndarray, y: np.ndarray, squared_l2: bool) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T if squared_l2 else -(x @ y.T)
 
 
+def _nearest(x: np.ndarray, centre: np.ndarray, most: int, squared_l2: bool) -> np.ndarray:
+    """The `most` centres nearest to each x, nearest first, for some rows of x at a time."""
+    step = max(1, CELLS // len(centre))
+    found = [np.argsort(_far(x[at : at + step], centre, squared_l2), 1, kind="stable")[:, :most].copy() for at in range(0, len(x), step)]
+    return np.concatenate(found) if found else np.zeros((0, min(most, len(centre))), np.int64)
+
+
 def centroids(sample: np.ndarray, lists: int, squared_l2: bool) -> np.ndarray:
     """Lloyd's rounds from evenly spaced rows of the sample; an empty list keeps its centre."""
     centre = sample[np.linspace(0, len(sample) - 1, lists).astype(int)].astype(float)
     for _ in range(ROUNDS):
-        near = np.argmin(_far(sample, centre, True), 1)
+        near = _nearest(sample, centre, 1, True)[:, 0]
         sums = np.zeros_like(centre)
         np.add.at(sums, near, sample)
         n = np.bincount(near, minlength=lists)
@@ -57,7 +66,7 @@ def probes_for(sample: np.ndarray, centre: np.ndarray, squared_l2: bool) -> int:
     """The fewest lists to look into (a power of two, or all) for RECALL among the sample's own vectors."""
     asked = sample[np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int)]
     true = np.argsort(_far(asked, sample, squared_l2), 1, kind="stable")[:, :AMONG]
-    stands = np.argsort(_far(sample, centre, squared_l2), 1, kind="stable")[:, :2]
+    stands = _nearest(sample, centre, 2, squared_l2)
     order = np.argsort(_far(asked, centre, squared_l2), 1, kind="stable")
     place = np.argsort(order, 1)  # how early each query looks into each list
     first = np.take_along_axis(place, stands[true].reshape(len(asked), -1), 1).reshape(len(asked), true.shape[1], -1).min(2)
@@ -71,7 +80,8 @@ def create(vectors: DataFrame, path: str | None = None, id_column: str = "vec_id
     """Index all vectors at path (else in the shared folder); null vectors are left out. No vectors: ValueError.
 
     Centroids come from SAMPLE vectors chosen by a hash of their ids; their number is about the root of the number of vectors. Every vector
-    is written to its two nearest lists. Nothing is shuffled: a task packs the vectors it reads into rows of up to BLOCK of a list.
+    is written to its two nearest lists. Nothing is shuffled: a task packs the vectors it reads into rows of some BLOCK of a list, or of what it
+    has when it holds HELD_BYTES.
     """
     spark = vectors.sparkSession
     path = path or shared_path(spark, "vectors")
@@ -90,25 +100,30 @@ def create(vectors: DataFrame, path: str | None = None, id_column: str = "vec_id
     arrow = to_arrow_type(schema["ids"].dataType)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, held, size = sent.value, {}, {}
+        centre, held, size, total = sent.value, {}, {}, 0
 
         def row(k: int) -> pa.RecordBatch:
+            nonlocal total
             ids, rows = zip(*held.pop(k), strict=True)
-            size.pop(k)
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([[i for own in ids for i in own]], arrow), pa.array([np.concatenate(rows).astype("<f4").tobytes()], pa.binary())], names=schema.names)
+            total -= size.pop(k)
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([[i for own in ids for i in own]], arrow), pa.array([np.concatenate(rows).tobytes()], pa.binary())], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, v = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), float)
-            near = np.argsort(_far(v, centre, squared_l2), 1, kind="stable")[:, :2]
+            ids, v = batch.column(0).to_pylist(), np.array(batch.column(1).to_numpy(zero_copy_only=False).tolist(), float)
+            near, most = _nearest(v, centre, 2, squared_l2), HELD_BYTES // (4 * v.shape[1])
             of = np.repeat(np.arange(len(ids)), near.shape[1])
-            for k in np.unique(near).tolist():
-                at = of[near.ravel() == k].tolist()
-                held.setdefault(k, []).append(([ids[i] for i in at], v[at]))
-                size[k] = size.get(k, 0) + len(at)
+            order = np.argsort(near.ravel(), kind="stable")
+            lists, begins = np.unique(near.ravel()[order], return_index=True)
+            for k, at in zip(lists.tolist(), np.split(of[order], begins[1:]), strict=True):
+                held.setdefault(k, []).append(([ids[i] for i in at.tolist()], v[at].astype("<f4")))
+                size[k], total = size.get(k, 0) + len(at), total + len(at)
                 if size[k] >= BLOCK:
                     yield row(k)
+            if total >= most:
+                for k in sorted(held):
+                    yield row(k)
         for k in sorted(held):
             yield row(k)
 
@@ -150,23 +165,26 @@ def nearest(index: Lists, queries: DataFrame, k: int = 10, probes: int | None =
     for b in range(n_blocks):
         block = wanted.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toPandas()
         q = np.array(block["v"].tolist(), float).reshape(len(block), width)
-        probed = np.argsort(_far(q, index.centroids, index.squared_l2), 1, kind="stable")[:, : probes or index.probes]
+        probed = _nearest(q, index.centroids, probes or index.probes, index.squared_l2)
         sent = spark.sparkContext.broadcast((block["id"].tolist(), q, probed))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q, probed = sent.value
             for batch in batches:
-                for row in batch.to_pylist():
-                    own = np.flatnonzero((probed == row["list"]).any(1))
-                    if not len(own):
+                for i in range(batch.num_rows):
+                    asking = np.flatnonzero((probed == batch.column("list")[i].as_py()).any(1))
+                    if not len(asking):
                         continue
-                    v = np.frombuffer(row["vectors"], "<f4").reshape(len(row["ids"]), -1).astype(float)
-                    score = np.round(_far(q[own], v, index_l2), 6)
-                    keep = np.argsort(score, 1, kind="stable")
-                    last = np.take_along_axis(score, keep[:, min(k, keep.shape[1]) - 1 : min(k, keep.shape[1])], 1)
-                    at, of = np.nonzero(score <= last)  # with all that tie with the k-th
-                    values = score[at, of] if index_l2 else -score[at, of]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([ids[i] for i in own[at].tolist()], [row["ids"][i] for i in of.tolist()], values + 0.0), arrow, strict=True)], names=schema.names)
+                    docs = batch.column("ids")[i].as_py()
+                    v = np.frombuffer(batch.column("vectors")[i].as_py(), "<f4").reshape(len(docs), -1).astype(float)
+                    step = max(1, CELLS // len(docs))
+                    for own in (asking[a : a + step] for a in range(0, len(asking), step)):
+                        score = np.round(_far(q[own], v, index_l2), 6)
+                        keep = np.argsort(score, 1, kind="stable")
+                        last = np.take_along_axis(score, keep[:, min(k, keep.shape[1]) - 1 : min(k, keep.shape[1])], 1)
+                        at, of = np.nonzero(score <= last)  # with all that tie with the k-th
+                        values = score[at, of] if index_l2 else -score[at, of]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([ids[i] for i in own[at].tolist()], [docs[i] for i in of.tolist()], values + 0.0), arrow, strict=True)], names=schema.names)
 
         index_l2 = index.squared_l2
         lists = sorted(set(probed.ravel().tolist()))
