@@ -259,3 +259,13 @@ def test_vector_lists_are_written_before_a_task_holds_many(spark, monkeypatch, t
     assert Counter(i for b in blocks for i in b.ids) == {i: 2 for i in range(900)}
     exact = search.dense(rows, rows.where("vec_id % 100 = 0"), 5, squared_l2=True).select("query", "doc", "rank").collect()
     assert sorted(vectors.nearest(index, rows.where("vec_id % 100 = 0"), 5, probes=6).select("query", "doc", "rank").collect()) == sorted(exact)
+
+
+def test_texts_are_cut_in_bounded_pieces(spark, monkeypatch):
+    """Null ids and null texts stay as they are, and what is cut doesn't depend on how much text is cut at once."""
+    texts = ["a b\nc d\ne", None, "", "x " * 300 + "\n" + "y " * 300, "one"] * 20
+    rows = spark.createDataFrame([(i if i % 7 else None, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(chunks, "TEXT_BYTES", 30)
+    found = chunks.split_recursive(rows, "doc_id", "text", 4, 1).collect()
+    wanted = [(i if i % 7 else None, k, p) for i, x in enumerate(texts) for k, p in enumerate(chunks.recursive_split(x or "", 4, 1, length=lambda t: len(t.split())))]
+    assert [tuple(r) for r in found] == wanted

@@ -6,14 +6,18 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.functions import text as X
 
 PARENT_LIMIT, SMALL = 512, 50
+#: Bytes of texts that a task cuts at once.
+TEXT_BYTES = 2 << 20
 
 
 def explode_pieces(docs: DataFrame, id_column: str, pieces: Column) -> DataFrame:
@@ -147,15 +151,25 @@ def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, .
 
 
 def _pieces(docs: DataFrame, id_column: str, text: str, cut: Callable[[str], list[str]]) -> DataFrame:
-    own = docs.select(id_column, text)
-    schema = T.StructType([own.schema[0], T.StructField("pos", T.IntegerType()), T.StructField("piece", T.StringType())])
+    return _rows_of(docs.select(id_column, text), [T.StructField("pos", T.IntegerType()), T.StructField("piece", T.StringType())], lambda x: list(enumerate(cut(x or ""))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _rows_of(texts: DataFrame, added: list[T.StructField], rows: Callable[[str | None], list[tuple]]) -> DataFrame:
+    """(id, added) of all rows that rows() gives for each text of texts (id, text), TEXT_BYTES of texts at a time."""
+    schema = T.StructType([texts.schema[0], *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [to_arrow_type(f.dataType) for f in added]
         for batch in batches:
-            rows = [(i, k, p) for i, x in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for k, p in enumerate(cut(x or ""))]
-            yield pd.DataFrame(rows, columns=schema.names)
+            ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right")))
+                found = [rows(x) for x in batch.column(1).slice(at, to - at).to_pylist()]
+                of = pa.array(np.repeat(np.arange(at, to), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *(pa.array([r[c] for x in found for r in x], t) for c, t in enumerate(kinds))], names=schema.names)
+                at = to
 
-    return own.mapInPandas(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def split_semantic(docs: DataFrame, id_column: str, text: str, group_size: int = 5) -> DataFrame:
@@ -176,17 +190,8 @@ def parents_and_children(docs: DataFrame, id_column: str, text: str, child: Call
     """
     cut = child or (lambda x: recursive_split(x, 256, 50, length=lambda t: len(t.split())))
     groups = split_semantic(docs, id_column, text)
-    schema = T.StructType([groups.schema[0], T.StructField("page_content", T.StringType()), T.StructField("parent", T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, p in zip(batch.iloc[:, 0], batch["piece"], strict=True):
-                rows.append((i, p, None))
-                rows += [(i, c, p) for c in cut(p) if c != p]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    rows = groups.mapInPandas(run, schema)
+    added = [T.StructField("page_content", T.StringType()), T.StructField("parent", T.StringType())]
+    rows = _rows_of(groups.select(id_column, "piece"), added, lambda p: [(p, None), *((c, p) for c in cut(p) if c != p)])
     small = F.col("parent").isNotNull() | (F.length("page_content") < PARENT_LIMIT)
     return rows.select(id_column, X.content_id(F.col("page_content")).alias("unique_id"), X.content_id(F.col("parent")).alias("parent_id"), "page_content", small.alias("in_index"))
 
