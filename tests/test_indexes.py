@@ -269,3 +269,34 @@ def test_texts_are_cut_in_bounded_pieces(spark, monkeypatch):
     found = chunks.split_recursive(rows, "doc_id", "text", 4, 1).collect()
     wanted = [(i if i % 7 else None, k, p) for i, x in enumerate(texts) for k, p in enumerate(chunks.recursive_split(x or "", 4, 1, length=lambda t: len(t.split())))]
     assert [tuple(r) for r in found] == wanted
+
+
+def test_best_path_is_that_of_a_plain_walk(monkeypatch):
+    """The path by matches is that of going through all characters and sizes, ties too; remembered runs change nothing."""
+    rng = random.Random(7)
+    counts = [("".join(rng.choice("ab") for _ in range(rng.randint(1, 4))), rng.choice([1, 1, 2, 4])) for _ in range(12)]
+    cutter = segment.Segmenter(counts)
+    share = {w: math.log(n) - cutter.total for w, n in dict(counts).items()}
+
+    def plain(run):
+        best, back = [0.0], [None]
+        for at in range(1, len(run) + 1):
+            score, start = best[at - 1] - cutter.total, None
+            for size in range(1, min(at, 4) + 1):
+                edge = share.get(run[at - size : at])
+                if edge is not None and best[at - size] + edge >= score:
+                    score, start = best[at - size] + edge, at - size
+            best.append(score)
+            back.append(start)
+        out, at = [], len(run)
+        while at:
+            start = at - 1 if back[at] is None else back[at]
+            out.append((start, at, back[at] is not None))
+            at = start
+        return out[::-1]
+
+    runs = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    assert all(cutter.path(r) == plain(r) for r in runs)
+    monkeypatch.setattr(segment, "KNOWN", 5)
+    first = [cutter.cut(r) for r in runs]
+    assert [cutter.cut(r) for r in runs] == first == [cutter._cut(r) for r in runs] and len(cutter.runs) <= 5

@@ -15,6 +15,10 @@ from tidewell.operators.search import top_by_count
 
 #: Words a lexicon holds at most (the most frequent ones), the longest of them in characters, and how often a word must occur.
 WORDS, LONGEST, LEAST = 500_000, 24, 2
+#: Runs whose words a task remembers, and characters of the longest of them.
+KNOWN, SHORT = 50_000, 200
+#: Texts that a task cuts at once.
+ROWS = 256
 HAN = re.compile("[一-鿿]+")
 RUN = re.compile(r"[^\W_]+")
 
@@ -56,25 +60,23 @@ class Segmenter:
         for w, n in own.items():
             self.trie.add_word(w, (len(w), math.log(n) - self.total))
         self.known = bool(own)
+        self.runs: dict[str, list[str]] = {}
         if own:
             self.trie.make_automaton()
 
     def path(self, run: str) -> list[tuple[int, int, bool]]:
         """(start, end, in the lexicon) of each edge of the best path."""
-        n = len(run)
-        best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        edges = self.trie.iter(run) if self.known else iter(())
-        end, edge = next(edges, (n, None))
-        for at in range(1, n + 1):
-            score, start = best[at - 1] - self.total, -(at - 1) - 1  # below 0: outside the lexicon
-            here = []
-            while edge is not None and end == at - 1:
-                here.append(edge)
-                end, edge = next(edges, (n, None))
-            for size, share in sorted(here):
-                if best[at - size] + share >= score:
-                    score, start = best[at - size] + share, at - size
-            best[at], back[at] = score, start
+        n, lone = len(run), self.total
+        best, back, at = [0.0] * (n + 1), [0] * (n + 1), 0
+        for end, (size, share) in self.trie.iter(run) if self.known else ():  # by their ends, longer words first
+            while at <= end:
+                at += 1
+                best[at], back[at] = best[at - 1] - lone, -at  # below 0: outside the lexicon
+            score = best[at - size] + share
+            if score > best[at] or (score == best[at] and back[at] < 0):
+                best[at], back[at] = score, at - size
+        for at in range(at + 1, n + 1):
+            best[at], back[at] = best[at - 1] - lone, -at
         out, at = [], n
         while at:
             start, known = (back[at], True) if back[at] >= 0 else (-back[at] - 1, False)
@@ -83,6 +85,14 @@ class Segmenter:
         return out[::-1]
 
     def cut(self, run: str) -> list[str]:
+        """The words of a run; those of up to KNOWN short runs are remembered, since texts repeat lines and phrases."""
+        if (found := self.runs.get(run)) is None:
+            found = self._cut(run)
+            if len(self.runs) < KNOWN and len(run) <= SHORT:
+                self.runs[run] = found
+        return found
+
+    def _cut(self, run: str) -> list[str]:
         out: list[str] = []
         lone = -1
         for start, end, known in [*self.path(run), (len(run), len(run), True)]:
@@ -125,8 +135,10 @@ def segmented(rows: DataFrame, text: str, lexicon: DataFrame, stopwords: tuple[s
         counts, without = sent.value
         cutter = Segmenter(counts)
         for batch in batches:
-            found = [[w for w in cutter.words(x or "", everything) if w not in without] for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*names, as_name])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                found = [[w for w in cutter.words(x or "", everything) if w not in without] for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.string()))], names=[*names, as_name])
 
     from pyspark.sql import types as T
 

@@ -18,7 +18,9 @@ def segment_words(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without their spaces, cut again by the words that the documents themselves have."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     tight = docs.withColumn("text", F.regexp_replace("text", r"\s+", ""))
-    found = segment.segmented(tight, "text", segment.word_lexicon(docs, "text"), everything=True)
+    # cutting takes far longer than moving the texts, and a file of few row groups would leave it to as few tasks
+    dealt = tight.repartition(4 * spark.sparkContext.defaultParallelism)
+    found = segment.segmented(dealt, "text", segment.word_lexicon(docs, "text"), everything=True)
     return found.select("doc_id", F.size("tokens").alias("n_words"), "tokens")
 
 
