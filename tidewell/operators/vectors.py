@@ -44,7 +44,8 @@ def _far(x: np.ndarray, y: np.ndarray, squared_l2: bool) -> np.ndarray:
 def _nearest(x: np.ndarray, centre: np.ndarray, most: int, squared_l2: bool) -> np.ndarray:
     """The `most` centres nearest to each x, nearest first, for some rows of x at a time."""
     step = max(1, CELLS // len(centre))
-    found = [np.argsort(_far(x[at : at + step], centre, squared_l2), 1, kind="stable")[:, :most].copy() for at in range(0, len(x), step)]
+    far = (_far(x[at : at + step], centre, squared_l2) for at in range(0, len(x), step))
+    found = [np.argmin(d, 1)[:, None] if most == 1 else np.argsort(d, 1, kind="stable")[:, :most].copy() for d in far]
     return np.concatenate(found) if found else np.zeros((0, min(most, len(centre))), np.int64)
 
 
