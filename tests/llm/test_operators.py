@@ -1,11 +1,13 @@
 """Each numbered operator against a plain version of it, on rows with nulls, empties, ties, copies and clashing names."""
 
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -777,3 +779,26 @@ def test_small_side_beyond_the_bound_is_salted(spark, monkeypatch):
     want = [[sorted(map(str, base.with_small(rows, few, "k", "of", F.col("id"), how).collect())) for how in ("inner", "left_anti")]]
     monkeypatch.setattr(base, "SMALL_ROWS", 1)
     assert [[sorted(map(str, base.with_small(rows, few, "k", "of", F.col("id"), how).collect())) for how in ("inner", "left_anti")]] == want
+
+
+def test_texts_are_taken_in_bounded_lots():
+    from tidewell.llm import base
+
+    texts = ["x" * 900_000] * 5 + [None, "", "y" * 5_000_000, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["id", "text"])
+    got = list(base.lots(batch, 1))
+    assert pa.Table.from_batches(got) == pa.Table.from_batches([batch]) and not list(base.lots(batch.slice(0, 0), 1))
+    assert all(x.num_rows and sum(len(t or "") for t in x.column(1).to_pylist()[:-1]) < base.LOT_BYTES for x in got)
+
+
+@pytest.mark.parametrize("fold", [1 << 19, 40])
+def test_common_shingles_are_counted_whole(spark, monkeypatch, fold):
+    monkeypatch.setattr(simhash, "FOLD", fold)
+    rng = random.Random(2)
+    texts = [prose(rng, 30) + " this footer stands in every text" for _ in range(50)] + ["", None]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, node long, text string").coalesce(1)
+    rows, common = simhash.surveyed(docs)
+    want = Counter(c for t in texts for c in simhash.counter_of(simhash.shingles_of((t or "").encode())).tolist())
+    mean = sum(want.values()) / simhash.COUNTERS
+    assert {int(c): int(common[c]) for c in np.flatnonzero(common)} == {c: min(255, math.ceil(math.log(n) * 3.5)) for c, n in want.items() if n >= simhash.REPORTED + 4 * mean}
+    assert 50 in want.values() and rows.count() == 52

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.base import map_batches, raw
+from tidewell.llm.base import lots, map_batches, raw
 
 HALF, BLOCK = 64, 8
 K1, B, THRESHOLD, OVERLAP, GRAM = 1.2, 0.75, 0.6, 0.6, 3
@@ -204,8 +204,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         at = docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at: int = at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not matches(x, sent.value) for x in raw(batch.column(at))], pa.bool_()))
+            for lot in (x for batch in batches for x in lots(batch, at)):
+                yield lot.filter(pa.array([not matches(x, sent.value) for x in raw(lot.column(at))], pa.bool_()))
 
         docs = map_batches(docs, run, docs.schema)
     return docs

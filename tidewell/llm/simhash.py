@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.base import HOT, SALTS, SMALL_ROWS, cut, per_text, raw, shared_path, tasks_for, with_keyed, with_small
+from tidewell.llm.base import HOT, SALTS, SMALL_ROWS, cut, lots, per_text, raw, shared_path, tasks_for, with_keyed, with_small
 
 SEED = 42
 #: The trees' tops are grown from one fingerprint in SHARE, SAMPLE of them at most, and as many of them a shard at least.
@@ -291,8 +291,8 @@ BLOCK = 1_024
 NARROW_ROWS = 2_000_000
 #: Counters for how often shingles occur, and what a task must have counted there, besides four times its mean, to report it.
 COUNTERS, REPORTED = 1 << 24, 3
-#: Counters that a task holds before it folds them.
-FOLD = 1 << 21
+#: Shingles that a task holds before it counts them.
+FOLD = 1 << 19
 
 
 def majority(hashes: np.ndarray, block: int = 65_536) -> np.uint64:
@@ -366,27 +366,28 @@ def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     names = ["id", "node", "fingerprint", "n", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[tuple] = []
-
-        def folded() -> tuple[np.ndarray, np.ndarray]:
-            slots, at = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
-            return slots, np.bincount(at, np.concatenate([n for _, n in seen])).astype(np.int64)
-
+        every, seen = None, []  # all counters in a task with many shingles, else those it has seen
         for batch in batches:
-            texts = raw(batch.column(2))
-            sets = [shingles_of(x) for x in texts]
-            if sets:
-                seen.append(np.unique(counter_of(np.concatenate(sets)), return_counts=True))
-                if sum(len(x) for x, _ in seen) > 2 * max(len(seen[0][0]), FOLD):
-                    seen = [folded()]
-            marks = np.array([words_fingerprint(x) for x in texts], np.uint64).view(np.int64)
-            own = [pa.array(marks), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x).view(np.int64) for x in sets], longs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=names)
-        if seen:
-            slots, counts = folded()
-            clear = counts >= REPORTED + 4 * counts.sum() / COUNTERS
-            slots, counts = slots[clear], counts[clear]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(slots), kind), pa.array(slots.astype(np.int64)), pa.nulls(len(slots), pa.int64()), pa.array(counts), pa.nulls(len(slots), longs)], names=names)
+            for lot in lots(batch, 2):
+                texts = raw(lot.column(2))
+                sets = [shingles_of(x) for x in texts]
+                seen.append(counter_of(np.concatenate(sets)))
+                if sum(map(len, seen)) > FOLD:
+                    every = np.zeros(COUNTERS, np.uint32) if every is None else every
+                    slots, n = np.unique(np.concatenate(seen), return_counts=True)
+                    every[slots] += n.astype(np.uint32)
+                    seen = []
+                marks = np.array([words_fingerprint(x) for x in texts], np.uint64).view(np.int64)
+                own = [pa.array(marks), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x).view(np.int64) for x in sets], longs)]
+                yield pa.RecordBatch.from_arrays([lot.column(0), lot.column(1), *own], names=names)
+        slots, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *seen]), return_counts=True)
+        if every is not None:
+            every[slots] += counts.astype(np.uint32)
+            slots = np.flatnonzero(every)
+            counts = every[slots]
+        clear = counts >= REPORTED + 4 * counts.sum(dtype=np.int64) / COUNTERS
+        slots, counts = slots[clear].astype(np.int64), counts[clear].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(slots), kind), pa.array(slots), pa.nulls(len(slots), pa.int64()), pa.array(counts), pa.nulls(len(slots), longs)], names=names)
 
     schema = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in names[1:4]), T.StructField("parity", T.ArrayType(T.LongType()))])
     rows = cut(docs.select("id", "node", "text").mapInArrow(run, schema))
@@ -413,8 +414,8 @@ def sharing(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a text are sent once a task
-        for batch in batches:
-            new = [(node, x) for node, x in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True) if node not in seen and not seen.add(node)]
+        for lot in (x for batch in batches for x in lots(batch, 1)):
+            new = [(node, x) for node, x in zip(lot.column(0).to_pylist(), raw(lot.column(1)), strict=True) if node not in seen and not seen.add(node)]
             sets = [shingles_of(x) for _, x in new]
             found = [prefix(x, sent.value) for x in sets]
             if found:
@@ -580,10 +581,10 @@ def verified(edges: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for lot in (x for batch in batches for x in lots(batch, 4)):
             found = []
-            a, salt, other, node = (batch.column(i).to_pylist() for i in range(4))
-            for k, text in enumerate(raw(batch.column(4))):
+            a, salt, other, node = (lot.column(i).to_pylist() for i in range(4))
+            for k, text in enumerate(raw(lot.column(4))):
                 shingles = shingles_of(text)
                 if not other[k]:
                     key, own = (a[k], salt[k]), shingles
@@ -638,8 +639,8 @@ def joined_within(rows: DataFrame) -> DataFrame:
             pairs = [(own[i][0], own[j][0]) for i, j in joined([x[2] for x in own], label)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            for u, node, label, text in zip(*(batch.column(i).to_pylist() for i in range(3)), raw(batch.column(3)), strict=True):
+        for lot in (x for batch in batches for x in lots(batch, 3)):
+            for u, node, label, text in zip(*(lot.column(i).to_pylist() for i in range(3)), raw(lot.column(3)), strict=True):
                 if u != unit and own:
                     yield from found()
                     own = []
