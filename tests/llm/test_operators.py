@@ -522,6 +522,26 @@ def test_classes_predict_held_out_texts_better(spark):
     assert got[0] > got[1] + 100
 
 
+def test_components_take_few_tasks_and_no_broadcast_of_all(spark):
+    """Rounds over a small graph with a hub: tasks are as many as its edges ask for, whatever the shuffle partitions."""
+    edges = [(0, i) for i in range(1, 700)] + [(1_000 + i, 1_001 + i) for i in range(7)] + [(699, 1_007)]
+    known = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        got = {r.node: r.root.node for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    assert got == dict.fromkeys({x for e in edges for x in e}, 0)
+    assert tasks < 5_000  # 3,057; with a task for each shuffle partition 10,394
+
+
 def test_columns_named_like_added_ones_give_way(spark):
     rows = spark.createDataFrame([("a b", "x", "y")], "text string, n_words string, labels string")
     for got in (licenses.license_scan(rows, rows.columns), wordpiece.token_counts(rows, rows.columns, tokenizer_json())):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.base import HOT, SALTS, SMALL_ROWS, cut, lots, per_text, raw, shared_path, tasks_for, with_keyed, with_small
+from tidewell.llm.base import HOT, SALTS, SMALL_ROWS, cut, hot_keys, in_few_tasks, lots, per_text, raw, shared_path, tasks_for, with_keyed, with_small
 
 SEED = 42
 #: The trees' tops are grown from one fingerprint in SHARE, SAMPLE of them at most, and as many of them a shard at least.
@@ -241,18 +241,27 @@ def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
     tasks = tasks_for(both.count())  # no table of a round has more rows
     both = both.coalesce(tasks)
     nodes = both.select(F.col("a").alias("node")).distinct()
+    hubs = hot_keys(both, "b", tasks)
+    heavy = None
+    if hubs.limit(1).count():  # parted once; a round broadcasts no more than the hubs' labels
+        marked = cut(with_small(both, hubs, "b", "_tw_hot", F.col("a"), "left"))
+        both, heavy = marked.where("_tw_hot is null").select("a", "b"), marked.where("_tw_hot is not null").select("a", "b")
     if first is None:
         own = F.struct(F.lit(False).alias("no_id"), F.lit(None).cast("long").alias("first_id"), F.col("node"))
     else:
-        nodes, own = nodes.join(first.select("node", "first_id"), "node"), F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "node")
+        nodes, own = nodes.join(first.select("node", "first_id").hint("merge"), "node"), F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "node")
     labels = cut(nodes.select("node", own.alias("root")).coalesce(tasks))
     while True:
-        near = with_keyed(both, labels.select(F.col("node").alias("b"), "root"), "b", "a", tasks=tasks).coalesce(tasks).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = cut(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("low"), F.least("root", "near")["node"].alias("at")).coalesce(tasks))
+        near = both.join(labels.select(F.col("node").alias("b"), "root").hint("merge"), "b").select("a", "root")
+        if heavy is not None:
+            few = labels.join(hubs.hint("merge"), F.col("node") == F.col("_tw_hot"), "left_semi").select(F.col("node").alias("_tw_key"), "root").coalesce(tasks)
+            near = near.unionByName(with_small(heavy, few, "b", "_tw_key", F.col("a")).select("a", "root"))
+        near = near.coalesce(tasks).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        low = cut(labels.join(near.hint("merge"), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("low"), F.least("root", "near")["node"].alias("at")).coalesce(tasks))
         if not low.where("old <> low").limit(1).count():
             return low.select("node", F.col("low").alias("root"))
-        lows = low.select("at").distinct()
-        jump = low.where(F.col("at") != F.col("node")).join(lows.withColumnRenamed("at", "_tw_at"), F.col("node") == F.col("_tw_at"), "left_semi").select(F.col("node").alias("_tw_at"), F.col("low").alias("far"))
+        lows = low.select(F.col("at").alias("_tw_at")).distinct()
+        jump = low.where(F.col("at") != F.col("node")).join(lows.hint("merge"), F.col("node") == F.col("_tw_at"), "left_semi").select(F.col("node").alias("_tw_at"), F.col("low").alias("far"))
         labels = with_small(low.select("node", "low", "at"), jump.coalesce(tasks), "at", "_tw_at", F.col("node"), "left")
         labels = cut(labels.select("node", F.coalesce(F.least("low", "far"), "low").alias("root")).coalesce(tasks))
 
@@ -275,7 +284,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 def grouped(points: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, component_id) of all points (node, first_id): the least id of the nodes that links reach."""
     of = F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("root.first_id"))
-    return cut(points.join(roots, "node", "left").select("node", of.alias("component_id")))
+    return cut(points.join(roots.hint("merge"), "node", "left").select("node", of.alias("component_id")).coalesce(tasks_for(points.count())))
 
 
 # --- near duplicates by the similarity of their shingles ---
@@ -488,10 +497,10 @@ def sharing(docs: DataFrame, common: np.ndarray) -> DataFrame:
     posts = docs.sparkSession.read.schema(kinds).parquet(path)
     # as able(), by the least and largest size of nodes that may be the smaller of two
     size = F.when(F.expr(SMALLER), F.col("n"))
-    sizes = cut(posts.where("salt >= 0").groupBy(F.col("shingle").alias("_tw_shingle")).agg(F.min(size).alias("low"), F.max(size).alias("high")).where("low is not null"))
+    sizes = in_few_tasks(cut(posts.where("salt >= 0").groupBy(F.col("shingle").alias("_tw_shingle")).agg(F.min(size).alias("low"), F.max(size).alias("high")).where("low is not null")))
     reported = with_small(posts.where("salt >= 0"), sizes, "shingle", "_tw_shingle", F.col("node"))
     reported = reported.where(F.expr(SMALLER) | F.expr("5 * high >= 4 * n and low <= n and 4 * low <= 9 * (n - place) - 4 * n")).select(*names)
-    gathered = cut(reported.repartition("shingle", "salt").mapInArrow(gather, kinds))
+    gathered = in_few_tasks(cut(reported.repartition("shingle", "salt").mapInArrow(gather, kinds)))
     met = posts.where("salt < 0").unionByName(gathered.where("n >= 0")).repartition("shingle").mapInArrow(meet, "a long, b long, many boolean")
     return met.unionByName(gathered.where("n < 0").select(F.col("shingle").alias("a"), F.col("node").alias("b"), F.lit(True).alias("many"))).distinct()
 
@@ -511,12 +520,14 @@ def able(n: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def likely(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of points (node, n, label, parity) with other labels whose sizes and parities let them be similar."""
+    """Those of pairs (a, b; of a cut table) of points (node, n, label, parity) with other labels whose sizes and parities let them be similar."""
+
+    tasks = tasks_for(pairs.count())
 
     def both(rows: DataFrame, own: DataFrame, small: bool) -> DataFrame:
         for k, other in (("a", "b"), ("b", "a")):
             side = own.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in own.columns if c != "node"))
-            rows = rows.join(F.broadcast(side), k) if small else with_keyed(cut(rows), side, k, other)
+            rows = rows.join(F.broadcast(side), k) if small else with_keyed(cut(rows.coalesce(tasks)), side, k, other, tasks=tasks)
         return rows
 
     near = both(pairs, points.select("node", "n", "label"), points.count() <= NARROW_ROWS)
@@ -530,7 +541,7 @@ def likely(pairs: DataFrame, points: DataFrame) -> DataFrame:
             fit = [may_reach(n[k], *(v[e[k] : e[k + 1]] for v, e in odd[:1]), m[k], *(v[e[k] : e[k + 1]] for v, e in odd[1:])) for k in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    return wide.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+    return wide.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").coalesce(tasks).mapInArrow(run, "a long, b long")
 
 
 def joined(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
@@ -573,11 +584,13 @@ def verified(edges: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame
 
     Whole texts move once for each edge, and a hub's edges are dealt over several copies of it; tasks take them one by one.
     """
+    tasks = tasks_for(edges.count())
+    edges = edges.coalesce(tasks)
     hubs = edges.groupBy(F.col("a").alias("_tw_hub")).count().where(F.col("count") > HOT)
     salt = F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("count") / HOT), F.lit(1)))
-    dealt = cut(with_small(edges, cut(hubs), "a", "_tw_hub", F.col("b"), "left").select("a", salt.alias("salt"), "b"))
+    dealt = cut(with_small(edges, cut(hubs.coalesce(tasks)), "a", "_tw_hub", F.col("b"), "left").select("a", salt.alias("salt"), "b"))
     sides = dealt.select("a", "salt", F.lit(True).alias("other"), F.col("b").alias("node")).unionByName(dealt.select("a", "salt").distinct().select("*", F.lit(False).alias("other"), F.col("a").alias("node")))
-    rows = with_texts(texts, cut(sides.join(points.select("node", "first_id"), "node")))
+    rows = with_texts(texts, cut(sides.join(points.select("node", "first_id").hint("merge"), "node").coalesce(tasks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, np.zeros(0, np.uint64)
@@ -602,8 +615,9 @@ def in_units(asked: DataFrame) -> DataFrame:
     All nodes of a root that have different labels and sizes within a fourth of each other meet in some unit: large roots are parted
     by sizes in steps of a fourth, each step with the next. Labels of many nodes have blocks of their own, which don't meet each other.
     """
+    tasks = tasks_for(asked.count())
     per_root = asked.groupBy(F.col("root").alias("_tw_root")).count().where(F.col("count") > 2 * BLOCK).select("_tw_root")
-    wide = cut(per_root)
+    wide = cut(per_root.coalesce(tasks))
     if wide.limit(1).count():
         marked = cut(with_small(asked, wide, "root", "_tw_root", F.col("node"), "left"))
         step = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(math.log(1.25)) + F.lit(1e-9))
@@ -611,17 +625,17 @@ def in_units(asked: DataFrame) -> DataFrame:
         asked = cut(marked.where("_tw_root is null").select(*asked.columns).unionByName(bands.select(*asked.columns)))
     by_label = asked.groupBy("root", "label").agg(F.count("*").alias("of_label"))
     by_root = by_label.groupBy("root").agg(F.sum("of_label").alias("of_root"), F.sum(F.when(F.col("of_label") <= BLOCK, F.col("of_label")).otherwise(0)).alias("of_few"))
-    large = cut(by_root.where(F.col("of_root") > 2 * BLOCK))
+    large = cut(by_root.where(F.col("of_root") > 2 * BLOCK).coalesce(tasks))
     if not large.limit(1).count():
         return asked.withColumn("unit", F.col("root"))
     marked = with_small(asked, large.withColumnRenamed("root", "_tw_root"), "root", "_tw_root", F.col("node"), "left")
     small = marked.where("_tw_root is null").select(*asked.columns, F.col("root").alias("unit"))
     many = by_label.where(F.col("of_label") > BLOCK).select(F.col("label").alias("_tw_label"), F.col("root").alias("_tw_of"), "of_label")
-    big = with_small(marked.where("_tw_root is not null"), cut(many), "label", "_tw_label", F.col("node"), "left", F.col("root") == F.col("_tw_of"))
+    big = with_small(marked.where("_tw_root is not null"), cut(many.coalesce(tasks)), "label", "_tw_label", F.col("node"), "left", F.col("root") == F.col("_tw_of"))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
     block = F.when(F.col("_tw_label").isNull(), F.xxhash64(F.lit("few"), part("label", "of_few"))).otherwise(F.xxhash64("label", part("node", "of_label")))
     big = cut(big.withColumn("block", block).select(*asked.columns, "block", "_tw_label"))
-    blocks = cut(big.select("root", "block", F.col("_tw_label").alias("own")).distinct())
+    blocks = cut(big.select("root", "block", F.col("_tw_label").alias("own")).distinct().coalesce(tasks))
     others = blocks.select(F.col("root").alias("r"), F.col("block").alias("other"), F.col("own").alias("its"))
     meet = blocks.join(others, (F.col("root") == F.col("r")) & ~F.coalesce(F.col("own") == F.col("its"), F.lit(False)))
     units = meet.select("root", "block", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
@@ -661,21 +675,28 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """
     own = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     marked, common = surveyed(own)
-    points = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("fingerprint", "n", "parity"))))
+    tasks = tasks_for(marked.count())  # no table of nodes has more rows
+    points = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("fingerprint", "n", "parity"))).coalesce(tasks))
     near = cut(links(points.select("node", "fingerprint"), WORDS_RADIUS).distinct())
     sure = cut(verified(near, points, own))
     label = components(sure).select("node", F.col("root.node").alias("label"))
-    points = cut(points.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    shared = cut(sharing(own, common))
+    points = cut(points.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")).coalesce(tasks))
+    shared = in_few_tasks(cut(sharing(own, common)))
     paired = verified(cut(likely(shared.where("not many").select("a", "b"), points)), points, own)
     maybe = components(shared.where("many").select("a", "b")).select("node", F.col("root.node").alias("root"))
-    asked = cut(maybe.join(points.select("node", "first_id", "label", "n"), "node"))
+    asked = cut(maybe.join(points.select("node", "first_id", "label", "n").hint("merge"), "node").coalesce(tasks))
     open_ = asked.groupBy("root").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(F.col("root").alias("_tw_open"))
-    asked = cut(with_small(asked, cut(open_), "root", "_tw_open", F.col("node")).drop("_tw_open"))
-    more = joined_within(with_texts(own, cut(in_units(asked))))
-    stars = points.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
-    roots = components(stars.unionByName(paired).unionByName(more), points)
-    return with_keyed(marked.select("id", "node"), grouped(points, roots), "node", "id")
+    asked = cut(with_small(asked, cut(open_.coalesce(tasks)), "root", "_tw_open", F.col("node")).drop("_tw_open"))
+    more = joined_within(with_texts(own, in_few_tasks(cut(in_units(asked)))))
+    found = in_few_tasks(cut(paired.unionByName(more)))
+    for k, other in (("a", "b"), ("b", "a")):  # links between what is linked already: no hub of a large group is gone through again
+        of = points.select(F.col("node").alias("_tw_node"), F.col("label").alias("_tw_of"))
+        found = with_keyed(found.withColumnRenamed(k, "_tw_node"), of, "_tw_node", other, tasks=tasks).select(F.col("_tw_of").alias(k), other)
+        found = in_few_tasks(cut(found))
+    whole = cut(points.groupBy(F.col("label").alias("node")).agg(F.min("first_id").alias("first_id")).coalesce(tasks))
+    of_label = grouped(whole, components(found, whole)).withColumnRenamed("node", "label")
+    of_node = cut(with_keyed(points.select("node", "label"), of_label, "label", "node", tasks=tasks).select("node", "component_id").coalesce(tasks))
+    return with_keyed(marked.select("id", "node"), of_node, "node", "id", tasks=tasks).coalesce(tasks)
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
