@@ -444,6 +444,73 @@ def test_class_scores(spark, monkeypatch):
     assert len(alone) == len(rows) and {(r.n_known, r.train_tokens) for r in alone} == {(0, 0)}
 
 
+def test_words_that_are_not_listed_have_classes_of_their_own(spark, monkeypatch):
+    """Rare words of one ending that stand in different places part, the likelihood rises, and scores are those of a plain count by these classes."""
+    monkeypatch.setattr(brown, "SHARE", 1 / 12)
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    monkeypatch.setattr(brown, "LOT_BYTES", 700)
+    rng = random.Random(8)
+    first, second = ([f"{x}{k}zzz" for k in range(25)] for x in "ab")  # all of one form
+    rows = [(i, " ".join(w for _ in range(8) for w in ("the", rng.choice(first), rng.choice(second)))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "a1zzz a1zzz a1zzz b1zzz"), (3, "the a2zzz b2zzz"), (10, "newzzz the b3zzz never")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    is_held = lambda c: F.crc32(c.cast("string").cast("binary")) % 10 == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    own = docs.select(F.col("doc_id").alias("id"), is_held(F.col("doc_id")).alias("held_out"), "text")
+    listing = brown.listing(own.where("not held_out"), "text")
+    lots = brown.encoded(own, listing)
+    forms = brown.learnt(lots, listing)
+    model, known = brown.exchanged(lots, forms, True)
+    words = lots.where("bucket is not null").select("lot", "bucket", "words").join(known.where("cls is not null"), ["lot", "bucket"]).collect()
+    found = {(w, c) for r in words for w, c in zip(bytes(r.words).split(b" "), bytes(r.cls), strict=True)}
+    of = dict(found) | {w: int(model.class_of[i]) for w, i in model.numbers.of.items()}
+    assert len(found) == len(dict(found)) and {w.encode() for w in (*first, *second)} < set(of) and {brown.form(w) for w, _ in found if w.endswith(b"zzz")} == {brown.form(b"a1zzz")}
+    assert not {of[w.encode()] for w in first} & {of[w.encode()] for w in second}
+    train = [brown.tokens((t or "").encode()) for i, t in rows if not held(i)]
+    counts = Counter(w for d in train for w in d)
+    follows = np.zeros((5, 5), np.int64)
+    for d in train:
+        for a, b in zip([brown.END, *d], d, strict=False):
+            follows[of[a], of[b]] += 1
+    assert (model.follows == follows).all() and brown.likelihood(follows) > brown.likelihood(forms.follows)
+    whole, mass = sum(counts.values()) + 0.1 * (len(counts) + 1), [sum(n + 0.1 for w, n in counts.items() if of[w] == c) for c in range(5)]
+
+    def log_p(a, w):
+        if w not in counts:
+            return np.log10(0.1 / whole)
+        step = (1 - 0.1 / whole) * (follows[of[a], of[w]] + brown.PRIOR * mass[of[w]] / sum(mass)) / (follows[of[a]].sum() + brown.PRIOR)
+        return np.log10(step * (counts[w] + 0.1) / mass[of[w]])
+
+    assert sum(10 ** log_p(b"the", w) for w in [*counts, b"nowhere"]) == pytest.approx(1)
+    want = {}
+    for i, t in rows:
+        d = brown.tokens((t or "").encode())
+        want[i, t] = (held(i), len(d), sum(counts[w] > 0 for w in d), sum(np.log10((counts[w] + 0.1) / whole) for w in d), sum(log_p(a, w) for a, w in zip([brown.END, *d], d, strict=False)))
+    got = brown.class_scores(docs, is_held, own_classes=True).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in got) == Counter((i, *x[:3], *(round(float(v), 5) for v in x[3:])) for (i, _), x in want.items())
+
+
+def test_gains_of_many_words_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(4)
+    for steps in (1, 4):
+        monkeypatch.setattr(brown, "STEPS", steps)
+        for _ in range(20):
+            words, classes = int(rng.integers(3, 20)), int(rng.integers(2, 6))
+            stream, of = rng.integers(0, words, 300), rng.integers(0, classes, words)
+            pairs = Counter(zip(stream[:-1].tolist(), stream[1:].tolist(), strict=True))
+            right, left, alone = np.zeros((words, classes + 1), np.int64), np.zeros((words, classes + 1), np.int64), np.zeros(words, np.int64)
+            for (a, b), n in pairs.items():
+                if a == b:
+                    alone[a] += n
+                else:
+                    right[a, of[b]] += n
+                    left[b, of[a]] += n
+            table = class_table(stream, of, classes + 1)
+            to, gain = brown.best_classes(of, right, left, alone, table, classes)
+            for w in range(words):
+                assert gain[w] == pytest.approx(brown.best_class(int(of[w]), right[w], left[w], int(alone[w]), table, classes)[1], abs=1e-6)
+
+
 def class_table(stream, of, classes):
     t = np.zeros((classes, classes), np.int64)
     np.add.at(t, (of[stream[:-1]], of[stream[1:]]), 1)

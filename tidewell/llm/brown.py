@@ -18,13 +18,15 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from itertools import chain
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,16 +40,16 @@ SHARE, LEAST, FORMS, CLASSES = 2.0**-15, 2, 4_096, 48
 PARTS, BUCKETS, TASKS, TASK_BYTES, FOLD = 4, 256, 16, 64 << 20, 4 << 20
 #: Words whose items a task remembers, and bytes of texts it numbers at once.
 KNOWN, TEXT_BYTES = 200_000, 2 << 20
-#: Occurrences of other words that a task holds before it hands them on.
-RARE = 500_000
+#: Bytes of texts in a lot; training tokens for each bucket of words that aren't listed, and buckets at least.
+LOT_BYTES, BUCKET_TOKENS, LEAST_WORD_BUCKETS = 1 << 20, 2 << 20, 64
+#: Such words whose gains are found at once, counts of neighbours up to which gains are looked up, and bins of gains.
+AT_ONCE, STEPS, GAIN_BINS = 4_096, 4, 512
 #: A pass that raises the likelihood by less than this share of it is the last.
 LEAST_GAIN = 1e-4
 #: No word holds white space, so this stands for the end of a text.
 END = b"\n"
 ADD, PRIOR = 0.1, 20.0
 MARKS = b".,;:!?%$*#&|"
-#: What a text says of a word that isn't listed: the text's row, how often it has it, and the sum of the logs of its steps there.
-FOUND = np.dtype([("row", "<i8"), ("times", "<i4"), ("log", "<f8")])
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -122,12 +124,12 @@ def _read(pairs: bytes, width: int, n: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(pairs, "<u4").astype(np.int64), np.frombuffer(n, f"<u{width}").astype(np.int64)
 
 
-def parts_of(texts: list[bytes]) -> Iterator[tuple[list[bytes], int]]:
-    """Neighbouring texts of about TEXT_BYTES together, and where they begin."""
+def parts_of(texts: list[bytes], bytes_at_once: int = TEXT_BYTES) -> Iterator[tuple[list[bytes], int]]:
+    """Neighbouring texts of about so many bytes together, and where they begin."""
     start, size = 0, 0
     for i, x in enumerate(texts):
         size += len(x)
-        if size >= TEXT_BYTES or i + 1 == len(texts):
+        if size >= bytes_at_once or i + 1 == len(texts):
             yield texts[start : i + 1], start
             start, size = i + 1, 0
 
@@ -166,20 +168,19 @@ def merged(rows: DataFrame, turned: bool) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def bigrams(train: DataFrame, text: str, numbers: Numbers) -> DataFrame:
-    """(bucket, side, pairs, width, n): how often an item of the bucket is followed (side 0) and preceded (side 1) by which.
+def bigrams(lots: DataFrame, end: int) -> DataFrame:
+    """(bucket, side, pairs, width, n): how often an item of the bucket is followed (side 0) and preceded (side 1) by which, in training texts.
 
     Texts begin after an end. At most (1 / SHARE + FORMS + 1)^2 pairs a side, in packed rows, in the shared folder.
     """
-    spark = train.sparkSession
-    sent = spark.sparkContext.broadcast(numbers)
+    spark = lots.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, keys, counts = sent.value, [], []
+        keys, counts = [], []
         for batch in batches:
-            for texts, _ in parts_of(raw(batch.column(0))):
-                at, before, _ = sequence(texts, numbers)[1:]
-                found, n = np.unique(before << 16 | at, return_counts=True)
+            for texts, _ in parts_of(batch.column(0).to_pylist(), LOT_BYTES):
+                at = np.frombuffer(b"".join(texts), "<u2").astype(np.int64)  # each text ends with an end
+                found, n = np.unique(np.append(end, at[:-1]) << 16 | at, return_counts=True)
                 keys.append(found)
                 counts.append(n)
                 if sum(map(len, keys)) > 2 * max(len(keys[0]), FOLD):
@@ -188,7 +189,7 @@ def bigrams(train: DataFrame, text: str, numbers: Numbers) -> DataFrame:
             yield from _rows(*_folded(keys, counts))
 
     path, both = shared_path(spark, "bigrams"), shared_path(spark, "neighbours")
-    merged(train.select(text).mapInArrow(run, PACKED).repartition("bucket"), False).write.parquet(path)
+    merged(lots.where("bucket is null and not held_out").select("items").mapInArrow(run, PACKED).repartition("bucket"), False).write.parquet(path)
     right = spark.read.schema(PACKED).parquet(path)
     left = merged(merged(right, True).repartition("bucket"), False)
     right.withColumn("side", F.lit(0)).unionByName(left.withColumn("side", F.lit(1))).write.parquet(both)
@@ -323,6 +324,7 @@ class Model:
     mass: np.ndarray
     n: int
     n_distinct: int
+    follows: np.ndarray
 
     @property
     def whole(self) -> float:
@@ -330,15 +332,39 @@ class Model:
 
 
 def train_model(train: DataFrame, text: str) -> tuple[Model, DataFrame]:
-    """The model, and (word, n) of all training words that aren't listed."""
-    counts = cut(word_counts(train, text))
+    """The model by forms, and (word, n) of all training words that aren't listed."""
+    found = listing(train, text)
+    lots = encoded(train.select(F.lit(0).alias("id"), F.lit(False).alias("held_out"), F.col(text).alias("text")), found)
+    return learnt(lots, found), found.rare
+
+
+@dataclass
+class Listing:
+    """Words to items, counts of listed words and of the end, (word, n) of other training words, all training tokens and distinct ones."""
+
+    numbers: Numbers
+    count: np.ndarray
+    rare: DataFrame
+    n: int
+    n_distinct: int
+
+
+def listing(train: DataFrame, text: str) -> Listing:
+    spark, path = train.sparkSession, shared_path(train.sparkSession, "counts")
+    word_counts(train, text).write.parquet(path)
+    counts = spark.read.schema("word binary, n long").parquet(path)
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(LEAST, math.ceil(n * SHARE))
     rows = counts.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).collect()  # 1 / SHARE at most, and the end
     known = {bytes(w): k for w, k in rows}
     listed = sorted((w for w in known if w != END), key=lambda w: (-known[w], w))
-    numbers = Numbers(listed)
-    rare = counts.where((F.col("n") < least) & (F.col("word") != F.lit(END)))
+    count = np.array([*(known[w] for w in listed), known.get(END, 0)], np.int64)
+    return Listing(Numbers(listed), count, counts.where((F.col("n") < least) & (F.col("word") != F.lit(END))), n, distinct)
+
+
+def learnt(lots: DataFrame, found: Listing) -> Model:
+    """Listed words and forms after exchange; other words have the class of their form."""
+    numbers, count = found.numbers, found.count
 
     def by_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
@@ -350,108 +376,378 @@ def train_model(train: DataFrame, text: str) -> tuple[Model, DataFrame]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(words[at])], names=["form", "total", "words"])
 
     sizes, words = np.zeros(numbers.size, np.int64), np.zeros(numbers.size, np.int64)
-    count = np.array([*(known[w] for w in listed), known.get(END, 0)], np.int64)
     sizes[: len(count)], words[: len(count)] = count, count > 0
-    for f, k, d in rare.mapInArrow(by_form, "form long, total long, words long").groupBy("form").agg(F.sum("total"), F.sum("words")).collect():
+    for f, k, d in found.rare.mapInArrow(by_form, "form long, total long, words long").groupBy("form").agg(F.sum("total"), F.sum("words")).collect():
         sizes[numbers.end + 1 + f], words[numbers.end + 1 + f] = k, d
     first = np.empty(numbers.size, np.int64)
     first[np.argsort(-sizes, kind="stable")] = np.arange(numbers.size) % CLASSES  # each class gets frequent and rare items
-    of, follows = cluster(bigrams(train, text, numbers), numbers.size, numbers.end, CLASSES, first)
+    of, follows = cluster(bigrams(lots, numbers.end), numbers.size, numbers.end, CLASSES, first)
     mass = np.append(np.bincount(of, sizes + ADD * words, CLASSES + 1), ADD)  # the last class is that of words never seen
-    seen, unseen = mass[:-1] / max(ADD, mass[:-1].sum()), mass[-1] / mass.sum()
+    return Model(numbers, count, of, steps_of(follows, mass[:-1]), mass, found.n, found.n_distinct, follows)
+
+
+def steps_of(follows: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """log10 of the steps from each class to each, and to words never seen."""
+    seen, unseen = mass / max(ADD, mass.sum()), ADD / (mass.sum() + ADD)
     steps = (1 - unseen) * (follows + PRIOR * seen) / (follows.sum(1, keepdims=True) + PRIOR)
-    steps = np.log10(np.maximum(1e-300, np.column_stack((steps, np.full(len(steps), unseen)))))
-    return Model(numbers, count, of, steps, mass, n, distinct), rare
+    return np.log10(np.maximum(1e-300, np.column_stack((steps, np.full(len(steps), unseen)))))
 
 
-def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, base_score, score) of each whole text in docs (id, held_out, text).
+def encoded(docs: DataFrame, found: Listing) -> DataFrame:
+    """docs (id, held_out, text) in lots of neighbouring texts, written as one table, whose rows are of two kinds.
 
-    A task scores listed words, and hands on each other word of a batch once, with the rows it stands in, how often, and the logs of
-    its steps; these meet the words' counts in a join. All that is written as one table first, so that a row's parts
-    stay together whatever is computed again. No word that isn't listed is frequent, and words never seen have one row a batch.
+    A text: its lot, id, held_out, items, and for each word that isn't listed its place among the lot's such words. A bucket of those
+    words (bucket not null): its words in the order of their places, and how many.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    id_type = docs.schema["id"].dataType
-    kinds = {"row": T.LongType(), "id": id_type, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
-    kinds |= {"word": T.BinaryType(), "found": T.BinaryType()}
-    schema = T.StructType([T.StructField(k, v) for k, v in kinds.items()])
-    arrow = [to_arrow_type(t) for t in kinds.values()]
+    sent, buckets = spark.sparkContext.broadcast(found.numbers), max(LEAST_WORD_BUCKETS, found.n // BUCKET_TOKENS)
+    schema = T.StructType([T.StructField("lot", T.LongType()), T.StructField("bucket", T.IntegerType()), docs.schema["id"], docs.schema["held_out"]])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema] + [T.StructField(c, T.BinaryType()) for c in ("items", "places", "words")] + [T.StructField("size", T.IntegerType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        numbers, n_listed = m.numbers, len(m.count)
-        log_count, base = np.log10(m.count + ADD), np.log10((m.count + ADD) / m.whole)
-        mass = np.log10(np.maximum(m.mass, 1e-300))
-        listed = m.count > 0
-        row = TaskContext.get().partitionId() << 33
+        numbers = sent.value
+        lot = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts, held = raw(batch.column(2)), 0
-            place: dict[bytes, int] = {}
-            rare: list[tuple] = []
-            for part, start in parts_of(texts):
-                words, at, before, of = sequence(part, numbers)
-                cls = m.class_of[at]
-                step = m.steps[m.class_of[before], cls] - mass[cls]
-                own = at < n_listed
-                own[own] = listed[at[own]]
-                known, there = at[own], of[own]
-                n_tokens, n_known = (np.bincount(x, minlength=len(part)) for x in (of, there))
-                logs = [np.bincount(there, w, len(part)).astype(float) for w in (base[known], step[own] + log_count[known])]
-                whole = [pa.array(np.arange(row, row + len(part))), *(batch.column(i).slice(start, len(part)) for i in (0, 1)), pa.array(n_tokens), pa.array(n_known), *map(pa.array, logs)]
-                yield pa.RecordBatch.from_arrays([*whole, *(pa.nulls(len(part), t) for t in arrow[7:])], names=schema.names)
-                others = np.flatnonzero(~own)
-                number = np.array([place.setdefault(words[k], len(place)) for k in others.tolist()], np.int64)
-                rare.append((number, of[others] + row, step[others]))
-                held += len(others)
-                row += len(part)
-                if held > RARE:
-                    yield by_word(place, rare)
-                    place, rare, held = {}, [], 0
-            if place:
-                yield by_word(place, rare)
-
-    def by_word(place: dict[bytes, int], rare: list[tuple]) -> pa.RecordBatch:
-        """A row for each word: the rows of texts that have it, how often, and the sums of their steps' logs."""
-        number, of, step = (np.concatenate(x) for x in zip(*rare, strict=True))
-        least = int(of.min())
-        wide = int(of.max()) - least + 1
-        key, at, times = np.unique(number * wide + (of - least), return_inverse=True, return_counts=True)
-        entries = np.empty(len(key), FOUND)
-        entries["row"], entries["times"], entries["log"] = key % wide + least, times, np.bincount(at, step, len(key))
-        ends = np.searchsorted(key, np.arange(len(place) + 1) * wide).astype(np.int32) * FOUND.itemsize
-        found = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(ends), pa.py_buffer(entries)])
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(place), t) for t in arrow[:7]), pa.array(place.keys(), pa.binary()), found], names=schema.names)
-
-    path = shared_path(spark, "scored")
+            for part, start in parts_of(raw(batch.column(2)), LOT_BYTES):
+                words, items, _, of = sequence(part, numbers)
+                others = np.flatnonzero(items > numbers.end)
+                rare = [words[k] for k in others.tolist()]
+                distinct = list(dict.fromkeys(rare))
+                bucket = np.fromiter(map(zlib.crc32, distinct), np.int64, len(distinct)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                place = dict(zip([distinct[k] for k in order.tolist()], range(len(order)), strict=True))
+                own = np.fromiter(map(place.__getitem__, rare), np.int64, len(rare))
+                cuts, rare_cuts = (np.searchsorted(x, np.arange(len(part) + 1)) for x in (of, of[others]))
+                ids, held = (batch.column(i).slice(start, len(part)) for i in (0, 1))
+                cells = [pa.array(np.full(len(part), lot)), pa.nulls(len(part), kinds[1]), ids, held, _slices(items.astype("<u2"), cuts), _slices(_small(own, len(place)), rare_cuts)]
+                yield pa.RecordBatch.from_arrays([*cells, *(pa.nulls(len(part), k) for k in kinds[6:])], names=schema.names)
+                if place:
+                    listed = list(place)
+                    kept, first = np.unique(bucket[order], return_index=True)
+                    ends = np.append(first, len(order))
+                    cells = [pa.array(np.full(len(kept), lot)), pa.array(kept, kinds[1]), *(pa.nulls(len(kept), k) for k in kinds[2:6])]
+                    cells += [pa.array([b" ".join(listed[i:j]) for i, j in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array(np.diff(ends), kinds[7])]
+                    yield pa.RecordBatch.from_arrays(cells, names=schema.names)
+                lot += 1
+
+    path = shared_path(spark, "lots")
     docs.select("id", "held_out", "text").mapInArrow(run, schema).write.parquet(path)
-    written = spark.read.schema(schema).parquet(path)
-    whole, unseen = model.whole, float(model.steps[0, -1])
+    return spark.read.schema(schema).parquet(path)
+
+
+def _small(places: np.ndarray, n: int) -> np.ndarray:
+    return places.astype("<u2" if n <= 1 << 16 else "<u4")
+
+
+def _slices(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of values between neighbouring cuts."""
+    ends = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def contexts(classes: np.ndarray, at: np.ndarray, place: np.ndarray, wide: int) -> np.ndarray:
+    """The classes before and behind each token in at, as one number; wide stands for the word itself. Every text ends with an end, so each token there has a next one."""
+    end = wide - 1
+    whole = np.full(len(classes), -1)
+    whole[at] = place
+    left, right = classes[at - 1], classes[at + 1]
+    left[at == 0] = end
+    left = np.where((at > 0) & (whole[at - 1] == place), wide, left)
+    return left * (wide + 1) + np.where(whole[at + 1] == place, wide, right)
+
+
+def by_bucket(place: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(times of each place, codes in the order of places, their cuts between buckets); bucket i has the places from ends[i] to ends[i + 1]."""
+    times = np.bincount(place, minlength=ends[-1])
+    cuts = np.append(0, np.cumsum(times))[ends]
+    return times.astype(np.min_scalar_type(int(times.max()))), codes[np.argsort(place, kind="stable")].astype("<u2"), cuts
+
+
+def _counts(cell: bytes, size: int) -> np.ndarray:
+    """So many whole numbers of one width."""
+    return np.frombuffer(cell, f"<u{len(cell) // size}").astype(np.int64)
+
+
+def best_classes(own: np.ndarray, right: np.ndarray, left: np.ndarray, self_n: np.ndarray, table: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """What best_class says of each of many words (rows of right and left), by the class bigrams that each of them touches."""
+    t, words = table.astype(float), np.arange(len(own))
+    gain = np.zeros((len(own), classes))
+
+    def side(near: np.ndarray, other: np.ndarray, t: np.ndarray) -> None:
+        """t: class bigrams by the neighbour's class and the word's. As if the word weren't in its own class, and then what that changes."""
+        to = t[:, :classes]
+        for k in range(1, min(STEPS, near.max(initial=0)) + 1):
+            gain[:] += (near == k).astype(float) @ (_f(to + k) - _f(to))
+        w, j = np.nonzero(near > STEPS)
+        if len(w):
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[first]] += np.add.reduceat(_f(to[j] + near[w, j][:, None]) - _f(to[j]), first)
+        w, j = np.nonzero(near)
+        k, o = near[w, j].astype(float), own[w]
+        now = t[j, o]
+        less = now - k - np.where(j == o, other[w, o] + self_n[w], 0)
+        gain[words, own] += np.bincount(w, _f(less + k) - _f(less) - _f(now + k) + _f(now), len(own))
+        m = np.flatnonzero(near[words, own])
+        w, c = np.nonzero(other[m, :classes])
+        w = m[w]
+        w, c = w[c != own[w]], c[c != own[w]]
+        k, now = near[w, own[w]], t[own[w], c]
+        less = now - other[w, c]
+        gain[w, c] += _f(less + k) - _f(less) - _f(now + k) + _f(now)
+
+    side(right, left, t.T)
+    side(left, right, t)
+    m = np.flatnonzero((self_n > 0) | ((right > 0) & (left > 0)).any(1))
+    r, n_left, s, d = right[m, :classes], left[m, :classes], self_n[m, None], np.repeat(np.diag(t)[None, :classes], len(m), 0)
+    d[np.arange(len(m)), own[m]] -= right[m, own[m]] + left[m, own[m]] + self_n[m]
+    gain[m] += _f(d + r + n_left + s) - _f(d + r) - _f(d + n_left) + _f(d)
+    for sums, n in ((t.sum(1), right.sum(1) + self_n), (t.sum(0), left.sum(1) + self_n)):
+        often, kind = np.unique(n, return_inverse=True)
+        more = _f(sums[:classes] + often[:, None]) - _f(sums[:classes])
+        gain -= more[kind]
+        gain[words, own] += more[kind, own] - _f(sums[own]) + _f(sums[own] - n)
+    best = gain.argmax(1)
+    return best, gain[words, best] - gain[words, own]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Sorted rows by their first column."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    return groupby(rows, key=itemgetter(0))
+
+
+def moves_of(cls: np.ndarray, number: np.ndarray, codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best class, its gain) of each word, whose contexts are codes, sorted by word. Words of one class that stand once, in the same context, are asked once."""
+    wide = len(table)
+    times = np.bincount(number, minlength=len(cls))
+    once = np.flatnonzero(times == 1)
+    _, at, back = np.unique(cls[once] * (wide + 1) ** 2 + codes[np.searchsorted(number, once)], return_index=True, return_inverse=True)
+    like = np.arange(len(cls))
+    like[once] = once[at[back]]
+    asked = np.flatnonzero((times > 0) & (like == np.arange(len(cls))))
+    to, gain = cls.copy(), np.zeros(len(cls))
+    is_asked = np.zeros(len(cls), bool)
+    is_asked[asked] = True
+    number, codes = np.searchsorted(asked, number[is_asked[number]]), codes[is_asked[number]]
+    for k in range(0, len(asked), AT_ONCE):
+        some = asked[k : k + AT_ONCE]
+        i, j = np.searchsorted(number, (k, k + AT_ONCE))
+        left, right = (np.bincount((number[i:j] - k) * (wide + 1) + c, minlength=len(some) * (wide + 1)).reshape(len(some), wide + 1) for c in np.divmod(codes[i:j], wide + 1))
+        to[some], gain[some] = best_classes(cls[some], right[:, :wide], left[:, :wide], right[:, wide], table, wide - 1)
+    return to[like], gain[like]
+
+
+def fitted(rows: DataFrame, model: Model, table: np.ndarray, least: float) -> DataFrame:
+    """Every word that isn't listed moves to its best class, if that gains more than least.
+
+    rows (bucket, lot, words, times, codes, numbers, cls, n): what a lot says of a bucket, in one row or more: how often each word stands in training, and
+    between which classes; the first time its words, later their numbers in the bucket, and lot -1 has the classes and counts so far. A word begins
+    in the class of its form. The result, written as one table: (bucket, lot, cls), the first time with numbers and n, and in lot -1 n, gains (of the moves) and mass (of classes).
+    """
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((model.class_of, model.numbers.end + 1, table))
+    wide = CLASSES + 1
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of, first_form, table = sent.value
+        for bucket, group in _grouped(batches):
+            lots: dict[int, dict[str, bytes]] = {}
+            for _, lot, *cells in group:
+                lots.setdefault(lot, {}).update((k, x) for k, x in zip(("words", "times", "codes", "numbers", "cls", "n"), cells, strict=True) if x is not None)
+            before = lots.pop(-1, None)
+            if before is None:
+                place: dict[bytes, int] = {}
+                numbers = {lot: np.array([place.setdefault(w, len(place)) for w in x.pop("words").split(b" ")], "<u4") for lot, x in lots.items()}
+                cls = class_of[np.array([first_form + form(w) for w in place], np.int64)]
+                del place
+            else:
+                numbers = {lot: np.frombuffer(x["numbers"], "<u4") for lot, x in lots.items()}
+                cls = np.frombuffer(before["cls"], "u1").astype(np.int64)
+            number = np.concatenate([np.repeat(numbers[lot], _counts(x["times"], len(numbers[lot]))) if "times" in x else numbers[lot][:0] for lot, x in lots.items()]).astype(np.int64)
+            codes = np.concatenate([np.frombuffer(x.get("codes", b""), "<u2") for x in lots.values()]).astype(np.int64)
+            n = np.bincount(number, minlength=len(cls)) if before is None else np.frombuffer(before["n"], "<u4").astype(np.int64)
+            gains = np.zeros(GAIN_BINS, np.int64)
+            if least < math.inf:
+                order = np.argsort(number, kind="stable")
+                number, codes = number[order], codes[order]
+                to, gain = moves_of(cls, number, codes, table)
+                m = gain > least
+                cls = np.where(m, to, cls)
+                gains += np.bincount(gain_bin(gain[m]), minlength=GAIN_BINS)
+            mass = np.bincount(cls[n > 0], n[n > 0] + ADD, wide)
+            small = cls.astype("u1")
+            cells = [(bucket, lot, None, small[i].tobytes(), None, None, None) for lot, i in numbers.items()]
+            if before is None:
+                cells = [(bucket, lot, i.tobytes(), cls, n[i].astype(np.min_scalar_type(int(n[i].max()))).tobytes(), None, None) for (_, lot, _, cls, *_), i in zip(cells, numbers.values(), strict=True)]
+            cells.append((bucket, -1, None, small.tobytes(), n.astype("<u4").tobytes(), gains.tobytes(), mass.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["bucket", "lot", "numbers", "cls", "n", "gains", "mass"])
+
+    path, schema = shared_path(spark, "fitted"), "bucket int, lot long, numbers binary, cls binary, n binary, gains binary, mass binary"
+    rows.select("bucket", "lot", "words", "times", "codes", "numbers", "cls", "n").repartition("bucket").sortWithinPartitions("bucket", "lot").mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def gain_bin(gain: np.ndarray) -> np.ndarray:
+    """Eight bins for each doubling, from 2^-24 up to 2^40."""
+    return np.clip(np.floor(8 * (np.log2(gain) + 24)), 0, GAIN_BINS - 1).astype(np.int64)
+
+
+def _met(lots: DataFrame, known: DataFrame, texts: list[str]) -> DataFrame:
+    """The texts of each lot behind what is known of its words (cls, n, size), by bucket, so that places count through the lot."""
+    few = lots.where("bucket is null").select("lot", "bucket", *texts)
+    rows = known.where("lot >= 0").unionByName(few, allowMissingColumns=True)
+    return rows.repartition("lot").sortWithinPartitions("lot", F.col("bucket").asc_nulls_last()).select(*known.columns, *texts)
+
+
+@dataclass
+class Lot:
+    """A lot's tokens one after the other: items, classes, texts, classes before; which aren't listed, and their places; counts by place."""
+
+    items: np.ndarray
+    cls: np.ndarray
+    of: np.ndarray
+    before: np.ndarray
+    others: np.ndarray
+    place: np.ndarray
+    n: np.ndarray
+
+
+def read_lot(known: list[bytes], counts: list[bytes], size: int, texts: list[tuple[bytes, bytes]], class_of: np.ndarray, end: int) -> Lot:
+    """known, counts: classes and counts of the lot's words, size in all, by bucket, if any are known; texts: (items, places) cells."""
+    items = np.frombuffer(b"".join(x for x, _ in texts), "<u2").astype(np.int64)
+    place = np.frombuffer(b"".join(x for _, x in texts), "<u2" if size <= 1 << 16 else "<u4").astype(np.int64)
+    sizes = np.array([len(x) // 2 for x, _ in texts], np.int64)
+    cls, others = class_of[items], np.flatnonzero(items > end)
+    if known:
+        cls[others] = np.frombuffer(b"".join(known), "u1")[place]
+    before = np.empty_like(cls)
+    before[1:] = cls[:-1]
+    before[np.cumsum(sizes) - sizes] = class_of[end]
+    n = np.concatenate([_counts(c, len(k)) for c, k in zip(counts, known, strict=True)]) if counts else np.zeros(0, np.int64)
+    return Lot(items, cls, np.repeat(np.arange(len(texts)), sizes), before, others, place, n)
+
+
+def measured(lots: DataFrame, known: DataFrame | None, model: Model) -> tuple[np.ndarray, DataFrame]:
+    """(class bigrams of the training texts, (bucket, lot, times, codes) of their words that aren't listed) by the classes in known, or by forms."""
+    spark = lots.sparkSession
+    sent, wide = spark.sparkContext.broadcast((model.class_of, model.numbers.end)), CLASSES + 1
+    names, kinds = ["bucket", "lot", "times", "codes", "bigrams"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (class_of, end), table = sent.value, np.zeros(wide * wide, np.int64)
+        for lot, group in _grouped(batches):
+            buckets, sizes, found, texts = [], [0], [], []
+            for _, bucket, cls, size, items, places in group:
+                if bucket is None:
+                    texts.append((items, places))
+                else:
+                    buckets.append(bucket)
+                    sizes.append(len(cls) if size is None else size)
+                    found += [] if cls is None else [cls]
+            if not texts:
                 continue
-            cells = batch.column(0).to_pylist()
-            entries = np.frombuffer(b"".join(cells), FOUND)
-            row, times, logs = (np.ascontiguousarray(entries[k]) for k in ("row", "times", "log"))
-            n = np.repeat(batch.column(1).fill_null(0).to_numpy(), [len(x) // FOUND.itemsize for x in cells])
-            base = times * np.log10((n + ADD) / whole)
-            own = np.where(n > 0, logs + times * np.log10(n + ADD), times * unseen)
-            rows, at = np.unique(row, return_inverse=True)
-            sums = [np.bincount(at, v, len(rows)) for v in (np.where(n > 0, times, 0), base, own)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["row", "n_known", "base_score", "score"])
-
-    met = written.where("word is not null").select("word", "found").join(rare, "word", "left")
-    added = met.select("found", "n").mapInArrow(joined, "row long, n_known long, base_score double, score double")
-    own = written.where("word is null").select("row", "id", "held_out", "n_tokens", "n_known", "base_score", "score")
-    every = own.unionByName(added, allowMissingColumns=True).groupBy("row")
-    sums = every.agg(*(F.max(c).alias(c) for c in ("id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
-    return sums.drop("row")
-
-
-def class_scores(docs: DataFrame, held_out: Callable[[Column], Column], id_column: str = "doc_id", text: str = "text") -> DataFrame:
+            ends = np.cumsum(sizes)
+            x = read_lot(found, [], int(ends[-1]), texts, class_of, end)
+            table += np.bincount(x.before * wide + x.cls, minlength=wide * wide)
+            if buckets:
+                times, codes, cuts = by_bucket(x.place, contexts(x.cls, x.others, x.place, wide), ends)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, kinds[0]), pa.array([lot] * len(buckets), kinds[1]), _slices(times, ends), _slices(codes, cuts), pa.nulls(len(buckets), kinds[4])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, table.tobytes()), kinds, strict=True)], names=names)
+
+    path, schema = shared_path(spark, "measured"), "bucket int, lot long, times binary, codes binary, bigrams binary"
+    if known is None:
+        known = lots.where("bucket is not null").select("lot", "bucket", F.lit(None).cast("binary").alias("cls"), "size")
+    else:
+        known = known.select("lot", "bucket", "cls", F.lit(None).cast("int").alias("size"))
+    _met(lots.where("not held_out"), known, ["items", "places"]).mapInArrow(run, schema).write.parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    table = np.zeros(wide * wide, np.int64)
+    for row in found.where("bigrams is not null").select("bigrams").toLocalIterator():
+        table += np.frombuffer(row[0], np.int64)
+    return table.reshape(wide, wide), found.where("bucket is not null").drop("bigrams")
+
+
+def exchanged(lots: DataFrame, model: Model, own_classes: bool) -> tuple[Model, DataFrame]:
+    """The model, and (lot, bucket, cls, n) of words that aren't listed. With own_classes, every training word that isn't listed is exchanged by itself too.
+
+    All of them are tried side by side against one table, and their moves are kept only if the likelihood of the bigrams, counted again over the texts,
+    rises; else the better half of them is tried. Passes go on until one of them gains next to nothing.
+    """
+    table, least, first = model.follows, 1e-6 if own_classes else math.inf, None
+    none = F.lit(None).cast("binary")
+    rows = measured(lots, None, model)[1].unionByName(lots.where("bucket is not null").select("bucket", "lot", "words"), allowMissingColumns=True)
+    rows = rows.select("*", *(none.alias(c) for c in ("numbers", "cls", "n")))
+    while True:
+        known = fitted(rows, model, table, least)
+        gains, mass = np.zeros(GAIN_BINS, np.int64), np.zeros(CLASSES + 1)
+        for a, b in known.where("lot = -1").select("gains", "mass").toLocalIterator():
+            gains += np.frombuffer(a, np.int64)
+            mass += np.frombuffer(b, float)
+        if not gains.any():
+            break
+        found, near = measured(lots, known, model)
+        rise = likelihood(found) - likelihood(table)
+        if rise <= 0:  # one bin at least is left out
+            middle = int(np.searchsorted(np.cumsum(gains), gains.sum() / 2))
+            least = 2.0 ** ((middle + 1) / 8 - 24)
+            continue
+        first = known if first is None else first
+        last, table, least = rise <= LEAST_GAIN * abs(likelihood(table)), found, 1e-6
+        if last:
+            break
+        numbers, so_far = first.where("lot >= 0").select("bucket", "lot", "numbers"), known.where("lot < 0").select("bucket", "lot", "cls", "n")
+        rows = near.unionByName(numbers, allowMissingColumns=True).unionByName(so_far, allowMissingColumns=True).withColumn("words", none)
+    listed = np.arange(len(model.class_of)) <= model.numbers.end
+    mass += np.bincount(model.class_of[listed], np.where(model.count > 0, model.count + ADD, 0), CLASSES + 1)
+    return replace(model, follows=table, mass=np.append(mass, ADD), steps=steps_of(table, mass)), known.select("lot", "bucket", "cls").unionByName((known if first is None else first).select("lot", "bucket", "n"), allowMissingColumns=True)
+
+
+def score(lots: DataFrame, known: DataFrame, model: Model) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, base_score, score) of each whole text in lots, by the classes and counts of words in known."""
+    sent = lots.sparkSession.sparkContext.broadcast(replace(model, numbers=None))
+    end = model.numbers.end
+    schema = T.StructType([lots.schema["id"], lots.schema["held_out"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    id_type = to_arrow_type(lots.schema["id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        mass, unseen = np.log10(np.maximum(m.mass, 1e-300)), m.steps[0, -1]
+        for _, group in _grouped(batches):
+            found, counts, texts, ids, held = [], [], [], [], []
+            for _, bucket, cls, n, items, places, i, h in group:
+                if bucket is None:
+                    texts.append((items, places))
+                    ids.append(i)
+                    held.append(h)
+                else:
+                    found += [] if cls is None else [cls]
+                    counts += [] if n is None else [n]
+            x = read_lot(found, counts, sum(map(len, found)), texts, m.class_of, end)
+            n = m.count[np.minimum(x.items, end)]
+            n[x.others] = x.n[x.place]
+            log = np.log10(n + ADD)
+            own = np.where(n > 0, m.steps[x.before, x.cls] - mass[x.cls] + log, unseen)
+            sums = [np.bincount(x.of, w, len(texts)) for w in (None, n > 0, log - np.log10(m.whole), own)]
+            cells = [pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), *map(pa.array, sums[2:])]
+            yield pa.RecordBatch.from_arrays(cells, names=schema.names)
+
+    return _met(lots, known, ["items", "places", "id", "held_out"]).mapInArrow(run, schema)
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffled files of each query are deleted when it ends: what is read again is written as tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def class_scores(docs: DataFrame, held_out: Callable[[Column], Column], id_column: str = "doc_id", text: str = "text", own_classes: bool = False) -> DataFrame:
     """One row a document: id, held_out, n_tokens (the end counts as one), n_known (in training),
     train_tokens, base_score (smoothed unigrams) and score (the class model), both log10.
 
@@ -459,8 +755,12 @@ def class_scores(docs: DataFrame, held_out: Callable[[Column], Column], id_colum
     the end. Repeated rows count as often as they stand there, and each has its own row. Words of equal
     count stand in order of their bytes. Without training texts every word is unknown, an empty table
     gives no rows. Words are listed by their counts alone, whatever their lengths. Further columns are not read.
+    own_classes: training words that aren't listed leave the class of their form for the one they fit best by themselves.
     """
     own = docs.select(F.col(id_column).alias("id"), held_out(F.col(id_column)).alias("held_out"), F.col(text).alias("text"))
-    model, rare = train_model(own.where(~F.col("held_out")), "text")
-    scored = score(own, model, rare)
+    with freed(own.sparkSession):
+        words = listing(own.where(~F.col("held_out")), "text")
+        lots = encoded(own, words)
+        model, known = exchanged(lots, learnt(lots, words), own_classes)
+    scored = score(lots, known, model)
     return scored.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
