@@ -9,7 +9,8 @@ exchanged like a word. So each word has a class, learnt from the corpus, as a wo
 * Items of a part are tried side by side against one table of class bigrams, by their own neighbours' classes; a part's
   moves are kept only if the recomputed likelihood rises; else the better half of them is tried. Passes go on until one
   of them gains next to nothing.
-* Counts of all words stay a distributed table, which grows with the corpus; texts' other words meet it in a join.
+* Then every other training word is exchanged by itself (op5 asks for it). Texts stay in lots as items; a lot's other words go to
+  buckets of words, packed, and their classes come back, so that class bigrams and scores are of each word's own class.
 """
 
 from __future__ import annotations
@@ -188,12 +189,11 @@ def bigrams(lots: DataFrame, end: int) -> DataFrame:
         if keys:
             yield from _rows(*_folded(keys, counts))
 
-    path, both = shared_path(spark, "bigrams"), shared_path(spark, "neighbours")
+    path = shared_path(spark, "bigrams")
     merged(lots.where("bucket is null and not held_out").select("items").mapInArrow(run, PACKED).repartition("bucket"), False).write.parquet(path)
     right = spark.read.schema(PACKED).parquet(path)
     left = merged(merged(right, True).repartition("bucket"), False)
-    right.withColumn("side", F.lit(0)).unionByName(left.withColumn("side", F.lit(1))).write.parquet(both)
-    return spark.read.schema(PACKED + ", side int").parquet(both)
+    return right.withColumn("side", F.lit(0)).unionByName(left.withColumn("side", F.lit(1)))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -432,7 +432,7 @@ def encoded(docs: DataFrame, found: Listing) -> DataFrame:
                 lot += 1
 
     path = shared_path(spark, "lots")
-    docs.select("id", "held_out", "text").mapInArrow(run, schema).write.parquet(path)
+    docs.select("id", "held_out", "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -538,7 +538,7 @@ def moves_of(cls: np.ndarray, number: np.ndarray, codes: np.ndarray, table: np.n
     return to[like], gain[like]
 
 
-def fitted(rows: DataFrame, model: Model, table: np.ndarray, least: float) -> DataFrame:
+def fitted(rows: DataFrame, model: Model, table: np.ndarray, least: float, path: str) -> DataFrame:
     """Every word that isn't listed moves to its best class, if that gains more than least.
 
     rows (bucket, lot, words, times, codes, numbers, cls, n): what a lot says of a bucket, in one row or more: how often each word stands in training, and
@@ -583,8 +583,8 @@ def fitted(rows: DataFrame, model: Model, table: np.ndarray, least: float) -> Da
             cells.append((bucket, -1, None, small.tobytes(), n.astype("<u4").tobytes(), gains.tobytes(), mass.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["bucket", "lot", "numbers", "cls", "n", "gains", "mass"])
 
-    path, schema = shared_path(spark, "fitted"), "bucket int, lot long, numbers binary, cls binary, n binary, gains binary, mass binary"
-    rows.select("bucket", "lot", "words", "times", "codes", "numbers", "cls", "n").repartition("bucket").sortWithinPartitions("bucket", "lot").mapInArrow(run, schema).write.parquet(path)
+    schema = "bucket int, lot long, numbers binary, cls binary, n binary, gains binary, mass binary"
+    rows.select("bucket", "lot", "words", "times", "codes", "numbers", "cls", "n").repartition("bucket").sortWithinPartitions("bucket", "lot").mapInArrow(run, schema).write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -628,7 +628,7 @@ def read_lot(known: list[bytes], counts: list[bytes], size: int, texts: list[tup
     return Lot(items, cls, np.repeat(np.arange(len(texts)), sizes), before, others, place, n)
 
 
-def measured(lots: DataFrame, known: DataFrame | None, model: Model) -> tuple[np.ndarray, DataFrame]:
+def measured(lots: DataFrame, known: DataFrame | None, model: Model, path: str) -> tuple[np.ndarray, DataFrame]:
     """(class bigrams of the training texts, (bucket, lot, times, codes) of their words that aren't listed) by the classes in known, or by forms."""
     spark = lots.sparkSession
     sent, wide = spark.sparkContext.broadcast((model.class_of, model.numbers.end)), CLASSES + 1
@@ -655,12 +655,12 @@ def measured(lots: DataFrame, known: DataFrame | None, model: Model) -> tuple[np
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, kinds[0]), pa.array([lot] * len(buckets), kinds[1]), _slices(times, ends), _slices(codes, cuts), pa.nulls(len(buckets), kinds[4])], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, table.tobytes()), kinds, strict=True)], names=names)
 
-    path, schema = shared_path(spark, "measured"), "bucket int, lot long, times binary, codes binary, bigrams binary"
+    schema = "bucket int, lot long, times binary, codes binary, bigrams binary"
     if known is None:
         known = lots.where("bucket is not null").select("lot", "bucket", F.lit(None).cast("binary").alias("cls"), "size")
     else:
         known = known.select("lot", "bucket", "cls", F.lit(None).cast("int").alias("size"))
-    _met(lots.where("not held_out"), known, ["items", "places"]).mapInArrow(run, schema).write.parquet(path)
+    _met(lots.where("not held_out"), known, ["items", "places"]).mapInArrow(run, schema).write.mode("overwrite").parquet(path)
     found = spark.read.schema(schema).parquet(path)
     table = np.zeros(wide * wide, np.int64)
     for row in found.where("bigrams is not null").select("bigrams").toLocalIterator():
@@ -676,22 +676,25 @@ def exchanged(lots: DataFrame, model: Model, own_classes: bool) -> tuple[Model,
     """
     table, least, first = model.follows, 1e-6 if own_classes else math.inf, None
     none = F.lit(None).cast("binary")
-    rows = measured(lots, None, model)[1].unionByName(lots.where("bucket is not null").select("bucket", "lot", "words"), allowMissingColumns=True)
+    start, *later, near, other = (shared_path(lots.sparkSession, k) for k in ("fitted", "fitted", "fitted", "near", "near"))
+    nears, turn = (near, other), 1  # a pass overwrites what the last but one wrote
+    rows = measured(lots, None, model, near)[1].unionByName(lots.where("bucket is not null").select("bucket", "lot", "words"), allowMissingColumns=True)
     rows = rows.select("*", *(none.alias(c) for c in ("numbers", "cls", "n")))
     while True:
-        known = fitted(rows, model, table, least)
+        known = fitted(rows, model, table, least, start if first is None else later[turn])
         gains, mass = np.zeros(GAIN_BINS, np.int64), np.zeros(CLASSES + 1)
         for a, b in known.where("lot = -1").select("gains", "mass").toLocalIterator():
             gains += np.frombuffer(a, np.int64)
             mass += np.frombuffer(b, float)
         if not gains.any():
             break
-        found, near = measured(lots, known, model)
+        found, near = measured(lots, known, model, nears[turn])
         rise = likelihood(found) - likelihood(table)
         if rise <= 0:  # one bin at least is left out
             middle = int(np.searchsorted(np.cumsum(gains), gains.sum() / 2))
             least = 2.0 ** ((middle + 1) / 8 - 24)
             continue
+        turn = 1 - turn
         first = known if first is None else first
         last, table, least = rise <= LEAST_GAIN * abs(likelihood(table)), found, 1e-6
         if last:
