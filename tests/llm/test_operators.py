@@ -184,6 +184,32 @@ def test_keep_one_is_that_of_all_jaccard_pairs(spark, monkeypatch, few, block, h
     assert kept == set(least_ids(rows, roots))
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_keep_one_in_parts_leaves_no_posts_and_no_shuffled_files(spark, monkeypatch, copies):
+    """Posts in parts and texts in lots give the groups of all pairs, where most rows stay and where most go; what was written for them is gone."""
+    from pathlib import Path
+
+    from tidewell.llm import base
+
+    monkeypatch.setattr(simhash, "POSTS", 100)
+    monkeypatch.setattr(simhash, "SENT", 20)
+    dirs = [Path(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffled = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    posts = lambda: set(Path(base.shared_dir(spark).removeprefix("file:")).glob("posts-*"))
+    texts = similar_texts(4)[::2] * copies
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shuffled(), posts()
+    found = simhash.keep_one(frame)
+    assert not posts() - before[1]
+    # what the check for repeated ids shuffled may still be there: a few bytes
+    assert sum(f.stat().st_size for f in shuffled() - before[0]) < 20_000
+    roots = plain_components(plain_sets(texts), lambda a, b: jaccard(a, b) >= 0.8)
+    kept = [r.doc_id for r in found.collect()]
+    assert sorted(kept) == sorted(set(least_ids(rows, roots)))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") != "true"
+
+
 def test_recall_over_the_given_documents(spark):
     """All pairs of the whole table, through the shingles that any two texts share: none of similarity 0.8 is parted."""
     path = "/root/testdata/sf0.01/documents.parquet"

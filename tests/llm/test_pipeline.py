@@ -91,6 +91,17 @@ def test_run_is_what_the_rules_say(spark, folder):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_run_keeps_no_stage_but_the_last(spark, folder):
+    from pathlib import Path
+
+    from tidewell.llm.base import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("pipeline-*"))
+    found = corpus_pipeline.run(spark, folder[0])
+    assert [p.name.split("-")[1] for p in set(shared.glob("pipeline-*")) - before] == ["shards"] and found.count()
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -19,7 +19,6 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from itertools import chain, groupby
 from operator import itemgetter
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.base import cut, raw, shared_path
+from tidewell.llm.base import cut, freed, raw, shared_path
 
 #: Words of this share of all training tokens, and LEAST occurrences, are items of their own; others are known by form.
 SHARE, LEAST, FORMS, CLASSES = 2.0**-15, 2, 4_096, 48
@@ -738,18 +737,6 @@ def score(lots: DataFrame, known: DataFrame, model: Model) -> DataFrame:
     return _met(lots, known, ["items", "places", "id", "held_out"]).mapInArrow(run, schema)
 
 
-@contextmanager
-def freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, the shuffled files of each query are deleted when it ends: what is read again is written as tables."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def class_scores(docs: DataFrame, held_out: Callable[[Column], Column], id_column: str = "doc_id", text: str = "text", own_classes: bool = False) -> DataFrame:
     """One row a document: id, held_out, n_tokens (the end counts as one), n_known (in training),
     train_tokens, base_score (smoothed unigrams) and score (the class model), both log10.

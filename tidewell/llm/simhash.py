@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.base import HOT, SALTS, SMALL_ROWS, cut, hot_keys, in_few_tasks, lots, per_text, raw, shared_path, tasks_for, with_keyed, with_small
+from tidewell.llm.base import HOT, SALTS, cut, freed, hot_keys, in_few_tasks, lots, per_text, raw, shared_path, tasks_for, with_keyed, with_small
+from tidewell.operators.postings import drop
 
 SEED = 42
 #: The trees' tops are grown from one fingerprint in SHARE, SAMPLE of them at most, and as many of them a shard at least.
@@ -302,6 +304,8 @@ NARROW_ROWS = 2_000_000
 COUNTERS, REPORTED = 1 << 24, 3
 #: Shingles that a task holds before it counts them.
 FOLD = 1 << 19
+#: Posts (a shingle of a text's prefix each) that are shuffled at once, in so many parts at most; and rows whose texts are.
+POSTS, PARTS, SENT = 1 << 24, 16, 1 << 19
 
 
 def majority(hashes: np.ndarray, block: int = 65_536) -> np.uint64:
@@ -411,12 +415,13 @@ def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 SMALLER = "9 * (n - place) >= 8 * n"
 
 
-def sharing(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(a, b, many): nodes of docs (node, text) that share a shingle of their prefixes and may be similar by it.
+def sharing(docs: DataFrame, common: np.ndarray, parts: int = 1) -> DataFrame:
+    """(a, b, many): nodes of docs (node, text) that share a shingle of their prefixes and may be similar by it; a cut table.
 
     Where up to FEW nodes share one, their pairs; where many do, each of them with the least. Nodes of a shingle that tasks reported as
     common are first met in salted parts, and each part that has many hands on one for all. So no key has more rows than FEW for
-    each salt, or those that single tasks don't report.
+    each salt, or those that single tasks don't report. Shingles meet in so many parts, one after the other, so that no more
+    than a part of all posts is shuffled at once; posts are written once and go when all have met.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common)
     names, kinds = ["shingle", "salt", "node", "n", "place", "stands"], "shingle long, salt int, node long, n int, place int, stands boolean"
@@ -492,17 +497,23 @@ def sharing(docs: DataFrame, common: np.ndarray) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0].copy()), pa.array(edge[:, 1].copy()), pa.array(np.ones(len(edge), bool))], names=["a", "b", "many"])
 
     posts = docs.select("node", "text").mapInArrow(send, kinds)
-    path = shared_path(docs.sparkSession, "posts")
-    posts.write.parquet(path)
-    posts = docs.sparkSession.read.schema(kinds).parquet(path)
+    path, part = shared_path(docs.sparkSession, "posts"), F.pmod("shingle", F.lit(parts)).cast("int")
+    posts.withColumn("part", part).write.partitionBy("part").parquet(path)
+    posts = docs.sparkSession.read.schema(f"{kinds}, part int").parquet(path)
     # as able(), by the least and largest size of nodes that may be the smaller of two
     size = F.when(F.expr(SMALLER), F.col("n"))
     sizes = in_few_tasks(cut(posts.where("salt >= 0").groupBy(F.col("shingle").alias("_tw_shingle")).agg(F.min(size).alias("low"), F.max(size).alias("high")).where("low is not null")))
-    reported = with_small(posts.where("salt >= 0"), sizes, "shingle", "_tw_shingle", F.col("node"))
+    reported = with_small(posts.where("salt >= 0").drop("part"), sizes, "shingle", "_tw_shingle", F.col("node"))
     reported = reported.where(F.expr(SMALLER) | F.expr("5 * high >= 4 * n and low <= n and 4 * low <= 9 * (n - place) - 4 * n")).select(*names)
     gathered = in_few_tasks(cut(reported.repartition("shingle", "salt").mapInArrow(gather, kinds)))
-    met = posts.where("salt < 0").unionByName(gathered.where("n >= 0")).repartition("shingle").mapInArrow(meet, "a long, b long, many boolean")
-    return met.unionByName(gathered.where("n < 0").select(F.col("shingle").alias("a"), F.col("node").alias("b"), F.lit(True).alias("many"))).distinct()
+    found = gathered.where("n < 0").select(F.col("shingle").alias("a"), F.col("node").alias("b"), F.lit(True).alias("many"))
+    for k in range(parts):
+        own = posts.where((F.col("part") == k) & (F.col("salt") < 0)).drop("part").unionByName(gathered.where((part == k) & (F.col("n") >= 0)))
+        met = own.repartition("shingle").mapInArrow(meet, "a long, b long, many boolean")
+        found = found.unionByName(met if parts == 1 else cut(met.distinct()))
+    found = cut(found.distinct())
+    drop(docs.sparkSession, path)
+    return found
 
 
 def able(n: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -579,6 +590,18 @@ def with_texts(texts: DataFrame, few: DataFrame) -> DataFrame:
     return texts.select("id", "text").join(spread(few), F.col("id") == F.col("first_id")).drop("id", "first_id")
 
 
+def in_lots(few: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What work makes of few, a cut table of narrow rows with whose texts it deals by keys: SENT rows or so at a time, each lot's result cut.
+
+    So the texts that are shuffled at once are bounded, and a lot is small enough to be broadcast to where the texts are.
+    """
+    n = max(1, -(-few.count() // SENT))
+    if n == 1:
+        return work(few)
+    lot = F.pmod(F.xxhash64(*keys), F.lit(n))
+    return reduce(DataFrame.unionByName, [cut(work(few.where(lot == k))) for k in range(n)])
+
+
 def verified(edges: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of edges (a, b; a cut table) whose nodes' Jaccard similarity is 0.8 or more.
 
@@ -590,7 +613,7 @@ def verified(edges: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame
     salt = F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("count") / HOT), F.lit(1)))
     dealt = cut(with_small(edges, cut(hubs.coalesce(tasks)), "a", "_tw_hub", F.col("b"), "left").select("a", salt.alias("salt"), "b"))
     sides = dealt.select("a", "salt", F.lit(True).alias("other"), F.col("b").alias("node")).unionByName(dealt.select("a", "salt").distinct().select("*", F.lit(False).alias("other"), F.col("a").alias("node")))
-    rows = with_texts(texts, cut(sides.join(points.select("node", "first_id").hint("merge"), "node").coalesce(tasks)))
+    sides = cut(sides.join(points.select("node", "first_id").hint("merge"), "node").coalesce(tasks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, np.zeros(0, np.uint64)
@@ -605,8 +628,12 @@ def verified(edges: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame
                     found.append((a[k], node[k]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    # false sorts first: the hub stands before its edges
-    return rows.select("a", "salt", "other", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(run, "a long, b long")
+    def compared(few: DataFrame) -> DataFrame:
+        rows = with_texts(texts, few).select("a", "salt", "other", "node", "text")
+        # false sorts first: the hub stands before its edges
+        return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(run, "a long, b long")
+
+    return in_lots(sides, ["a", "salt"], compared)
 
 
 def in_units(asked: DataFrame) -> DataFrame:
@@ -681,13 +708,14 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     sure = cut(verified(near, points, own))
     label = components(sure).select("node", F.col("root.node").alias("label"))
     points = cut(points.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")).coalesce(tasks))
-    shared = in_few_tasks(cut(sharing(own, common)))
+    posts = marked.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
+    shared = in_few_tasks(sharing(own, common, min(PARTS, max(1, -(-posts // POSTS)))))
     paired = verified(cut(likely(shared.where("not many").select("a", "b"), points)), points, own)
     maybe = components(shared.where("many").select("a", "b")).select("node", F.col("root.node").alias("root"))
     asked = cut(maybe.join(points.select("node", "first_id", "label", "n").hint("merge"), "node").coalesce(tasks))
     open_ = asked.groupBy("root").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(F.col("root").alias("_tw_open"))
     asked = cut(with_small(asked, cut(open_.coalesce(tasks)), "root", "_tw_open", F.col("node")).drop("_tw_open"))
-    more = joined_within(with_texts(own, in_few_tasks(cut(in_units(asked)))))
+    more = in_lots(in_few_tasks(cut(in_units(asked))), ["unit"], lambda few: joined_within(with_texts(own, few)))
     found = in_few_tasks(cut(paired.unionByName(more)))
     for k, other in (("a", "b"), ("b", "a")):  # links between what is linked already: no hub of a large group is gone through again
         of = points.select(F.col("node").alias("_tw_node"), F.col("label").alias("_tw_of"))
@@ -712,6 +740,10 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
 
 def _without_later(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    gone = cut(similar_groups(docs, id_column, text).where("id <> component_id").select(F.col("id").alias("_tw_gone")))
-    few = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone
-    return docs.join(few, docs[id_column] == gone["_tw_gone"], "left_anti")
+    """keep_one for unique ids. While groups are found, no query's shuffled files outlive it; then texts stay where they are
+    if those that go, or those that stay, are few enough to be broadcast."""
+    with freed(docs.sparkSession):
+        of = cut(similar_groups(docs, id_column, text).select(F.col("id").alias("_tw_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("stays")))
+        n, stay = of.agg(F.count("*"), F.count_if("stays")).first()
+        few = spread(of.where("stays" if 2 * stay <= n else "not stays").select("_tw_id"))
+    return docs.join(few, docs[id_column] == few["_tw_id"], "left_semi" if 2 * stay <= n else "left_anti")
