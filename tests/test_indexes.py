@@ -300,3 +300,37 @@ def test_best_path_is_that_of_a_plain_walk(monkeypatch):
     monkeypatch.setattr(segment, "KNOWN", 5)
     first = [cutter.cut(r) for r in runs]
     assert [cutter.cut(r) for r in runs] == first == [cutter._cut(r) for r in runs] and len(cutter.runs) <= 5
+
+
+def test_vector_lists_are_one_file_each_however_many_tasks_read(spark, tmp_path):
+    own = np.random.default_rng(6).normal(size=(800, 4))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(own.tolist())], "vec_id long, embedding array<double>").repartition(16)
+    index = vectors.create(rows, str(tmp_path / "dealt"), lists=6, squared_l2=True)
+    assert len(list((tmp_path / "dealt" / "lists").rglob("*.parquet"))) <= 12  # 6 lists; a file for each list and task were 96
+    assert Counter(i for b in index.blocks.collect() for i in b.ids) == {i: 2 for i in range(800)}
+    for b in index.blocks.collect():
+        assert np.allclose(np.frombuffer(b.vectors, "<f4").reshape(-1, 4), own[b.ids])
+    again = vectors.create(rows.repartition(3), str(tmp_path / "again"), lists=6, squared_l2=True)
+    assert np.array_equal(index.centroids, again.centroids)  # the sample doesn't depend on how rows lie
+
+
+def test_two_nearest_are_the_first_of_the_sorted():
+    d = np.random.default_rng(7).integers(0, 4, (500, 9)).astype(float)
+    d[:5] = np.inf
+    d[5:9, 1:] = np.inf
+    for most in (1, 2, 3):
+        assert np.array_equal(vectors._least(d.copy(), most), np.argsort(d, 1, kind="stable")[:, :most])
+    assert vectors._least(d[:, :1].copy(), 2).tolist() == [[0]] * 500
+
+
+def test_piece_vectors_row_by_row_are_those_of_counts(spark):
+    from tidewell.functions import text as X
+    from tidewell.plans import indexes
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"wört{i}" for i in rng.integers(0, 90, n)) for n in rng.integers(0, 120, 60)] + ["", None, "...", "A a É"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, "once more"), (9, ""), (None, "no id"), (None, "nor here"), (-1, "x")]
+    pieces = spark.createDataFrame(rows, "doc long, piece string")
+    want = search.hashed_vectors(pieces.select("doc", X.tokens(F.col("piece")).alias("tokens"))).collect()
+    key = lambda r: (r.doc is None, r.doc or 0)
+    assert sorted(indexes._piece_vectors(pieces).collect(), key=key) == sorted(want, key=key) and len(want) > 55

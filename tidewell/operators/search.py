@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,6 +141,24 @@ def hashed_vectors(docs: DataFrame, dims: int = 64) -> DataFrame:
     return of.select("doc", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).alias("vector"))
 
 
+def hashed_rows(docs: DataFrame, dims: int = 64) -> DataFrame:
+    """hashed_vectors of documents each of which is one row: the same vectors, made row by row without a shuffle."""
+    schema = T.StructType([docs.schema["doc"], T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            words = batch.column(1).flatten().dictionary_encode()
+            bucket = np.array([int(md5(w).hexdigest()[:8], 16) % dims for w in words.dictionary.cast(pa.binary()).to_pylist()], np.int64)  # as X.hash_bucket
+            place = np.repeat(np.arange(batch.num_rows) * dims, sizes) + bucket[words.indices.to_numpy()]
+            counts = np.bincount(place, minlength=batch.num_rows * dims).reshape(-1, dims)[sizes > 0]
+            vector = counts / np.sqrt((counts * counts).sum(1))[:, None]
+            ends = pa.array(np.arange(len(counts) + 1) * dims, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(sizes > 0)), pa.ListArray.from_arrays(ends, pa.array(vector.ravel()))], names=schema.names)
+
+    return docs.select("doc", "tokens").mapInArrow(run, schema)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", squared_l2: bool = False) -> DataFrame:
     """(query, doc, score, rank) by exact inner product, or by squared distance (lower is better).
 

@@ -41,11 +41,23 @@ def _far(x: np.ndarray, y: np.ndarray, squared_l2: bool) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T if squared_l2 else -(x @ y.T)
 
 
+def _least(d: np.ndarray, most: int) -> np.ndarray:
+    """The columns of the `most` least values of each row, ties by column; d is written over."""
+    if most > 2:
+        return np.argsort(d, 1, kind="stable")[:, :most].copy()
+    first = np.argmin(d, 1)
+    if most == 1 or d.shape[1] == 1:
+        return first[:, None]
+    d[np.arange(len(d)), first] = np.inf
+    second = np.argmin(d, 1)
+    return np.column_stack((first, np.where(second == first, first == 0, second)))  # equal where all others are infinite
+
+
 def _nearest(x: np.ndarray, centre: np.ndarray, most: int, squared_l2: bool) -> np.ndarray:
     """The `most` centres nearest to each x, nearest first, for some rows of x at a time."""
     step = max(1, CELLS // len(centre))
     far = (_far(x[at : at + step], centre, squared_l2) for at in range(0, len(x), step))
-    found = [np.argmin(d, 1)[:, None] if most == 1 else np.argsort(d, 1, kind="stable")[:, :most].copy() for d in far]
+    found = [_least(d, most) for d in far]
     return np.concatenate(found) if found else np.zeros((0, min(most, len(centre))), np.int64)
 
 
@@ -81,8 +93,9 @@ def create(vectors: DataFrame, path: str | None = None, id_column: str = "vec_id
     """Index all vectors at path (else in the shared folder); null vectors are left out. No vectors: ValueError.
 
     Centroids come from SAMPLE vectors chosen by a hash of their ids; their number is about the root of the number of vectors. Every vector
-    is written to its two nearest lists. Nothing is shuffled: a task packs the vectors it reads into rows of some BLOCK of a list, or of what it
-    has when it holds HELD_BYTES.
+    is written to its two nearest lists. A task packs the vectors it reads into rows of some BLOCK of a list, or of what it has when it holds
+    HELD_BYTES. These rows are dealt by list and joined to larger ones there, so that a list is about one file however many tasks read
+    vectors; a list of very many is parted. vectors is read three times: it should be a table.
     """
     spark = vectors.sparkSession
     path = path or shared_path(spark, "vectors")
@@ -91,7 +104,8 @@ def create(vectors: DataFrame, path: str | None = None, id_column: str = "vec_id
     if not n:
         raise ValueError("there are no vectors to index")
     share = min(1.0, 1.2 * SAMPLE / n)
-    chosen = own.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select("v").limit(SAMPLE).toPandas()["v"].tolist() or [own.first()["v"]]
+    drawn = own.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(SAMPLE)
+    chosen = drawn.select("v").toPandas()["v"].tolist() or [own.first()["v"]]
     sample = np.array(chosen, float)
     lists = min(lists or max(1, round(n**0.5)), LISTS, len(sample))
     centre = centroids(sample, lists, squared_l2)
@@ -112,7 +126,7 @@ def create(vectors: DataFrame, path: str | None = None, id_column: str = "vec_id
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, v = batch.column(0).to_pylist(), np.array(batch.column(1).to_numpy(zero_copy_only=False).tolist(), float)
+            ids, v = batch.column(0).to_pylist(), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             near, most = _nearest(v, centre, 2, squared_l2), HELD_BYTES // (4 * v.shape[1])
             of = np.repeat(np.arange(len(ids)), near.shape[1])
             order = np.argsort(near.ravel(), kind="stable")
@@ -128,7 +142,26 @@ def create(vectors: DataFrame, path: str | None = None, id_column: str = "vec_id
         for k in sorted(held):
             yield row(k)
 
-    own.mapInArrow(pack, schema).write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a list follow each other, and become rows of up to BLOCK vectors and HELD_BYTES where they were smaller."""
+        held, n, size = [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            ids = pa.concat_arrays([x.values for _, x, _ in held])
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([b"".join(v for _, _, v in held)], pa.binary())], names=schema.names)
+
+        for batch in batches:
+            for k, ids, v in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if held and (k != held[0][0] or n + len(ids) > BLOCK or size + len(v) > HELD_BYTES):
+                    yield row()
+                    held, n, size = [], 0, 0
+                held.append((k, ids, v))
+                n, size = n + len(ids), size + len(v)
+        if held:
+            yield row()
+
+    dealt = own.mapInArrow(pack, schema).hint("rebalance", F.col("list")).sortWithinPartitions("list")
+    dealt.mapInArrow(join, schema).write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
     probes = probes_for(sample, centre, squared_l2)
     rows = [(i, [float(x) for x in c], squared_l2, probes) for i, c in enumerate(centre)]
     spark.createDataFrame(rows, "list int, centre array<double>, squared_l2 boolean, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")

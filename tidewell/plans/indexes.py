@@ -65,14 +65,21 @@ def vector_index_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
     return steps[0].unionByName(steps[1]).unionByName(steps[2]).unionByName(steps[3])
 
 
+def _piece_vectors(pieces: DataFrame) -> DataFrame:
+    """search.hashed_vectors of pieces (doc, piece; a table), row by row but for pieces of ids that are missing or repeat, which are one vector."""
+    tokens = pieces.select("doc", X.tokens(F.col("piece")).alias("tokens"))
+    again = cut(pieces.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("again")))
+    same = F.col("doc").eqNullSafe(F.col("again"))
+    return search.hashed_rows(tokens.join(again, same, "left_anti")).unionByName(search.hashed_vectors(tokens.join(again, same, "left_semi")))
+
+
 @query()
 def chunk_index_l2(spark: SparkSession, folder: str) -> DataFrame:
     """Documents to chunks, chunks to vectors, vectors to an index, and the chunks nearest to each benchmark text."""
     pieces = chunks.split_recursive(table(spark, folder, "documents"), "doc_id", "text")
     pieces = cut(pieces.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("doc"), "doc_id", "pos", "piece"))
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("doc"), X.tokens(F.col("text")).alias("tokens"))
-    own = search.hashed_vectors(pieces.select("doc", X.tokens(F.col("piece")).alias("tokens")))
-    index = vectors.create(own, id_column="doc", vector="vector", squared_l2=True)
+    index = vectors.create(cut(_piece_vectors(pieces)), id_column="doc", vector="vector", squared_l2=True)
     hits = vectors.nearest(index, search.hashed_vectors(asked), K, id_column="doc", vector="vector")
     return hits.join(pieces.select("doc", "doc_id", "pos"), "doc").select("query", "doc_id", "pos", "score", "rank")
 
